@@ -20,8 +20,8 @@ _BODIES = {
     "has_feature(t STRING, f STRING) RETURNS INT":
         "CAST(coalesce(array_contains(transform(split(t, ','), x -> trim(x)), f), false) AS INT)",
     "haversine_km(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE":
-        "12742 * asin(sqrt(least(1D, pow(sin(radians(c - a) / 2), 2) "
-        "+ cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2))))",
+        "12742 * asin(sqrt(pow(sin(radians(c - a) / 2), 2) "
+        "+ cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2)))",
 }
 
 

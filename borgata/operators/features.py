@@ -158,7 +158,8 @@ def standardize(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None
     return df.withColumns(scaled)
 
 
-def split(df: DataFrame, key: str, parts: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Train and test by key hash: the same rows again whatever the partitioning."""
-    held_out = F.pmod(F.xxhash64(key), F.lit(parts)) == 0
+def split(df: DataFrame, key: str, parts: int = 5, bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Train and test (one part in ``parts``) by key: the same rows again whatever the
+    partitioning.  ``bucket`` replaces the key hash."""
+    held_out = F.pmod(F.xxhash64(key) if bucket is None else bucket, F.lit(parts)) == 0
     return df.filter(~held_out), df.filter(held_out)

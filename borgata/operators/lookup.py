@@ -69,7 +69,9 @@ def fuzzy_scores(queries: DataFrame, cities: DataFrame, query: str = "query", ra
     qt, ct = q_words.select("_qt").distinct(), c_words.select("_ct").distinct()
     longest = ct.agg(F.max(F.length("_ct"))).scalar()
     query_in_city = ct.select("_ct", F.explode(_substrings(F.col("_ct"), F.length("_ct"))).alias("_qt")).join(qt, "_qt")
-    city_in_query = qt.select("_qt", F.explode(_substrings(F.col("_qt"), longest)).alias("_ct")).join(ct, "_ct")
+    # No substring of a query word longer than the longest city word can equal one.
+    limited = qt.withColumn("_len", longest)
+    city_in_query = limited.select("_qt", F.explode(_substrings(F.col("_qt"), F.col("_len"))).alias("_ct")).join(ct, "_ct")
     pairs = query_in_city.select("_qt", "_ct").union(city_in_query.select("_qt", "_ct")).distinct()
     scored = (
         q_words.join(pairs, "_qt")

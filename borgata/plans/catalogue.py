@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from borgata.plans import cleaning, parsing, search, statistics  # noqa: F401
+from borgata.plans import (  # noqa: F401
+    cleaning, enrichment, exchange, extraction, parsing, search, statistics, storage,
+)
 from borgata.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
