@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from borgata.plans import (  # noqa: F401
-    cleaning, enrichment, exchange, extraction, parsing, search, statistics, storage,
+    cleaning, enrichment, exchange, extraction, learning, parsing, search, statistics, storage, streams,
 )
 from borgata.plans.base import ORACLES, QUERIES
 
