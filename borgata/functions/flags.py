@@ -13,8 +13,9 @@ FALSE_WORDS = ["false", "no", "n", "f", "falso", "0", "0.0"]
 
 def to_flag(c: Column) -> Column:
     """Dictionary match after trim and lower case; unknown words give NULL."""
-    word = F.lower(strip(c.cast("string")))
-    return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
+    known = [(w, True) for w in TRUE_WORDS] + [(w, False) for w in FALSE_WORDS]
+    meaning = F.create_map(*[F.lit(part) for pair in known for part in pair])
+    return F.try_element_at(meaning, F.lower(strip(c.cast("string"))))
 
 
 def feature_flag(c: Column, yes: str = "Si", no: str = "No") -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -19,13 +20,26 @@ BLANK_CHARS = (
 MISSING_WORDS = ["nan", "None", "null"]
 
 
+# A run of blanks other than one plain blank: what collapsing really changes.
+_UNEVEN_BLANKS = f"{BLANK_CLASS.replace('\\x20', '\\x1f')}{BLANK_CLASS}*| {BLANK_CLASS}+"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Array functions run interpreted and evaluate a repeated argument each time; a lambda variable
+    holds it instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANK_CHARS))
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one blank; both ends trimmed."""
-    return F.btrim(F.regexp_replace(c, BLANK_CLASS + "+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(c, _UNEVEN_BLANKS, " "), F.lit(" "))
 
 
 def tokens(c: Column) -> Column:
@@ -34,7 +48,9 @@ def tokens(c: Column) -> Column:
 
 
 def missing_to_null(c: Column) -> Column:
-    return F.when(c.isin(MISSING_WORDS), F.lit(None)).otherwise(c)
+    for word in MISSING_WORDS:
+        c = F.nullif(c, F.lit(word))
+    return c
 
 
 def clean_text(c: Column) -> Column:
@@ -46,7 +62,7 @@ def blank_to_null(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    return F.regexp_replace(c, "<[^>]*>", "")
+    return F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, "<[^>]*>", "")).otherwise(c)
 
 
 def first_match(c: Column, pattern: str, group: int = 1) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from borgata.functions.numbers import to_double
-from borgata.functions.text import strip
+from borgata.functions.text import let, strip
 
 
 def _after_label(c: Column) -> Column:
@@ -50,10 +50,9 @@ LABEL_WORDS = [
 ]
 
 
-def label_field(label: Column) -> Column:
-    """Field named by one feature label, by the first word it contains."""
-    low = F.lower(label)
-    branch = F.when(F.coalesce(low, F.lit("")) == "", F.lit(None).cast("string"))
+def label_field(low: Column) -> Column:
+    """Field named by one feature label in lower case, by the first word it contains."""
+    branch = F.when(low == "", F.lit(None).cast("string"))
     for field, words in LABEL_WORDS:
         for word in words:
             branch = branch.when(F.contains(low, F.lit(word)), field)
@@ -62,12 +61,16 @@ def label_field(label: Column) -> Column:
 
 def label_map(labels: Column) -> Column:
     """Struct of one label per field; the last label of a field wins."""
-    tagged = F.transform(labels, lambda x: F.struct(label_field(x).alias("f"), x.alias("v")))
+    lowered = F.transform(labels, lambda x: F.struct(F.lower(x).alias("l"), x.alias("v")))
+    tagged = F.transform(lowered, lambda e: F.struct(label_field(e["l"]).alias("f"), e["v"].alias("v")))
 
-    def last(field: str) -> Column:
-        return F.try_element_at(F.filter(tagged, lambda e: e["f"] == field), F.lit(-1))["v"].alias(field)
+    def last(entries: Column, field: str) -> Column:
+        return F.try_element_at(F.filter(entries, lambda e: e["f"] == field), F.lit(-1))["v"].alias(field)
 
-    return F.struct(*[last(field) for field, _ in LABEL_WORDS])
+    return let(
+        F.filter(tagged, lambda e: e["f"].isNotNull()),
+        lambda entries: F.struct(*[last(entries, field) for field, _ in LABEL_WORDS]),
+    )
 
 
 # Frequent function words of the languages told apart.
@@ -80,14 +83,16 @@ STOP_WORDS = {
 }
 
 
-def language_scores(text: Column) -> list[Column]:
-    """Stop-word hits per language, counted inside the row (no shuffle)."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
+def language_scores(text: Column) -> Column:
+    """Struct of stop-word hits per language, counted inside the row (no shuffle)."""
+    every = sorted({w for words in STOP_WORDS.values() for w in words})
+    # Words of no list are dropped once, so the lists only meet the few that are left.
+    known = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(every))
 
-    def hits(lang: str) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(STOP_WORDS[lang]))).cast("bigint").alias(f"hits_{lang}")
+    def hits(words: Column, lang: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(STOP_WORDS[lang]))).cast("bigint").alias(lang)
 
-    return [hits(lang) for lang in STOP_WORDS]
+    return let(known, lambda words: F.struct(*[hits(words, lang) for lang in STOP_WORDS]))
 
 
 def detect_language(scores: dict[str, Column]) -> Column:

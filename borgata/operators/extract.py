@@ -39,15 +39,16 @@ def bare_markup(html: Column) -> Column:
 
 
 def text_of(markup: Column) -> Column:
-    out = strip_tags(markup)
+    bare = strip_tags(markup)
+    decoded = bare
     for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return strip(out)
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    return strip(F.when(F.contains(markup, F.lit("&")), decoded).otherwise(bare))
 
 
 def _matched(c: Column, pattern: str) -> Column:
     """Group 1, NULL without a match; a match of empty text stays ''."""
-    return F.when(F.regexp_like(c, F.lit(pattern)), F.regexp_extract(c, pattern, 1))
+    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.lit(0))
 
 
 def _key(scope: Column, rule: Rule) -> Column:

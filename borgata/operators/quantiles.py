@@ -1,9 +1,11 @@
 """Exact percentiles that never bring a whole group into one task.
 
 The built-in exact ``percentile`` merges a value -> count map of the whole group in a single task.
-Here equal values are first collapsed to (value, count) rows, the values of each group are cut into
-ranges at sketched split points, and only the ranges that hold a wanted rank are ordered, one range
-per task.  The sketch decides how even the ranges are, never the result.
+Here a first pass counts rows per (group, narrow value range).  The ranges follow the logarithm of
+the value, so they need no knowledge of the data, and a group has a bounded number of them.  The
+counts tell which ranges hold the wanted ranks; a second pass collapses just those ranges to
+(value, count) rows and orders each range in its own task.  Range width only decides how the work
+is spread, never the result.
 """
 
 from __future__ import annotations
@@ -12,55 +14,54 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SPLITS = 256
+# Ranges per unit of the natural logarithm: each is 0.02 % of its value wide.
+RESOLUTION = 5_000
 
 
-def exact_percentiles(
-    df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = (), splits: int = SPLITS
-) -> DataFrame:
-    """Rows (by..., fraction, value) with linear interpolation; NULL values are left out."""
+def value_range_id(v: Column) -> Column:
+    """Number of the range of a value; follows the order of the values, 0 for zero."""
+    # The smallest positive double has a logarithm above -750, so the shift keeps numbers positive.
+    size = F.coalesce(F.floor((F.ln(F.abs(v)) + 750) * RESOLUTION), F.lit(0).cast("bigint"))
+    return F.when(v < 0, -size).otherwise(size)
+
+
+def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Rows (by..., fraction, value) with linear interpolation; NULL and NaN values are left out."""
     keys = list(by)
-    # NULL group keys are kept apart from every real key by a flag in a struct.
-    group = F.struct(F.lit(0).alias("_all"), *[F.col(k) for k in keys]).alias("_g")
-    counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(group, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
-    cuts = counted.groupBy("_g").agg(
-        F.percentile_approx("_v", [i / splits for i in range(1, splits)], 10 * splits).alias("_cuts"),
-        F.sum("_n").alias("_total"),
+    v = F.col(value).cast("double")
+    # A struct keeps a NULL group key apart from "no row" in the joins below.
+    group = F.struct(F.lit(0).alias("_all"), *[F.col(k) for k in keys])
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(v)).select(
+        group.alias("_g"), value_range_id(v).alias("_b"), v.alias("_v")
     )
-    placed = counted.join(cuts, "_g").select(
-        "_g", "_v", "_n", "_total",
-        F.size(F.filter("_cuts", lambda s: s < F.col("_v"))).alias("_b"),
-    )
-    # At most `splits` rows per group from here to the choice of ranges.
-    totals = placed.groupBy("_g", "_b", "_total").agg(F.sum("_n").alias("_bn"))
-    running = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in fractions])).alias("_p")
+    counts = rows.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
+    per_group = Window.partitionBy("_g")
+    before = per_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     spot = F.col("_p") * (F.col("_total") - 1)
-    ranks = (
-        totals.withColumn("_before", F.coalesce(F.sum("_bn").over(running), F.lit(0)))
-        .select("_g", "_b", "_bn", "_before", "_total", wanted)
-        .withColumn("_lo", F.floor(spot))
-        .withColumn("_hi", F.ceil(spot))
-        .withColumn("_w", spot - F.floor(spot))
-        .filter((F.col("_hi") >= F.col("_before")) & (F.col("_lo") < F.col("_before") + F.col("_bn")))
+    targets = (
+        counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .withColumn("_total", F.sum("_n").over(per_group))
+        .withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in fractions])))
+        .withColumns({"_lo": F.floor(spot), "_hi": F.ceil(spot), "_w": spot - F.floor(spot)})
+        .filter((F.col("_hi") >= F.col("_before")) & (F.col("_lo") < F.col("_before") + F.col("_n")))
+        .groupBy("_g", "_b", "_before")
+        .agg(F.collect_list(F.struct("_p", "_lo", "_hi", "_w")).alias("_t"))
     )
-    needed = ranks.select("_g", "_b", "_before").distinct()
+    if not keys:
+        # Without groups there are at most two ranges per fraction, so this side is known to be tiny.
+        targets = F.broadcast(targets)
     upto = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = (
-        placed.select("_g", "_b", "_v", "_n")
-        .join(needed, ["_g", "_b"])
+    values = (
+        rows.join(targets.select("_g", "_b"), ["_g", "_b"], "left_semi") if not keys else rows
+    ).groupBy("_g", "_b", "_v").agg(F.count("*").alias("_n"))
+    placed = (
+        values.join(targets, ["_g", "_b"])
         .withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
-    hits = ordered.drop("_before").join(
-        ranks.select("_g", "_b", "_p", "_lo", "_hi", "_w"), ["_g", "_b"]
+        .select("_g", "_v", "_start", "_end", F.inline("_t"))
     )
     inside = lambda r: (F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end"))
-    picked = hits.groupBy("_g", "_p").agg(
+    picked = placed.groupBy("_g", "_p").agg(
         F.max(F.when(inside("_lo"), F.col("_v"))).alias("_a"),
         F.max(F.when(inside("_hi"), F.col("_v"))).alias("_z"),
         F.max("_w").alias("_w"),
@@ -72,11 +73,9 @@ def exact_percentiles(
     )
 
 
-def wide_percentiles(
-    df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = (), splits: int = SPLITS
-) -> DataFrame:
+def wide_percentiles(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with one column per named fraction."""
-    rows = exact_percentiles(df, value, list(named.values()), by, splits)
+    rows = exact_percentiles(df, value, list(named.values()), by)
     columns: list[Column] = [
         F.max(F.when(F.col("fraction") == F.lit(float(p)), F.col("value"))).alias(n)
         for n, p in named.items()

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from borgata import session
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,8 +24,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+# Columns that tell the rows of a table apart, to spread them evenly.
+_KEYS = {"orders": "o_orderkey", "documents": "doc_id", "pages": "page_id", "events": "event_id",
+         "part": "p_partkey", "customer": "c_custkey"}
+
+
+def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table; ``spread`` for queries that are heavy per row."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if not spread:
+        return df
+    return session.spread(df, *([_KEYS[name]] if name in _KEYS else []))
 
 
 _K = "o_orderkey"
@@ -74,9 +85,9 @@ FROM_PLACES = {
 }
 
 
-def listings(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+def listings(spark: SparkSession, sf: str, *columns: str, spread: bool = False) -> DataFrame:
     """The asked columns.  Tables that none of them needs are not read."""
-    src = table(spark, sf, "orders")
+    src = table(spark, sf, "orders", spread)
     if any(c in FROM_PLACES for c in columns):
         customer, nation = table(spark, sf, "customer"), table(spark, sf, "nation")
         src = src.join(customer, src["o_custkey"] == customer["c_custkey"], "left")

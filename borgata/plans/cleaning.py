@@ -20,7 +20,7 @@ SELECT id, TRY_CAST(CASE WHEN id % 4 = 0 THEN 'n/d' ELSE CAST(rooms AS STRING) E
  TRY_CAST(nullif(regexp_extract(surface, '\d+'), '') AS BIGINT) AS surface_m2,
  CASE WHEN id % 5 = 0 THEN NULL ELSE strftime(created_at, '%Y-%m-%d') END AS created_day FROM listings"""))
 def coerce_types(spark, sf):
-    df = listings(spark, sf, "id", "rooms", "price_value", "elevator", "floor_text", "surface", "created_at")
+    df = listings(spark, sf, "id", "rooms", "price_value", "elevator", "floor_text", "surface", "created_at", spread=True)
     dirty = df.select(
         "id", F.when(F.col("id") % 4 == 0, "n/d").otherwise(F.col("rooms").cast("string")).alias("rooms"),
         F.when(F.col("id") % 3 == 0, "su richiesta").otherwise(F.col("price_value").cast("string")).alias("price_value"),
@@ -40,7 +40,7 @@ def clean_text(spark, sf):
     dirty = F.concat(
         F.lit(" "), F.when(F.col("doc_id") % 50 == 0, "null").otherwise(F.col("text")), F.lit("\xa0")
     )
-    c = table(spark, sf, "documents").select("doc_id", text.clean_text(dirty).alias("t"))
+    c = table(spark, sf, "documents", spread=True).select("doc_id", text.clean_text(dirty).alias("t"))
     return c.select("doc_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("n"))
 
 
@@ -83,7 +83,7 @@ SELECT id, {sql_collapse('title')} AS titolo, {_group('price_text')} AS prezzo,
  {_group('surface')} AS superficie, surface AS superficie_raw, {_group('floor_text')} AS piano, trim(floor_text) AS piano_raw,
  trim(elevator) AS ascensore FROM listings"""))
 def clean_listing(spark, sf):
-    df = listings(spark, sf, "id", "title", "price_text", "surface", "floor_text", "elevator")
+    df = listings(spark, sf, "id", "title", "price_text", "surface", "floor_text", "elevator", spread=True)
     return clean.clean_listing(
         df.withColumnsRenamed({"title": "titolo", "price_text": "prezzo", "surface": "superficie",
                                "floor_text": "piano", "elevator": "ascensore"})
@@ -118,7 +118,7 @@ SELECT id, {_locale('prezzo', '€? *')} AS prezzo, {_locale('prezzo', '€? *',
  CASE id % 3 WHEN 0 THEN 'A4' WHEN 1 THEN 'G' ELSE 'esente' END AS classe_energetica, 1900 + id % 120 AS anno_costruzione,
  {sql_strip('descrizione')} AS descrizione FROM d"""))
 def detail_normalize(spark, sf):
-    df = listings(spark, sf, "id", "price_text", "surface", "elevator", "title")
+    df = listings(spark, sf, "id", "price_text", "surface", "elevator", "title", spread=True)
     raw = df.selectExpr("id", *[f"{e} AS {n}" for n, e in _DETAIL.items()])
     raw = raw.withColumns({"prezzo_l": F.col("prezzo"), "cauzione_l": F.col("cauzione")})
     legacy = clean.normalize_details(
@@ -137,7 +137,7 @@ SELECT id, regexp_replace(bagni[3], '<[^>]*>', '', 'g') AS bagni,
  concat(CAST(o_orderkey % 90 AS STRING), ' ', ' ') AS superficie, strftime(o_orderdate, '%d/%m/%Y') AS data
 FROM m JOIN orders ON id = o_orderkey""")
 def multivalue_take_first(spark, sf):
-    df = table(spark, sf, "orders").select(
+    df = table(spark, sf, "orders", spread=True).select(
         F.col("o_orderkey").alias("id"),
         F.array(F.lit(None), F.lit(""), F.concat(F.lit("<b>"), "o_orderpriority", F.lit("</b>")), F.lit("x")).alias("bagni"),
         F.array(
@@ -155,7 +155,7 @@ SELECT id, CASE WHEN id % 6 = 0 THEN 'unknown' ELSE lower(city) END AS city,
  CASE WHEN id % 6 <> 0 THEN concat(lower(city), '_', contract) END AS container FROM listings"""))
 def filename_partition_cols(spark, sf):
     # City names of the tables hold "_", which separates parts of a file name.
-    df = listings(spark, sf, "id", "city", "contract").withColumn("city", F.lower("city"))
+    df = listings(spark, sf, "id", "city", "contract", spread=True).withColumn("city", F.lower("city"))
     path = F.concat(
         F.lit("/landing/"), F.when(F.col("id") % 6 == 0, "export").otherwise("ads"), F.lit("_"),
         F.replace("city", F.lit("_"), F.lit("")), F.lit("_"), "contract", F.lit(".csv"),
@@ -179,7 +179,7 @@ FROM listings WHERE id % 10 <> 0"""))
 def flatten_nested_ad(spark, sf):
     from borgata import schemas
 
-    df = listings(spark, sf, "id", "typology_name", "price_value", "surface", "rooms", "features", "floor_text", "contract")
+    df = listings(spark, sf, "id", "typology_name", "price_value", "surface", "rooms", "features", "floor_text", "contract", spread=True)
     k = F.col("id")
     home = F.struct(
         F.col("surface"), F.col("rooms").cast("string").alias("rooms"),
@@ -213,7 +213,7 @@ SELECT id, concat('Casa ', CAST(id AS STRING)) AS titolo, CASE WHEN rooms IS NOT
 def features_spread(spark, sf):
     from borgata.operators import extract
 
-    df = listings(spark, sf, "id", "rooms", "surface", "bathrooms", "floor_text")
+    df = listings(spark, sf, "id", "rooms", "surface", "bathrooms", "floor_text", spread=True)
     part = lambda cls, c: F.when(c.isNotNull(), F.concat(F.lit(f'<div class="feature-{cls}"><span>'), c, F.lit("</span></div>")))
     html = F.concat_ws(
         "", F.lit('<main><article class="srp-card"><h3>Casa '), F.col("id").cast("string"), F.lit("</h3>"),

@@ -94,7 +94,7 @@ def _leg(user, kind, when, price, number):
 
 def _fare_answers(spark, sf):
     """One landed answer per event; every seventh has no fares, every eleventh an unreadable date."""
-    ev = table(spark, sf, "events")
+    ev = table(spark, sf, "events", spread=True)
     k, user = F.col("event_id"), F.col("user_id").cast("string")
     out = _leg(user, F.col("event_type"), F.col("ts"), F.col("value"), k.cast("string"))
     back = _leg(user, F.col("event_type"), F.date_add("ts", 3).cast("timestamp"), F.col("value") + 10, (k + 1).cast("string"))

@@ -49,7 +49,7 @@ SELECT * FROM r"""
 
 
 def _records(spark, sf):
-    found = extract.extract_records(table(spark, sf, "pages").select("page_id", "html"), RULES)
+    found = extract.extract_records(table(spark, sf, "pages", spread=True).select("page_id", "html"), RULES)
     r = F.col("record")
     return found.select("page_id", "pos", r["title"].alias("title"), F.md5(r["footer"]).alias("footer"),
                         r["link"].alias("link"), F.md5(r["para"]).alias("para"), r["ad"].alias("ad"))
@@ -85,13 +85,13 @@ def html_card_extract(spark, sf):
             tag("span", "seller-info-text", F.col("p_brand")), link(F.concat(F.lit("/x?"), key)))).otherwise(""),
         F.lit("</ul></html>"),
     )
-    return extract.market_cards(table(spark, sf, "part").select("p_partkey", html.alias("html")))
+    return extract.market_cards(table(spark, sf, "part", spread=True).select("p_partkey", html.alias("html")))
 
 
 @query("listing_cards", with_listings("""
 SELECT id, trim(regexp_replace(title, '\t', ' ', 'g')) AS title, concat('https://ex.test/annunci/', CAST(id AS STRING), '/') AS url, price_text AS prezzo, 'a.jpg' AS immagine FROM listings"""))
 def listing_cards(spark, sf):
-    df = listings(spark, sf, "id", "title", "price_text")
+    df = listings(spark, sf, "id", "title", "price_text", spread=True)
     html = F.concat(
         F.lit('<ul><li class="nd-list__item in-searchLayoutListItem"><img class="x" src="a.jpg"><a class="in-listingCardTitle" href="/annunci/'),
         F.col("id").cast("string"), F.lit('/" title="'), F.btrim(F.regexp_replace("title", "\t", " "), F.lit(" ")), F.lit('">t</a>'),
@@ -104,7 +104,7 @@ def listing_cards(spark, sf):
 SELECT id, concat(CAST(1 + id % 6 AS STRING), ' locali') AS locali, nullif(trim(floor_text), '') AS piano, nullif(surface, '') AS superficie, nullif(surface, '') AS dettaglio_superficie,
  CASE WHEN id % 2 = 0 THEN concat('€ ', CAST(id % 100 AS STRING)) END AS spese_condominio, nullif(trim(elevator), '') AS ascensore, NULL::STRING AS cantina FROM listings"""))
 def label_value_pairs(spark, sf):
-    df = listings(spark, sf, "id", "floor_text", "surface", "elevator")
+    df = listings(spark, sf, "id", "floor_text", "surface", "elevator", spread=True)
     pair = lambda label, c: F.concat(
         F.lit(f'<div class="im-properties__title"> {label} </div>\n<div class="v"> '), F.coalesce(c, F.lit("")), F.lit(" </div>"))
     html = F.concat(
@@ -124,7 +124,7 @@ SELECT page_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos, concat('https
 def link_extract(spark, sf):
     from borgata.functions.text import absolute_url
 
-    edges = extract.all_links(table(spark, sf, "pages").select("page_id", "html"))
+    edges = extract.all_links(table(spark, sf, "pages", spread=True).select("page_id", "html"))
     return edges.select("page_id", "pos", absolute_url(F.col("href"), "https://ex.test").alias("target"))
 
 
@@ -133,4 +133,4 @@ WITH b AS (SELECT url, {_BARE} AS h FROM pages)
 SELECT url AS page_url, CASE WHEN regexp_matches(h, '<a href="(/[a-p][^"]*)"')
  THEN concat('https://ex.test', regexp_extract(h, '<a href="(/[a-p][^"]*)"', 1)) END AS next_url FROM b""")
 def next_page_edges(spark, sf):
-    return extract.next_links(table(spark, sf, "pages"), r'<a href="(/[a-p][^"]*)"', "https://ex.test")
+    return extract.next_links(table(spark, sf, "pages", spread=True), r'<a href="(/[a-p][^"]*)"', "https://ex.test")

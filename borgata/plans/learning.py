@@ -113,7 +113,7 @@ def f_regression_topk(spark, sf):
 @query("forest_metrics")
 def forest_metrics(spark, sf):
     """Random forest of the price model on line items: metrics of both parts and the importances."""
-    df = table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber")
+    df = table(spark, sf, "lineitem", spread=True).select("l_orderkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_linenumber")
     names = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
     data = VectorAssembler(inputCols=names, outputCol="features").transform(df)
     train, test = features.split(data, "l_orderkey")

@@ -17,14 +17,14 @@ SELECT page_id, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS digest,
  length(regexp_replace(html, '<[^>]*>', '', 'g')) AS n FROM pages""")
 def strip_tags(spark, sf):
     bare = text.strip_tags(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", F.md5(bare).alias("digest"), F.length(bare).cast("bigint").alias("n"))
+    return table(spark, sf, "pages", spread=True).select("page_id", F.md5(bare).alias("digest"), F.length(bare).cast("bigint").alias("n"))
 
 
 @query("parse_price_token", with_listings(rf"""
 SELECT id, regexp_replace(list_extract(list_filter(regexp_split_to_array({sql_strip("regexp_replace(concat('<b>', price_text, '</b>'), '<[^>]*>', '', 'g')")}, '{SQL_BLANK}+'), lambda x: x <> ''), -1), '\.|,\d+', '', 'g') AS token
 FROM listings WHERE price_text IS NOT NULL"""))
 def parse_price_token(spark, sf):
-    df = listings(spark, sf, "id", "price_text").filter("price_text IS NOT NULL")
+    df = listings(spark, sf, "id", "price_text", spread=True).filter("price_text IS NOT NULL")
     return df.select("id", numbers.price_token(F.concat(F.lit("<b>"), "price_text", F.lit("</b>"))).alias("token"))
 
 
@@ -35,7 +35,7 @@ SELECT id, split_part(surface, 'm', 1) AS before_m,
 FROM listings"""))
 def parse_surface(spark, sf):
     s = F.col("surface")
-    return listings(spark, sf, "id", "surface").select(
+    return listings(spark, sf, "id", "surface", spread=True).select(
         "id", numbers.surface_text(s).alias("before_m"), numbers.surface_first_number(s).alias("first_number"),
         numbers.surface_first_token(s).alias("first_token"),
     )
@@ -50,7 +50,7 @@ SELECT id, replace(floor_text, 'T', '0') AS letter,
 FROM listings"""))
 def floor_variants(spark, sf):
     f = F.col("floor_text")
-    return listings(spark, sf, "id", "floor_text").select(
+    return listings(spark, sf, "id", "floor_text", spread=True).select(
         "id", floors.floor_letter(f).alias("letter"), floors.floor_store(f).alias("stored"),
         floors.floor_fetch(f).alias("fetched"),
     )
@@ -67,7 +67,7 @@ SELECT id, CASE f WHEN 'piano terra' THEN 0.0::DOUBLE WHEN 'seminterrato' THEN 0
  WHEN 'interrato (-2)' THEN -2.0::DOUBLE WHEN 'interrato (-3)' THEN -3.0::DOUBLE WHEN 'piano rialzato' THEN 0.5::DOUBLE
  WHEN 'ammezzato' THEN 0.5::DOUBLE WHEN 'su più livelli' THEN NULL ELSE list_max(list_concat(digits, words)) END AS floor FROM n"""))
 def normalize_floor(spark, sf):
-    return listings(spark, sf, "id", "floor_text").select("id", floors.normalize_floor(F.col("floor_text")).alias("floor"))
+    return listings(spark, sf, "id", "floor_text", spread=True).select("id", floors.normalize_floor(F.col("floor_text")).alias("floor"))
 
 
 @query("garage_features", with_listings(r"""
@@ -80,7 +80,7 @@ SELECT id, CASE WHEN contains(g, 'box privato') THEN 'private box'
  box AS private_box_count, park AS common_park_count, box + park AS total_count FROM c"""))
 def garage_features(spark, sf):
     g = F.col("garage_text")
-    df = listings(spark, sf, "id", "garage_text")
+    df = listings(spark, sf, "id", "garage_text", spread=True)
     return df.select("id", garage.garage_type(g).alias("garage_type"), garage.garage_details(g).alias("d")).select(
         "id", "garage_type", "d.*"
     )
@@ -94,7 +94,7 @@ SELECT id, CASE WHEN lower(trim(elevator)) IN ('true','yes','y','t','sì','si','
   OR contains(lower(elevator), 'yes') OR lower(elevator) IN ('si', 'true') AS detail FROM listings"""))
 def coerce_bool(spark, sf):
     e = F.col("elevator")
-    return listings(spark, sf, "id", "elevator").select(
+    return listings(spark, sf, "id", "elevator", spread=True).select(
         "id", flags.to_flag(e).alias("flag"), flags.feature_flag(e).alias("by_text"), flags.detail_flag(e).alias("detail")
     )
 
@@ -103,7 +103,7 @@ def coerce_bool(spark, sf):
 SELECT id, coalesce(nullif(regexp_extract(garage_text, '(\d+) in parcheggio', 1), ''), nullif(regexp_extract(garage_text, '\d+'), ''), garage_text) AS value,
  TRY_CAST(nullif(regexp_extract(surface, '(\d+\.?\d*)', 1), '') AS DOUBLE) AS number FROM listings"""))
 def extract_value(spark, sf):
-    return listings(spark, sf, "id", "garage_text", "surface").select(
+    return listings(spark, sf, "id", "garage_text", "surface", spread=True).select(
         "id", text.extract_value(F.col("garage_text"), r"(\d+) in parcheggio").alias("value"),
         numbers.first_number(F.col("surface")).alias("number"),
     )
@@ -120,7 +120,7 @@ def parse_date_digits(spark, sf):
         F.when(k % 3 == 0, F.concat(F.lit("<i>dal "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("</i>")))
         .when(k % 3 == 1, "<b>subito</b>").otherwise(F.col("o_orderpriority"))
     )
-    return table(spark, sf, "orders").select(
+    return table(spark, sf, "orders", spread=True).select(
         k.alias("id"), text.parse_date_text(txt).alias("day"), text.parse_digits(txt).alias("digits")
     )
 
@@ -136,7 +136,7 @@ SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size * 1000 + 234.56::DOUBLE
  WHEN 2 THEN (p_size * 100 + 99)::DOUBLE WHEN 3 THEN p_size::DOUBLE END AS price,
  TRY_CAST(replace(replace(regexp_replace(txt, '[^0-9,.]', '', 'g'), '.', ''), ',', '.') AS DOUBLE) AS legacy FROM t""")
 def clean_market_price(spark, sf):
-    df = table(spark, sf, "part").selectExpr("p_partkey", f"{_MARKET_TEXT} AS txt")
+    df = table(spark, sf, "part", spread=True).selectExpr("p_partkey", f"{_MARKET_TEXT} AS txt")
     t = F.col("txt")
     return df.select("p_partkey", numbers.market_price(t).alias("price"), numbers.market_price(t, legacy=True).alias("legacy"))
 
@@ -155,7 +155,7 @@ SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN concat(p_name, ',new') WHEN 1 T
  CASE p_partkey % 5 WHEN 0 THEN 'Protezione acquisti' WHEN 1 THEN 'incl.' ELSE 'incl. spese' END AS notes
 FROM part WHERE p_partkey % 5 < 3""")
 def composite_title_split(spark, sf):
-    df = table(spark, sf, "part").selectExpr("p_partkey", f"{_TITLE} AS txt")
+    df = table(spark, sf, "part", spread=True).selectExpr("p_partkey", f"{_TITLE} AS txt")
     parsed = df.select("p_partkey", titles.split_composite_title(F.col("txt")).alias("s"))
     return parsed.filter("s IS NOT NULL").select("p_partkey", "s.*")
 
@@ -164,7 +164,7 @@ def composite_title_split(spark, sf):
 SELECT id, regexp_replace(regexp_extract(url, '/annunci/[^?]*'), '^', 'https://ex.test') AS absolute,
  CAST(id AS STRING) AS id_from_url, concat('?q=', CAST(id % 7 AS STRING)) AS raw_segment FROM listings"""))
 def url_normalize(spark, sf):
-    df = listings(spark, sf, "id", "url")
+    df = listings(spark, sf, "id", "url", spread=True)
     path = F.substring_index(F.replace(F.col("url"), F.lit("https://ex.test"), F.lit("")), "?", 1)
     return df.select(
         "id", text.absolute_url(path, "https://ex.test").alias("absolute"), text.id_from_url(path).alias("id_from_url"),
@@ -205,7 +205,7 @@ SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN concat(CAST(1 + o_ord
  'Ascensore' AS ascensore, 'Balcone e terrazzo' AS balcone, CAST(NULL AS STRING) AS arredato,
  CAST(NULL AS STRING) AS cantina, CAST(NULL AS STRING) AS terrazzo FROM orders""")
 def feature_label_map(spark, sf):
-    df = table(spark, sf, "orders").selectExpr("o_orderkey AS id", f"{_LABELS} AS labels")
+    df = table(spark, sf, "orders", spread=True).selectExpr("o_orderkey AS id", f"{_LABELS} AS labels")
     return df.select("id", titles.label_map(F.col("labels")).alias("m")).select("id", "m.*")
 
 
@@ -224,8 +224,10 @@ s AS (SELECT doc_id, lang, {", ".join(f"{_hits(x)} AS h_{x}" for x in _LANGS)} F
 SELECT doc_id, lang, CASE WHEN {_BEST} = 0 THEN NULL {" ".join(f"WHEN h_{x} = {_BEST} THEN '{x}'" for x in _LANGS)} END AS detected,
  {_BEST} AS hits FROM s""")
 def detect_language(spark, sf):
-    scored = table(spark, sf, "documents").select("doc_id", "lang", *titles.language_scores(F.col("text")))
-    cols = {x: F.col(f"hits_{x}") for x in titles.STOP_WORDS}
+    scored = table(spark, sf, "documents", spread=True).select(
+        "doc_id", "lang", titles.language_scores(F.col("text")).alias("h")
+    )
+    cols = {x: F.col(f"h.{x}") for x in titles.STOP_WORDS}
     return scored.select(
         "doc_id", "lang", titles.detect_language(cols).alias("detected"), F.greatest(*cols.values()).alias("hits")
     )

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -42,3 +42,24 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = os.path.join(tempfile.gettempdir(), "borgata")
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+MIN_SPLIT_BYTES = 256 * 1024
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a few small files over all cores, before a step that is heavy per row.
+
+    A file with one row group is one task however many cores there are.  Where the input already
+    has a split for every second core, as any large table has, nothing is done and nothing shuffled.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if 2 * df.rdd.getNumPartitions() >= cores:
+        return df
+    conf, size = spark._jsc.hadoopConfiguration(), 0
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    parts = min(cores, size // MIN_SPLIT_BYTES)
+    return df.repartition(parts, *keys) if parts > 1 else df
