@@ -64,7 +64,7 @@ def locale_number(c: Column, before: str = "", after: str = "", legacy: bool = F
 
 def market_price(c: Column, legacy: bool = False) -> Column:
     """Marketplace price text; a range gives its first price (NULL in legacy mode)."""
-    text = c if legacy else F.get(F.split(c, f"{BLANK_CLASS}a{BLANK_CLASS}"), F.lit(0))
+    text = c if legacy else F.regexp_replace(c, f"(?s){BLANK_CLASS}a{BLANK_CLASS}.*", "")
     kept = F.regexp_replace(text, r"[^\d,\.]", "")
     return to_double(F.replace(F.replace(kept, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
 

@@ -9,9 +9,12 @@ from pyspark.sql import Column, functions as F
 
 # The code points the source system counts as white space.  Java's ``\s`` leaves
 # out NBSP and the other Unicode blanks, which are common in price texts.
-BLANK_CLASS = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# Single Latin-1 characters share one bit table in a Java class, and the outer range keeps all other
+# characters from being tested against each wide blank.
+_WIDE = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WIDE_BLANKS = rf"[\x{{1680}}-\x{{3000}}&&[{_WIDE}]]"
+_NARROW_BLANKS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+BLANK_CLASS = f"[{_NARROW_BLANKS}\\x20{_WIDE_BLANKS}]"
 BLANK_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0       "
     "         　"
@@ -21,7 +24,7 @@ MISSING_WORDS = ["nan", "None", "null"]
 
 
 # A run of blanks other than one plain blank: what collapsing really changes.
-_UNEVEN_BLANKS = f"{BLANK_CLASS.replace('\\x20', '\\x1f')}{BLANK_CLASS}*| {BLANK_CLASS}+"
+_UNEVEN_BLANKS = f"[{_NARROW_BLANKS}{_WIDE_BLANKS}]{BLANK_CLASS}*| {BLANK_CLASS}+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,7 +47,8 @@ def collapse(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Words between runs of white space; blank text gives an empty array."""
-    return F.filter(F.split(strip(c), BLANK_CLASS + "+"), lambda t: t != "")
+    # Not split(): it compiles a pattern of more than one character anew for every row.
+    return F.regexp_extract_all(c, F.lit(f"[^{_NARROW_BLANKS}\\x20{_WIDE}]+"), F.lit(0))
 
 
 def missing_to_null(c: Column) -> Column:

@@ -207,7 +207,10 @@ def flatten_ads(df: DataFrame) -> DataFrame:
     picked += [at(home, p).alias(n) for n, p in home_paths.items()]
     picked.append(F.when(F.size(features) > 0, F.array_join(features, ", ")).alias("ga4features"))
     picked.append(F.when(F.size(views) > 0, F.array_join(views, ", ")).alias("views"))
-    flat = df.filter(F.col("realEstate").isNotNull()).select(*picked)
+    # A filter would move below the parsing of the landed text and have every ad parsed twice; a
+    # generator that gives one row or none stays where it is.
+    ads = F.when(F.col("realEstate").isNotNull(), F.array(F.struct("realEstate", "seo", "idGeoHash")))
+    flat = df.select(F.inline(ads)).select(*picked)
     return flat.select(*ordered_columns(flat.columns))
 
 

@@ -6,13 +6,13 @@ array functions, so a page never has to be shuffled to bring its own parts toget
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from borgata.functions.numbers import market_price
-from borgata.functions.text import absolute_url, first_match, strip, strip_tags
+from borgata.functions.text import absolute_url, first_match, let, strip, strip_tags
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ def _single(html: Column, rule: Rule) -> Column:
 def _multiple(html: Column, rule: Rule) -> Column:
     def one(inner: Column) -> Column:
         value = inner if rule.value_pattern is None else _matched(inner, rule.value_pattern)
-        return _entry(_key(inner, rule), text_of(value))
+        return let(let(value, text_of), lambda v: _entry(_key(inner, rule), v))
 
     found = F.regexp_extract_all(html, F.lit(rule.pattern), F.lit(1))
     return F.array_compact(F.transform(found, one))
@@ -129,6 +129,7 @@ class CardField:
     patterns: tuple[str, ...]  # tried in order, group 1 is the value
     default: str | None = None
     plain: bool = True  # strip tags and blanks
+    convert: Callable[[Column], Column] | None = None  # applied to the value last
 
 
 def extract_cards(pages: DataFrame, card: str, fields: Mapping[str, CardField], html: str = "html") -> DataFrame:
@@ -137,13 +138,16 @@ def extract_cards(pages: DataFrame, card: str, fields: Mapping[str, CardField],
 
     def value(inner: Column, spec: CardField) -> Column:
         found = [_matched(inner, p) for p in spec.patterns]
-        found = [text_of(f) if spec.plain else f for f in found]
-        return F.coalesce(*found, F.lit(spec.default).cast("string"))
+        if spec.plain:
+            found = [let(f, text_of) for f in found]
+        out = F.coalesce(*found, F.lit(spec.default).cast("string"))
+        return out if spec.convert is None else let(out, spec.convert)
 
-    cards = pages.select(
-        *keep, F.posexplode(F.regexp_extract_all(bare_markup(F.col(html)), F.lit(card), F.lit(1))).alias("pos", "_c")
-    )
-    return cards.select(*keep, "pos", *[value(F.col("_c"), s).alias(n) for n, s in fields.items()])
+    # The fields are built inside the array: below a generator nothing can pull them apart again,
+    # so a later filter on a field does not compute it a second time.
+    found = F.regexp_extract_all(bare_markup(F.col(html)), F.lit(card), F.lit(1))
+    cards = F.transform(found, lambda inner: F.struct(*[value(inner, s).alias(n) for n, s in fields.items()]))
+    return pages.select(*keep, F.posexplode(cards).alias("pos", "_c")).select(*keep, "pos", "_c.*")
 
 
 # Marketplace result cards, their promotional titles and the suffix cut from titles.
@@ -151,7 +155,7 @@ MARKET_CARD = r'(?s)<li class="s-item[^"]*">(.*?)</li>'
 MARKET_FIELDS = {
     "Title": CardField((r'(?s)<div class="s-item__title">(.*?)</div>',), "N/A"),
     "Subtitle": CardField((r'(?s)<div class="s-item__subtitle">(.*?)</div>',), ""),
-    "price_text": CardField((r'(?s)<span class="s-item__price">(.*?)</span>',)),
+    "Price": CardField((r'(?s)<span class="s-item__price">(.*?)</span>',)),
     "Seller": CardField((r'(?s)<span class="s-item__seller-info-text">(.*?)</span>',), "N/A"),
     "Link": CardField((r'<a class="s-item__link" href="([^"]*)"',), "N/A", plain=False),
 }
@@ -161,13 +165,14 @@ TITLE_SUFFIX = "-- Spedizione GRATUITA"
 
 def market_cards(pages: DataFrame, html: str = "html", legacy_price: bool = False) -> DataFrame:
     """Marketplace listings of result pages; promotions and cards without title, link or price go."""
-    cards = extract_cards(pages, MARKET_CARD, MARKET_FIELDS, html)
-    priced = cards.withColumn("Price", market_price(F.col("price_text"), legacy_price)).filter(
+    price = replace(MARKET_FIELDS["Price"], convert=lambda c: market_price(c, legacy_price))
+    cards = extract_cards(pages, MARKET_CARD, {**MARKET_FIELDS, "Price": price}, html)
+    priced = cards.filter(
         ~F.lower("Title").isin(PROMO_TITLES)
         & (F.col("Title") != "N/A") & (F.col("Link") != "N/A") & F.col("Price").isNotNull()
     )
     title = strip(F.replace(F.col("Title"), F.lit(TITLE_SUFFIX), F.lit("")))
-    return priced.withColumn("Title", title).drop("price_text")
+    return priced.withColumn("Title", title)
 
 
 # Result cards of the two listing portals.
@@ -245,7 +250,7 @@ def label_values(pages: DataFrame, labels: Mapping[str, Sequence[str]] = DETAIL_
     keep = [c for c in pages.columns if c != html]
     bare = pages.select(*keep, bare_markup(F.col(html)).alias("_h"))
     side = lambda g: F.regexp_extract_all(F.col("_h"), F.lit(pair), F.lit(g))
-    pairs = F.zip_with(side(1), side(2), lambda k, v: F.struct(text_of(k).alias("k"), text_of(v).alias("v")))
+    pairs = F.zip_with(side(1), side(2), lambda k, v: F.struct(let(k, text_of).alias("k"), let(v, text_of).alias("v")))
     listed = bare.select(*keep, pairs.alias("_p"))
 
     def first(word: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from borgata.functions import geo
 from borgata.functions.text import strip, tokens, zone_key
@@ -185,8 +185,15 @@ def detail_over_preview(preview: DataFrame, detail: DataFrame, key: str = "url")
 
 
 def min_occurrence(df: DataFrame, thresholds: Sequence[tuple[str, int]]) -> DataFrame:
-    """Keep rows of frequent values, column after column, counts taken anew each time."""
+    """Keep rows of frequent values, column after column, counts taken anew each time.
+
+    Whether a row stays depends on its values in these columns only, so the cascade runs on the
+    counted value combinations: the rows are read once to count them and once to be filtered,
+    however many columns there are.
+    """
+    columns = [c for c, _ in thresholds]
+    combos = df.groupBy(*columns).agg(F.count("*").alias("_n"))
     for column, least in thresholds:
-        frequent = df.groupBy(column).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(column)
-        df = df.join(frequent, column, "left_semi")
-    return df
+        total = F.sum("_n").over(Window.partitionBy(column))
+        combos = combos.withColumn("_t", total).filter(F.col(column).isNotNull() & (F.col("_t") >= least))
+    return df.join(combos.select(*columns), columns, "left_semi")

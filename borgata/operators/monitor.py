@@ -22,20 +22,31 @@ def price_drops(old: DataFrame, new: DataFrame, keys: Sequence[str], price: str
     return both.filter(F.col(f"{price}_new") < F.col(price))
 
 
-def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, chunk: Column,
-                   name: str = "previous") -> DataFrame:
+ROWS_PER_STRETCH = 1_000_000
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                   name: str = "previous", rows_per_stretch: int = ROWS_PER_STRETCH) -> DataFrame:
     """Value of the row before, per key, without ordering a whole key in one task.
 
-    ``chunk`` cuts the series of a key into stretches that follow ``order`` (a day, an hour).  Rows
-    are ordered inside their stretch only; the last value of each stretch is carried over by a
-    second, much smaller series of one row per stretch.
+    The series of a key is cut into stretches of the first order column (a time or a number), one
+    per ``rows_per_stretch`` rows, so only long series are cut at all.  Rows are ordered inside
+    their stretch; the last value of a stretch is carried to the next one by a second series of one
+    row per stretch.  Key columns must not be NULL.
     """
-    cut = df.withColumn("_chunk", chunk)
-    ordered = F.struct(*order)
-    last = cut.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(F.col(value).alias("v")), ordered).alias("_last"))
+    lead = F.col(order[0])
+    place = (F.unix_micros(lead) if dict(df.dtypes)[order[0]] == "timestamp" else lead).cast("double")
+    spans = df.groupBy(*keys).agg(
+        F.ceil(F.count("*") / rows_per_stretch).alias("_parts"), F.min(place).alias("_from"), F.max(place).alias("_to")
+    )
+    part = F.floor((place - F.col("_from")) / (F.col("_to") - F.col("_from")) * F.col("_parts"))
+    cut = df.join(spans, list(keys)).withColumn(
+        "_chunk", F.when(F.col("_to") > F.col("_from"), F.least(part, F.col("_parts") - 1)).otherwise(F.lit(0))
+    ).drop("_parts", "_from", "_to")
+    # A struct holds the value, so that max_by also picks a last value that is NULL.
+    last = cut.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
     carry = last.select(
-        *keys, "_chunk",
-        F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))["v"].alias("_carry"),
+        *keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))["v"].alias("_carry")
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     stepped = cut.withColumn("_prev", F.lag(value).over(inside)).withColumn("_rn", F.row_number().over(inside))

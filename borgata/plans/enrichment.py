@@ -37,7 +37,7 @@ SELECT event_id, user_id, event_type, value, lag(value) OVER w AS previous,
 FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
 def price_history_lag(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    h = monitor.previous_value(ev, ["user_id", "event_type"], ["ts", "event_id"], "value", F.date_trunc("day", "ts"))
+    h = monitor.previous_value(ev, ["user_id", "event_type"], ["ts", "event_id"], "value")
     dropped = F.when(F.col("value") < F.col("previous"), 1).otherwise(0)
     return h.select("event_id", "user_id", "event_type", "value", "previous", dropped.alias("dropped"))
 

@@ -50,15 +50,18 @@ MIN_SPLIT_BYTES = 256 * 1024
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows of a few small files over all cores, before a step that is heavy per row.
 
-    A file with one row group is one task however many cores there are.  Where the input already
-    has a split for every second core, as any large table has, nothing is done and nothing shuffled.
+    A file with one row group is one task however many cores there are.  Where the input has many
+    splits or a file for every core, as any large table has, nothing is done and nothing shuffled.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if 2 * df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    files = df.inputFiles()
+    if len(files) >= cores:
         return df
     conf, size = spark._jsc.hadoopConfiguration(), 0
-    for name in df.inputFiles():
+    for name in files:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         size += path.getFileSystem(conf).getFileStatus(path).getLen()
     parts = min(cores, size // MIN_SPLIT_BYTES)

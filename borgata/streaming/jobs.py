@@ -87,7 +87,7 @@ def compact(spark: SparkSession, path: str, target: str, key: str) -> None:
 
 
 def price_drops(stream: DataFrame, alerts: str, state: str, checkpoint: str, keys: Sequence[str],
-                order: Sequence[str], price: str, chunk: str = "day") -> StreamingQuery:
+                order: Sequence[str], price: str) -> StreamingQuery:
     """Rows cheaper than the last seen row of their key, within and across micro-batches."""
     from borgata.operators.monitor import previous_value
 
@@ -96,7 +96,7 @@ def price_drops(stream: DataFrame, alerts: str, state: str, checkpoint: str, key
         last = _state(spark, state, number)
         marked = batch.withColumn("_seen", F.lit(False))
         both = marked if last is None else marked.unionByName(last.withColumn("_seen", F.lit(True)))
-        stepped = previous_value(both, keys, list(order), price, F.date_trunc(chunk, F.col(order[0])))
+        stepped = previous_value(both, keys, order, price)
         found = stepped.filter(~F.col("_seen") & (F.col(price) < F.col("previous"))).drop("_seen")
         found.write.mode("overwrite").parquet(f"{alerts}/batch={number}")
         newest = both.drop("_seen").groupBy(*keys).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("_r"))
