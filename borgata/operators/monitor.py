@@ -25,6 +25,18 @@ def price_drops(old: DataFrame, new: DataFrame, keys: Sequence[str], price: str
 ROWS_PER_STRETCH = 1_000_000
 
 
+def _on_a_line(df: DataFrame, column: str) -> Column:
+    """A time or number column as a DOUBLE that never runs against its order."""
+    c, kind = F.col(column), dict(df.dtypes)[column]
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if kind in ("timestamp_ntz", "date"):
+        # Field by field: a cast would read the session's time zone with its clock changes.
+        seconds = F.unix_date(F.to_date(c)) * F.lit(86400.0)
+        return seconds if kind == "date" else seconds + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    return c.cast("double")
+
+
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
                    name: str = "previous", rows_per_stretch: int = ROWS_PER_STRETCH) -> DataFrame:
     """Value of the row before, per key, without ordering a whole key in one task.
@@ -34,8 +46,7 @@ def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     their stretch; the last value of a stretch is carried to the next one by a second series of one
     row per stretch.  Key columns must not be NULL.
     """
-    lead = F.col(order[0])
-    place = (F.unix_micros(lead) if dict(df.dtypes)[order[0]] == "timestamp" else lead).cast("double")
+    place = _on_a_line(df, order[0])
     spans = df.groupBy(*keys).agg(
         F.ceil(F.count("*") / rows_per_stretch).alias("_parts"), F.min(place).alias("_from"), F.max(place).alias("_to")
     )
