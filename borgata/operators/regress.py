@@ -176,7 +176,9 @@ def compare(results: Mapping[str, DataFrame]) -> DataFrame:
 
 def f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """(feature, score, p_value): univariate F test of every feature in one pass over the data."""
-    one = df.agg(F.count("*").alias("n"), *[F.corr(c, label).alias(f"r{i}") for i, c in enumerate(features)])
+    # Not corr(): it fails on a constant feature in ANSI mode, where the score is simply unknown.
+    r = lambda c: F.try_divide(F.covar_pop(c, label), F.stddev_pop(c) * F.stddev_pop(label))
+    one = df.agg(F.count("*").alias("n"), *[r(c).alias(f"r{i}") for i, c in enumerate(features)])
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("r")) for i, c in enumerate(features)])
     rows = one.select("n", F.inline(entries))
     r2 = F.col("r") * F.col("r")

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "local[4]", app="tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g",
+        "local[8]", app="tests", spark__sql__shuffle__partitions="2", spark__driver__memory="4g",
         spark__ui__showConsoleProgress="false",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),

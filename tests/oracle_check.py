@@ -38,9 +38,11 @@ def rows(columns, data):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
-def compare(spark, con, fn, sql: str, sf_dir: str) -> str | None:
-    """None when equal, else what differs."""
+def compare(spark, con, fn, sql: str, sf_dir: str, plans: list | None = None) -> str | None:
+    """None when equal, else what differs.  ``plans`` collects the text of the planned query."""
     df = fn(spark, sf_dir)
+    if plans is not None:
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
     got = [tuple(r) for r in df.collect()]
     res = con.execute(sql)
     names = [d[0] for d in res.description]

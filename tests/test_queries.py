@@ -90,7 +90,7 @@ def test_block_words(spark):
 NUMBERS = st.one_of(st.integers(-50, 50).map(float), st.floats(-1e9, 1e9), st.sampled_from([0.0, 1e-300, -1e-300, 1e300]))
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=6, deadline=None)
 @given(st.lists(NUMBERS, min_size=1, max_size=60))
 def test_percentiles_are_exact(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
