@@ -11,8 +11,9 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from borgata.functions.numbers import market_price
+from borgata.functions.numbers import market_price, to_double
 from borgata.functions.text import absolute_url, first_match, let, strip, strip_tags
+from borgata.operators.clean import script_coordinates
 
 
 @dataclass(frozen=True)
@@ -262,6 +263,45 @@ def label_values(pages: DataFrame, labels: Mapping[str, Sequence[str]] = DETAIL_
     return listed.select(*keep, *[value(w).alias(n) for n, w in labels.items()])
 
 
+# Parts of a detail page outside its label pairs.
+MAIN_FEATURES = {
+    "piano": r'(?s)<li[^>]*aria-label="piano"[^>]*>(.*?)</li>',
+    "superficie": r'(?s)<li[^>]*aria-label="superficie"[^>]*>(.*?)</li>',
+    "locali": r'(?s)<li[^>]*aria-label="locali"[^>]*>(.*?)</li>',
+    "bagni": r'(?s)<li[^>]*aria-label="bagn[^"]*"[^>]*>(.*?)</li>',
+    "prezzo": r'(?s)<li[^>]*class="[^"]*in-detail__mainFeaturesPrice[^"]*"[^>]*>(.*?)</li>',
+}
+DETAIL_LISTS = {
+    "descrizione": r'(?s)<div[^>]*class="[^"]*im-description__text[^"]*"[^>]*>(.*?)</div>',
+    "altre_caratteristiche": r'(?s)<div[^>]*class="[^"]*im-features__list[^"]*"[^>]*>(.*?)</div>',
+    "immagini": r'(?s)<div[^>]*class="[^"]*im-carousel[^"]*"[^>]*>(.*?)</div>',
+}
+
+
+def detail_fields(pages: DataFrame, html: str = "html") -> DataFrame:
+    """All fields of a detail page: main features first, label pairs where those are silent, then
+    description, feature and image lists, and coordinates from the map or an inline script."""
+    keep = [c for c in pages.columns if c != html]
+    # Parsed once: label values, the markup without scripts, and the markup itself.
+    fields = label_values(pages.withColumn("_raw", F.col(html)), html=html).withColumn("_h", bare_markup(F.col("_raw")))
+    main = {n: F.coalesce(F.nullif(text_of(_matched(F.col("_h"), p)), F.lit("")), F.col(n)) for n, p in MAIN_FEATURES.items()}
+    block = {n: _matched(F.col("_h"), p) for n, p in DETAIL_LISTS.items()}
+    items = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    lists = {
+        "descrizione": F.filter(F.transform(F.split(block["descrizione"], "<[^>]*>"), strip), lambda x: x != ""),
+        "altre_caratteristiche": F.transform(items(block["altre_caratteristiche"], r"(?s)<li[^>]*>(.*?)</li>"), text_of),
+        "immagini": items(block["immagini"], r'<img[^>]*src="([^"]*)"'),
+    }
+    number = lambda name: to_double(_matched(F.col("_h"), f'<div[^>]*data-cy="[^"]*map[^"]*"[^>]*{name}="([^"]*)"'))
+    lat, lng = number("data-lat"), number("data-lng")
+    script = F.when(F.contains("_raw", F.lit("coordinates")), F.col("_raw"))
+    s_lat, s_lng = script_coordinates(script)
+    on_map = lat.isNotNull() & lng.isNotNull()
+    place = {"latitudine": F.when(on_map, lat).otherwise(s_lat), "longitudine": F.when(on_map, lng).otherwise(s_lng)}
+    out = fields.withColumns({**main, **lists, **place})
+    return out.select(*keep, *DETAIL_LABELS, *lists, *place)
+
+
 def next_links(pages: DataFrame, pattern: str, host: str, url: str = "url", html: str = "html") -> DataFrame:
     """(page_url, next_url); the last page has NULL."""
     link = first_match(bare_markup(F.col(html)), pattern)

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from borgata.functions import dates
 from borgata.functions.text import keywords
 
 
@@ -56,7 +57,11 @@ def read_listings(
     return out if limit is None else out.limit(limit)
 
 
-def search_text(df: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:
+# Columns searched when none are named.
+SEARCH_COLUMNS = ["title", "description", "address", "macrozone", "city"]
+
+
+def search_text(df: DataFrame, query: str, columns: Sequence[str] = tuple(SEARCH_COLUMNS)) -> DataFrame:
     """Any column contains ``query``, case ignored; ``%`` and ``_`` in it are wildcards."""
     _known(df, columns)
     return df.filter(reduce(or_, [F.col(c).ilike(f"%{query}%") for c in columns]))
@@ -156,7 +161,7 @@ def fare_search(
     destination_country: str | None = None, currency: str | None = None,
 ) -> DataFrame:
     """Fares by day range, departure-time window and optional limits."""
-    window = F.date_format("departureTime", "HH:mm").between(time_from, time_to)
+    window = dates.clock(F.col("departureTime")).between(time_from, time_to)
     day = F.col("departureTime")
     found = optional(
         df,
@@ -187,3 +192,15 @@ def block_words_found(c: Column, words: Sequence[str] = BLOCK_WORDS) -> Column:
     low = F.lower(c)
     hits = F.array(*[F.when(F.contains(low, F.lit(w)), w) for w in words])
     return F.array_compact(hits)
+
+
+def split_blocked(pages: DataFrame, html: str = "html", status: str | None = None,
+                  words: Sequence[str] = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(usable pages, pages for the quarantine with the words found).
+
+    With a status column a page is set aside for a status other than 200, and the words only tell
+    why; without one a page is set aside for its words or for having no text.
+    """
+    marked = pages.withColumn("found", block_words_found(F.col(html), words))
+    bad = (F.col(html).isNull() | (F.size("found") > 0)) if status is None else F.coalesce(F.col(status) != 200, F.lit(True))
+    return marked.filter(~bad).drop("found"), marked.filter(bad)

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from borgata.functions import dates
+
 
 def compare_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str], price: str, stamp: str) -> DataFrame:
     """Old rows with their new price and time, ``<price>_new`` in second place."""
@@ -93,7 +95,7 @@ def parse_leg(leg: Column) -> Column:
     place = lambda p: F.concat_ws(", ", leg[p]["name"], leg[p]["countryName"])
     number = leg["flightNumber"]
     return F.struct(
-        F.try_to_timestamp(leg["departureDate"]).alias("departureTime"),
+        dates.parse_iso(leg["departureDate"]).alias("departureTime"),
         F.concat(F.substr(number, F.lit(1), F.lit(2)), F.lit(" "), F.substr(number, F.lit(3))).alias("flightNumber"),
         leg["price"]["value"].alias("price"),
         leg["price"]["currencyCode"].alias("currency"),

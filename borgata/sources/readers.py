@@ -124,6 +124,18 @@ def validate(df: DataFrame, text: str, schema: str | T.StructType, required: Seq
     return valid, rejected
 
 
+def json_or_text(text: Column, schema: str) -> Column:
+    """Struct of the parsed value and, where the text is no such JSON, the raw text."""
+    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    return F.struct(parsed.alias("value"), F.when(F.try_parse_json(text).isNull(), text).alias("raw"))
+
+
+def result_list(text: Column, item: str) -> Column:
+    """``items`` of the ``list`` object of an answer; a ``list`` that is no object counts as empty."""
+    found = F.from_json(text, f"list STRUCT<items: ARRAY<{item}>>")["list"]["items"]
+    return F.coalesce(found, F.array().cast(f"array<{item}>"))
+
+
 def file_name_parts(path: Column) -> Column:
     """Struct of city and contract of ``ads_CITY_CONTRACT.csv``; 'unknown' where a part is absent."""
     parts = F.split(F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.csv$", ""), "_")

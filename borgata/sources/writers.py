@@ -122,6 +122,11 @@ def read_version(spark: SparkSession, path: str, number: int | None = None) -> D
     return spark.read.parquet(f"{path}/v={number}")
 
 
+def rewrite_sorted(spark: SparkSession, path: str, *order: str) -> int:
+    """Sort a versioned table into its next version; the version being read is left alone."""
+    return write_version(read_version(spark, path).orderBy(*order), path)
+
+
 # --- fan-out and reports -------------------------------------------------------------------------
 
 def fan_out(df: DataFrame, sinks: Mapping[str, Callable[[DataFrame], None]]) -> dict[str, str]:

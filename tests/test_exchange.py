@@ -174,3 +174,18 @@ def test_spread_only_small_inputs(spark, tmp_path):
     spark.range(100).repartition(8).write.parquet(str(tmp_path / "many"))
     many = spark.read.parquet(str(tmp_path / "many"))
     assert session.spread(many) is many
+
+
+def test_json_or_text_and_result_lists(spark):
+    df = spark.createDataFrame([('{"a": 1}',), ("plain words",)], "t string").coalesce(1)
+    got = [r[0] for r in df.select(readers.json_or_text(F.col("t"), "a INT")).collect()]
+    assert got[0]["value"]["a"] == 1 and got[0]["raw"] is None and got[1]["raw"] == "plain words"
+    lists = spark.createDataFrame([('{"list": {"items": [{"n": 1}]}}',), ('{"list": "none"}',), ("{}",)], "t string").coalesce(1)
+    assert [len(r[0]) for r in lists.select(readers.result_list(F.col("t"), "STRUCT<n: INT>")).collect()] == [1, 0, 0]
+
+
+def test_rewrite_sorted(spark, tmp_path):
+    path = str(tmp_path / "s")
+    writers.write_version(spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "via string, piano int").repartition(3), path)
+    assert writers.rewrite_sorted(spark, path, "via", "piano") == 2
+    assert [tuple(r) for r in writers.read_version(spark, path).coalesce(1).collect()] == [("a", 1), ("a", 2), ("b", 1)]

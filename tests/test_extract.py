@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from borgata.operators import extract
+from borgata.operators import clean, extract
 from borgata.operators.extract import Rule
 
 
@@ -88,3 +88,17 @@ def test_label_values_take_first_containing_label(spark):
 def test_next_links(spark):
     df = spark.createDataFrame([("u1", '<a class="next" href="/p2">n</a>'), ("u2", "end")], "url string, html string").coalesce(1)
     assert [tuple(r) for r in extract.next_links(df, r'<a class="next" href="([^"]*)"', "https://h").collect()] == [("u1", "https://h/p2"), ("u2", None)]
+
+
+def test_detail_page(spark):
+    pair = lambda k, v: f'<div class="im-properties__title">{k}</div><div>{v}</div>'
+    html = ('<ul class="in-landingDetail__mainFeatures"><li aria-label="piano">4</li><li aria-label="superficie"> </li>'
+            '<li class="x in-detail__mainFeaturesPrice">€\xa01.250.000</li></ul>' + pair("Piano", "3") + pair("Superficie", "80 m²") + pair("Ascensore", "Sì")
+            + pair("Classe Energetica", "Classe g") + '<div class="im-description__text">Bella<br> casa </div><div class="im-features__list"><ul><li> Cantina </li><li></li></ul></div>'
+            '<div class="im-carousel"><img src="a.jpg"><img class="z" src="b.jpg"></div><script>var coordinates = {"lat": 44.3, "lng": 8.4};</script>')
+    pages = spark.createDataFrame([(1, html), (2, '<div data-cy="the-map" data-lat="1.5" data-lng="2.5"></div>')], "id int, html string")
+    a, b = clean.normalize_details(extract.detail_fields(pages)).orderBy("id").collect()
+    assert (a["piano"], a["superficie"], a["prezzo"], a["ascensore"], a["classe_energetica"]) == (4, 80.0, 1250000.0, True, "G")
+    assert a["descrizione"] == "Bella casa" and a["altre_caratteristiche"] == ["Cantina"] and a["immagini"] == ["a.jpg", "b.jpg"]
+    assert (a["latitudine"], a["longitudine"]) == (44.3, 8.4) and (b["latitudine"], b["longitudine"]) == (1.5, 2.5)
+    assert b["piano"] is None

@@ -169,3 +169,11 @@ def test_entry_counts(spark):
     df = spark.createDataFrame([("a, b",), ("b ,c",), (None,)], "f string")
     assert {tuple(r) for r in stats.entry_counts(df, "f").collect()} == {("a", 1), ("b", 2), ("c", 1)}
     assert [tuple(r) for r in stats.entry_counts(df, "f", 2).collect()] == [("b", 2)]
+
+
+def test_quarantine(spark):
+    df = spark.createDataFrame([(1, "captcha", 200), (2, "fine", 403), (3, "fine", 200), (4, None, None)], "id int, html string, status int").coalesce(1)
+    good, bad = filters.split_blocked(df)
+    assert ids(good) == [2, 3] and ids(bad) == [1, 4]
+    good, bad = filters.split_blocked(df, status="status")
+    assert ids(good) == [1, 3] and ids(bad) == [2, 4]
