@@ -18,11 +18,23 @@ _SETTINGS = {
 }
 
 
-def build_session(master: str | None = None, app: str = "borgata", **extra: str) -> SparkSession:
-    """A session with AQE on.  ``extra`` keys use ``__`` for dots."""
+SHUFFLE_PART_BYTES = 200 * 1024 * 1024
+
+
+def shuffle_partitions(input_bytes: int, least: int = 200) -> int:
+    """Partitions that hold about 200 MB each if all input were shuffled; AQE merges what is too
+    small, but never splits a partition that is too large for reasons other than join skew."""
+    return max(least, -(-input_bytes // SHUFFLE_PART_BYTES))
+
+
+def build_session(master: str | None = None, app: str = "borgata", input_bytes: int | None = None,
+                  **extra: str) -> SparkSession:
+    """A session with AQE on.  ``extra`` keys use ``__`` for dots; ``input_bytes`` sizes shuffles."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if input_bytes is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes)))
     for key, value in _SETTINGS.items():
         builder = builder.config(key, value)
     for key, value in extra.items():

@@ -189,3 +189,8 @@ def test_rewrite_sorted(spark, tmp_path):
     writers.write_version(spark.createDataFrame([("b", 1), ("a", 2), ("a", 1)], "via string, piano int").repartition(3), path)
     assert writers.rewrite_sorted(spark, path, "via", "piano") == 2
     assert [tuple(r) for r in writers.read_version(spark, path).coalesce(1).collect()] == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_shuffle_sizing():
+    assert session.shuffle_partitions(10) == 200
+    assert session.shuffle_partitions(100 * 1024**4) == 524_288
