@@ -25,59 +25,92 @@ def value_range_id(v: Column) -> Column:
     return F.when(v < 0, -size).otherwise(size)
 
 
-def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Rows (by..., fraction, value) with linear interpolation; NULL and NaN values are left out."""
-    keys = list(by)
+def _placed(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str], moments: bool) -> DataFrame:
+    """Rows (_g, _p, _a, _z, _w, _s): the two neighbours of each wanted rank, the weight between
+    them, and with ``moments`` the group's n, mean, min, max and M2 (sum of squared deviations)."""
     v = F.col(value).cast("double")
     # A struct keeps a NULL group key apart from "no row" in the joins below.
-    group = F.struct(F.lit(0).alias("_all"), *[F.col(k) for k in keys])
+    group = F.struct(F.lit(0).alias("_all"), *[F.col(k) for k in by])
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(v)).select(
         group.alias("_g"), value_range_id(v).alias("_b"), v.alias("_v")
     )
-    counts = rows.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
+    parts = [F.count("*").alias("_n")]
+    if moments:
+        parts += [F.avg("_v").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.var_pop("_v").alias("_q")]
+    counts = rows.groupBy("_g", "_b").agg(*parts)
     per_group = Window.partitionBy("_g")
     before = per_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
+        "_total", F.sum("_n").over(per_group)
+    )
+    summary = F.lit(None).cast("int")
+    if moments:
+        # Squared deviations of the ranges about the common mean add up without cancellation.
+        counts = counts.withColumn("_mean", F.sum(F.col("_m") * F.col("_n")).over(per_group) / F.col("_total"))
+        off = F.col("_m") - F.col("_mean")
+        counts = counts.withColumn("_m2", F.sum(F.col("_n") * (F.col("_q") + off * off)).over(per_group))
+        summary = F.struct(
+            F.col("_total").alias("n"), F.col("_mean").alias("mean"), F.min("_low").over(per_group).alias("min"),
+            F.max("_high").over(per_group).alias("max"), F.col("_m2").alias("m2"),
+        )
     spot = F.col("_p") * (F.col("_total") - 1)
     targets = (
-        counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_n").over(per_group))
+        counts.withColumn("_s", summary)
         .withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in fractions])))
         .withColumns({"_lo": F.floor(spot), "_hi": F.ceil(spot), "_w": spot - F.floor(spot)})
         .filter((F.col("_hi") >= F.col("_before")) & (F.col("_lo") < F.col("_before") + F.col("_n")))
         .groupBy("_g", "_b", "_before")
-        .agg(F.collect_list(F.struct("_p", "_lo", "_hi", "_w")).alias("_t"))
+        .agg(F.first("_s").alias("_s"), F.collect_list(F.struct("_p", "_lo", "_hi", "_w")).alias("_t"))
     )
-    if not keys:
+    if not by:
         # Without groups there are at most two ranges per fraction, so this side is known to be tiny.
         targets = F.broadcast(targets)
+        rows = rows.join(targets.select("_g", "_b"), ["_g", "_b"], "left_semi")
+    values = rows.groupBy("_g", "_b", "_v").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    values = (
-        rows.join(targets.select("_g", "_b"), ["_g", "_b"], "left_semi") if not keys else rows
-    ).groupBy("_g", "_b", "_v").agg(F.count("*").alias("_n"))
     placed = (
         values.join(targets, ["_g", "_b"])
         .withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_n"))
-        .select("_g", "_v", "_start", "_end", F.inline("_t"))
+        .select("_g", "_v", "_start", "_end", "_s", F.inline("_t"))
     )
     inside = lambda r: (F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end"))
-    picked = placed.groupBy("_g", "_p").agg(
+    return placed.groupBy("_g", "_p").agg(
         F.max(F.when(inside("_lo"), F.col("_v"))).alias("_a"),
         F.max(F.when(inside("_hi"), F.col("_v"))).alias("_z"),
         F.max("_w").alias("_w"),
+        F.first("_s").alias("_s"),
     )
-    return picked.select(
-        *[F.col("_g")[k].alias(k) for k in keys],
-        F.col("_p").alias("fraction"),
-        (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")).alias("value"),
-    )
+
+
+def _value() -> Column:
+    return F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")
+
+
+def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Rows (by..., fraction, value) with linear interpolation; NULL and NaN values are left out."""
+    rows = _placed(df, value, fractions, list(by), moments=False)
+    return rows.select(*[F.col("_g")[k].alias(k) for k in by], F.col("_p").alias("fraction"), _value().alias("value"))
+
+
+def _wide(named: dict[str, float], fraction: str, value: Column) -> list[Column]:
+    return [F.max(F.when(F.col(fraction) == F.lit(float(p)), value)).alias(n) for n, p in named.items()]
 
 
 def wide_percentiles(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with one column per named fraction."""
     rows = exact_percentiles(df, value, list(named.values()), by)
-    columns: list[Column] = [
-        F.max(F.when(F.col("fraction") == F.lit(float(p)), F.col("value"))).alias(n)
-        for n, p in named.items()
-    ]
-    return rows.groupBy(*by).agg(*columns)
+    return rows.groupBy(*by).agg(*_wide(named, "fraction", F.col("value")))
+
+
+def summarize(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Count, mean, min, max, sample standard deviation and named percentiles per group, from the
+    same two passes as the percentiles alone.  Groups without a value give no row."""
+    keys = list(by)
+    rows = _placed(df, value, list(named.values()), keys, moments=True)
+    whole = rows.groupBy("_g").agg(F.first("_s").alias("_s"), *_wide(named, "_p", _value()))
+    spread = F.when(F.col("_s.n") > 1, F.sqrt(F.col("_s.m2") / (F.col("_s.n") - 1)))
+    return whole.select(
+        *[F.col("_g")[k].alias(k) for k in keys],
+        "_s.n", "_s.mean", "_s.min", "_s.max", spread.alias("std"), *named,
+    )

@@ -8,34 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from borgata.functions import numbers
 from borgata.functions.text import strip
-from borgata.operators.quantiles import wide_percentiles
+from borgata.operators.quantiles import summarize, wide_percentiles
 
 PERCENTILES = [25, 50, 75, 90, 95, 99]
 BINS = 30
 OVERLAY_POINTS = 500
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on keys that may be NULL; key columns of the left side are kept.
-
-    ``<=>`` joins hash on the key, so this stays an equi-join.
-    """
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    test = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, test, "left").drop(*[f"_r_{k}" for k in keys])
-
-
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """count, mean, median, min, max and sample standard deviation, per group."""
-    v = F.col(value)
-    base = df.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.min(v).alias("min"),
-        F.max(v).alias("max"), F.stddev_samp(v).alias("std"),
-    )
-    middle = wide_percentiles(df, value, {"median": 0.5}, by)
-    if by:
-        return null_safe_join(base, middle, by)
-    return base.withColumn("median", middle.scalar())
+    """n, mean, min, max, sample standard deviation and median, per group that has values."""
+    return summarize(df, value, {"median": 0.5}, by)
 
 
 def percentiles(df: DataFrame, value: str, by: Sequence[str] = (), at: Sequence[int] = PERCENTILES) -> DataFrame:
@@ -121,18 +103,13 @@ def gaussian_overlay(df: DataFrame, value: str, points: int = OVERLAY_POINTS, bi
 
 def sigma_lines(df: DataFrame, value: str) -> DataFrame:
     """(line, value): the reference lines of the overlay."""
-    s = bounds(df, value)
-    q = wide_percentiles(df, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}).select(
-        F.struct("p25", "median", "p75").alias("q")
-    ).scalar()
+    c = F.col
     lines = {
-        "mean": s["mean"], "median": q["median"], "mean-1s": s["mean"] - s["std"],
-        "mean+1s": s["mean"] + s["std"], "mean+3s": s["mean"] + s["std"] * 3,
-        "p25": q["p25"], "p75": q["p75"],
+        "mean": c("mean"), "median": c("median"), "mean-1s": c("mean") - c("std"),
+        "mean+1s": c("mean") + c("std"), "mean+3s": c("mean") + c("std") * 3, "p25": c("p25"), "p75": c("p75"),
     }
-    one = df.sparkSession.range(1, numPartitions=1)
     entries = F.array(*[F.struct(F.lit(n).alias("line"), v.alias("value")) for n, v in lines.items()])
-    return one.select(F.inline(entries))
+    return summarize(df, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}).select(F.inline(entries))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
