@@ -10,8 +10,8 @@ from borgata.streaming import jobs
 
 
 def _events(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return jobs.source(spark, sf, schema, files_per_batch=1, pattern="events.parquet")
+    # A pattern, because a stream takes a single file only that way; it finds a folder of files too.
+    return jobs.source(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema)
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
