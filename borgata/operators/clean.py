@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from borgata.functions import flags, floors, numbers, text, titles
+from borgata.functions import dates, flags, floors, numbers, text, titles
 
 # Columns of the flat listing table by kind.
 LONG_COLUMNS = ["id", "typology_id", "propertiesCount", "rooms", "bathrooms", "agency_id"]
@@ -46,46 +46,27 @@ def apply_by_kind(df: DataFrame, rules: Mapping[str, Callable[[Column], Column]]
 
 def coerce_types(df: DataFrame) -> DataFrame:
     """Typed columns for the store; values that do not parse become NULL."""
+    kinds = dict(df.dtypes)
+    texts = lambda names: [c for c in names if kinds.get(c) == "string"]
     rules: dict[str, Callable[[Column], Column]] = {}
-    rules.update({c: numbers.whole_number for c in LONG_COLUMNS})
-    rules.update({c: numbers.to_double for c in DOUBLE_COLUMNS})
-    rules.update({c: flags.to_flag for c in FLAG_COLUMNS})
-    rules.update({c: text.clean_text for c in TEXT_COLUMNS + URL_COLUMNS})
-    rules.update({c: (lambda x: F.try_to_timestamp(x.cast("string"))) for c in TIME_COLUMNS})
-    rules["floor_number"] = floors.floor_store
-    string_only = set(TEXT_COLUMNS + URL_COLUMNS) | {"floor_number"}
-    types = {f.name: f.dataType for f in df.schema.fields}
-    rules = {
-        c: r
-        for c, r in rules.items()
-        if not (c in string_only and c in types and not isinstance(types[c], T.StringType))
-        and not isinstance(types.get(c), (T.TimestampType, T.BooleanType))
-    }
-    if "surface" in df.columns:
+    rules |= {c: numbers.whole_number if kinds.get(c) == "string" else numbers.to_long for c in LONG_COLUMNS}
+    rules |= {c: numbers.to_double for c in DOUBLE_COLUMNS}
+    rules |= {c: flags.to_flag for c in FLAG_COLUMNS if kinds.get(c) != "boolean"}
+    rules |= {c: text.clean_text for c in texts(TEXT_COLUMNS + URL_COLUMNS)}
+    rules |= {c: dates.parse_iso for c in texts(TIME_COLUMNS)}
+    rules |= {c: floors.floor_store for c in texts(["floor_number"])}
+    if "surface" in kinds:
         df = df.withColumn("surface_m2", numbers.surface_first_number(F.col("surface")))
-    for c in LONG_COLUMNS:
-        if c in types and not isinstance(types[c], T.StringType):
-            rules[c] = numbers.to_long
     return apply_by_kind(df, rules)
 
 
 def clean_on_read(df: DataFrame) -> DataFrame:
     """Read side of the store: trim texts, missing words to NULL, dates parsed."""
+    kinds = dict(df.dtypes)
+    texts = lambda names: [c for c in names if kinds.get(c) == "string"]
     trimmed = lambda c: text.strip(text.missing_to_null(c))
-    types = {f.name: f.dataType for f in df.schema.fields}
-    rules = {
-        c: trimmed
-        for c in READ_TEXT_COLUMNS + URL_COLUMNS + ["price_formatted", "price_range"]
-        if isinstance(types.get(c), T.StringType)
-    }
-    rules.update(
-        {
-            c: (lambda x: F.try_to_timestamp(x))
-            for c in TIME_COLUMNS
-            if isinstance(types.get(c), T.StringType)
-        }
-    )
-    return apply_by_kind(df, rules)
+    rules = {c: trimmed for c in texts([*READ_TEXT_COLUMNS, *URL_COLUMNS, "price_formatted", "price_range"])}
+    return apply_by_kind(df, rules | {c: dates.parse_iso for c in texts(TIME_COLUMNS)})
 
 
 def null_normalize(df: DataFrame) -> DataFrame:

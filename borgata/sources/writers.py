@@ -6,8 +6,12 @@ from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from borgata.operators import store
+from borgata.session import scratch_dir
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
@@ -57,6 +61,28 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "
     )
 
 
+def upsert_partitioned(batch: DataFrame, path: str, keys: Sequence[str] = ("id", "city"), part: str = "city",
+                       seq: str = "ingest_seq") -> None:
+    """Document upsert into a partitioned folder; only partitions that the batch touches are read
+    and replaced.
+
+    The touched values come to the driver, which lists the partitions of the folder anyway.  The
+    merged partitions are written aside first, so no partition is read while it is replaced.
+    """
+    spark = batch.sparkSession
+    touched = [r[0] for r in batch.select(part).distinct().collect()]
+    if None in touched:
+        raise ValueError(f"fill {part} first: a document without it has no partition")
+    try:
+        whole = spark.read.parquet(path)
+    except AnalysisException:
+        whole = spark.createDataFrame([], batch.drop(seq).schema)
+    merged = store.upsert_documents(whole.filter(F.col(part).isin(touched)), batch, keys, seq)
+    aside = scratch_dir(spark, "upsert")
+    merged.write.parquet(aside)
+    write_partitioned(spark.read.parquet(aside), path, [part])
+
+
 def write_table(df: DataFrame, table: str, if_exists: str = "append") -> None:
     """``fail``, ``replace`` or ``append``."""
     modes = {"fail": "errorifexists", "replace": "overwrite", "append": "append"}

@@ -194,3 +194,13 @@ def test_rewrite_sorted(spark, tmp_path):
 def test_shuffle_sizing():
     assert session.shuffle_partitions(10) == 200
     assert session.shuffle_partitions(100 * 1024**4) == 524_288
+
+
+def test_partitioned_document_upsert(spark, tmp_path):
+    path, schema = str(tmp_path / "docs"), "id string, price double, city string, ingest_seq long"
+    writers.upsert_partitioned(spark.createDataFrame([("a", 1.0, "x", 1), ("b", 2.0, "y", 2)], schema), path)
+    untouched = {p.name for p in (tmp_path / "docs/city=y").glob("*.parquet")}
+    writers.upsert_partitioned(spark.createDataFrame([("a", None, "x", 1), ("c", 3.0, "x", 2), ("a", 9.0, "x", 3)], schema), path)
+    got = sorted((r["id"], r["price"], r["city"]) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 9.0, "x"), ("b", 2.0, "y"), ("c", 3.0, "x")]
+    assert {p.name for p in (tmp_path / "docs/city=y").glob("*.parquet")} == untouched
