@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from borgata.operators import features as f
+
 SEED = 42
 TREES = 100
 TOP_FEATURES = 20
@@ -21,8 +23,6 @@ TOP_FEATURES = 20
 
 def column_info(df: DataFrame) -> dict[str, Any]:
     """Column groups found in a frame; everything else is left out of the model."""
-    from borgata.operators import features as f
-
     have = set(df.columns)
     floor = next((c for c in ("floor_number", "floor") if c in have), None)
     return {
@@ -40,8 +40,6 @@ def preprocessor(df: DataFrame, info: Mapping[str, Any]) -> tuple[list, list[str
     One-hot keeps an unknown bucket while encoding, then a slicer drops the alphabetically first
     level, so a value not seen in training becomes all zeros.
     """
-    from borgata.operators import features as f
-
     stages: list = []
     names: list[str] = []
     inputs: list[str] = []
@@ -268,7 +266,7 @@ def selected_columns(info: Mapping[str, Any], chosen: Sequence[str]) -> dict[str
     return {
         "numeric_cols": [c for c in info["numeric_cols"] if c in chosen],
         "floor_col": info["floor_col"] if "floor_numeric" in chosen else None,
-        "categorical_cols": [c for c in info["categorical_cols"] if any(f.startswith(f"{c}_") for f in chosen)],
+        "categorical_cols": [c for c in info["categorical_cols"] if any(n.startswith(f"{c}_") for n in chosen)],
         "bool_cols": [c for c in info["bool_cols"] if c in chosen],
         "binary_features_cols": [c for c in info["binary_features_cols"] if c in chosen],
     }
