@@ -1,6 +1,5 @@
 """Rule-driven extraction."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from borgata.operators import clean, extract
