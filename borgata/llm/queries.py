@@ -10,7 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from borgata.llm import decontaminate, licenses, line_dedup, quality_rules, token_counts
+from borgata.llm import (
+    decontaminate, licenses, line_dedup, near_dups, pieces, quality_model, quality_rules, sharding, token_counts,
+)
 
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
@@ -42,10 +44,14 @@ QUERIES = {
     fn.__name__: shipped(fn)
     for fn in (
         licenses.op1_license_scan,
+        sharding.op2_sharding,
+        quality_model.op3_quality_model,
+        near_dups.op4_near_dups,
         line_dedup.op5_line_dedup,
         quality_rules.op6_quality_rules,
         token_counts.op7_token_counts,
         decontaminate.op8_decontaminate,
+        pieces.op10_pieces,
     )
 }
 
@@ -63,6 +69,23 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_TOKENS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_K = near_dups.SHINGLE
+_NEAR_DUPS = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_TOKENS.format(_FOLD.format('text'))} AS w FROM documents),
+placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {_K - 2}, 2))) AS i FROM d WHERE len(w) > 0),
+sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {_K - 1}], ' ') AS s FROM placed),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM sets a JOIN sets b USING (s) WHERE a.doc_id < b.doc_id
+ GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+ WHERE 100 * both_ >= {near_dups.LEAST_PERCENT} * (p.n + q.n - both_)),
+sides AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN sizes USING (doc_id)
+"""
+
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _DECONTAMINATE = f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(_FOLD.format('text'))} AS w FROM benchmark),
@@ -134,6 +157,7 @@ FROM judged
 
 
 ORACLES = {
+    "op4_near_dups": _NEAR_DUPS,
     "op5_line_dedup": _LINE_DEDUP,
     "op6_quality_rules": _quality_sql(),
     "op8_decontaminate": _DECONTAMINATE,

@@ -7,10 +7,11 @@ long texts, repeated rows and empty tables are handled as the operator of each s
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from borgata import session
-from borgata.llm import decontaminate, line_dedup, quality_rules
+from borgata.llm import decontaminate, line_dedup, near_dups, pieces, quality_rules
 from borgata.llm.queries import ship
 
 
@@ -23,15 +24,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return near_dups.drop_near_duplicates(docs)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_pieces, ids_sha256, round_trip)."""
+    ship(spark)
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 STAGES = [
     ("quality rules", quality),
     ("line dedup", lines),
+    ("MinHash near-dedup", near_duplicates),
     ("benchmark decontamination", benchmark),
+    ("SentencePiece encoding", encode),
 ]
 
 #: The pieces of the last stage are beyond SQL.
