@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from borgata.llm import (
-    decontaminate, licenses, line_dedup, near_dups, pieces, quality_model, quality_rules, sharding, token_counts,
+    decontaminate, licenses, line_dedup, lm_scoring, near_dups, pieces, quality_model, quality_rules, sharding, token_counts,
 )
 
 _ROOT = Path(__file__).resolve().parents[2]
@@ -51,6 +51,7 @@ QUERIES = {
         quality_rules.op6_quality_rules,
         token_counts.op7_token_counts,
         decontaminate.op8_decontaminate,
+        lm_scoring.op9_lm_scores,
         pieces.op10_pieces,
     )
 }
