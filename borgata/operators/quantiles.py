@@ -1,11 +1,11 @@
 """Exact percentiles that never bring a whole group into one task.
 
 The built-in exact ``percentile`` merges a value -> count map of the whole group in a single task.
-Here a first pass counts rows per (group, narrow value range).  The ranges follow the logarithm of
-the value, so they need no knowledge of the data, and a group has a bounded number of them.  The
-counts tell which ranges hold the wanted ranks; a second pass collapses just those ranges to
-(value, count) rows and orders each range in its own task.  Range width only decides how the work
-is spread, never the result.
+Here a first pass keeps a mergeable quantile sketch of every group, with the moments.  Its error is
+bounded, so it brackets each wanted percentile between two values that lie a few ranks in ten
+thousand apart, however the values are spread or bunched.  A second pass counts: rows outside the
+brackets collapse to one cell per gap with its count, least and greatest value, rows inside to
+(value, count).  The counts give exact ranks, so the percentiles are exact.
 """
 
 from __future__ import annotations
@@ -14,103 +14,82 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Ranges per unit of the natural logarithm: each is 0.02 % of its value wide.
-RESOLUTION = 5_000
+#: A sketch's rank error is one in so many; a bracket reaches three times as far on both sides.
+ACCURACY = 10_000
+MOMENTS = ("n", "mean", "min", "max", "std")
 
 
-def value_range_id(v: Column) -> Column:
-    """Number of the range of a value; follows the order of the values, 0 for zero."""
-    # The smallest positive double has a logarithm above -750, so the shift keeps numbers positive.
-    size = F.coalesce(F.floor((F.ln(F.abs(v)) + 750) * RESOLUTION), F.lit(0).cast("bigint"))
-    return F.when(v < 0, -size).otherwise(size)
-
-
-def _placed(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str], moments: bool) -> DataFrame:
-    """Rows (_g, _p, _a, _z, _w, _s): the two neighbours of each wanted rank, the weight between
-    them, and with ``moments`` the group's n, mean, min, max and M2 (sum of squared deviations)."""
+def _placed(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str],
+            accuracy: int = ACCURACY) -> DataFrame:
+    """One row per group with values: keys _k0.., the moments, and per fraction the two neighbours of
+    its rank and the weight between them (_a0, _z0, _w0, ...)."""
     v = F.col(value).cast("double")
-    # A struct keeps a NULL group key apart from "no row" in the joins below.
-    group = F.struct(F.lit(0).alias("_all"), *[F.col(k) for k in by])
+    keys = [f"_k{i}" for i in range(len(by))]
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(v)).select(
-        group.alias("_g"), value_range_id(v).alias("_b"), v.alias("_v")
-    )
-    parts = [F.count("*").alias("_n")]
-    if moments:
-        parts += [F.avg("_v").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.var_pop("_v").alias("_q")]
-    counts = rows.groupBy("_g", "_b").agg(*parts)
-    per_group = Window.partitionBy("_g")
-    before = per_group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
-        "_total", F.sum("_n").over(per_group)
+        *[F.col(c).alias(k) for c, k in zip(by, keys)], v.alias("_v")
     )
-    summary = F.lit(None).cast("int")
-    if moments:
-        # Squared deviations of the ranges about the common mean add up without cancellation.
-        counts = counts.withColumn("_mean", F.sum(F.col("_m") * F.col("_n")).over(per_group) / F.col("_total"))
-        off = F.col("_m") - F.col("_mean")
-        counts = counts.withColumn("_m2", F.sum(F.col("_n") * (F.col("_q") + off * off)).over(per_group))
-        summary = F.struct(
-            F.col("_total").alias("n"), F.col("_mean").alias("mean"), F.min("_low").over(per_group).alias("min"),
-            F.max("_high").over(per_group).alias("max"), F.col("_m2").alias("m2"),
-        )
-    spot = F.col("_p") * (F.col("_total") - 1)
-    targets = (
-        counts.withColumn("_s", summary)
-        .withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in fractions])))
-        .withColumns({"_lo": F.floor(spot), "_hi": F.ceil(spot), "_w": spot - F.floor(spot)})
-        .filter((F.col("_hi") >= F.col("_before")) & (F.col("_lo") < F.col("_before") + F.col("_n")))
-        .groupBy("_g", "_b", "_before")
-        .agg(F.first("_s").alias("_s"), F.collect_list(F.struct("_p", "_lo", "_hi", "_w")).alias("_t"))
+    reach = 3 / accuracy
+    ends = [min(1.0, max(0.0, float(p) + side)) for p in fractions for side in (-reach, reach)]
+    summary = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("min"), F.max("_v").alias("max"),
+        F.stddev_samp("_v").alias("std"), F.percentile_approx("_v", ends, accuracy).alias("_q"),
     )
-    if not by:
-        # Without groups there are at most two ranges per fraction, so this side is known to be tiny.
-        targets = F.broadcast(targets)
-        rows = rows.join(targets.select("_g", "_b"), ["_g", "_b"], "left_semi")
-    values = rows.groupBy("_g", "_b", "_v").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy("_g", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        values.join(targets, ["_g", "_b"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-        .select("_g", "_v", "_start", "_end", "_s", F.inline("_t"))
-    )
-    inside = lambda r: (F.col("_start") <= F.col(r)) & (F.col(r) < F.col("_end"))
-    return placed.groupBy("_g", "_p").agg(
-        F.max(F.when(inside("_lo"), F.col("_v"))).alias("_a"),
-        F.max(F.when(inside("_hi"), F.col("_v"))).alias("_z"),
-        F.max("_w").alias("_w"),
-        F.first("_s").alias("_s"),
+    if by:
+        named = summary.withColumnsRenamed({k: f"_j{k}" for k in keys})
+        same = [rows[k].eqNullSafe(named[f"_j{k}"]) for k in keys]
+        marked = rows.join(named, same)
+    else:
+        marked = rows.withColumn("_s", summary.select(F.struct("*")).scalar()).select("_v", "_s.*")
+    pairs = [(F.get("_q", F.lit(2 * i)), F.get("_q", F.lit(2 * i + 1))) for i in range(len(fractions))]
+    inside, passed = F.lit(False), F.lit(0)
+    for low, high in pairs:
+        inside = inside | F.col("_v").between(low, high)
+        passed = passed + (F.col("_v") > high).cast("int")
+    cells = marked.groupBy(*keys, passed.alias("_gap"), F.when(inside, F.col("_v")).alias("_in")).agg(
+        F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"),
+        *[F.max(m).alias(m) for m in MOMENTS],
     )
+    upto = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_low").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = cells.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
+    out = [F.max(m).alias(m) for m in MOMENTS]
+    for i, p in enumerate(fractions):
+        spot = F.lit(float(p)) * (F.col("n") - 1)
+        for name, rank in ((f"_a{i}", F.floor(spot)), (f"_z{i}", F.ceil(spot))):
+            at = (
+                F.when(F.col("_in").isNotNull() | (rank == F.col("_start")), F.col("_low"))
+                .when(rank == F.col("_end") - 1, F.col("_high"))
+                .otherwise(F.raise_error(F.lit("a rank outside its bracket")).cast("double"))
+            )
+            out.append(F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), at)).alias(name))
+        out.append(F.max(spot - F.floor(spot)).alias(f"_w{i}"))
+    return ranked.groupBy(*keys).agg(*out).filter("n IS NOT NULL")
 
 
-def _value() -> Column:
-    return F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_w")
+def _value(i: int) -> Column:
+    low, high = F.col(f"_a{i}"), F.col(f"_z{i}")
+    return low + (high - low) * F.col(f"_w{i}")
 
 
-def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Rows (by..., fraction, value) with linear interpolation; NULL and NaN values are left out."""
-    rows = _placed(df, value, fractions, list(by), moments=False)
-    return rows.select(*[F.col("_g")[k].alias(k) for k in by], F.col("_p").alias("fraction"), _value().alias("value"))
+def _keys(by: Sequence[str]) -> list[Column]:
+    return [F.col(f"_k{i}").alias(k) for i, k in enumerate(by)]
 
 
-def _wide(named: dict[str, float], fraction: str, value: Column) -> list[Column]:
-    return [F.max(F.when(F.col(fraction) == F.lit(float(p)), value)).alias(n) for n, p in named.items()]
+def exact_percentiles(df: DataFrame, value: str, fractions: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Rows (by..., fraction, value) with linear interpolation; NULL and NaN values are left out."""
+    rows = _placed(df, value, fractions, by)
+    each = F.array(*[F.struct(F.lit(float(p)).alias("fraction"), _value(i).alias("value")) for i, p in enumerate(fractions)])
+    return rows.select(*_keys(by), F.inline(each))
 
 
 def wide_percentiles(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """One row per group with one column per named fraction."""
-    rows = exact_percentiles(df, value, list(named.values()), by)
-    return rows.groupBy(*by).agg(*_wide(named, "fraction", F.col("value")))
+    """One row per group with one column per named fraction; without groups always one row."""
+    rows = _placed(df, value, list(named.values()), by)
+    rows = rows.select(*_keys(by), *[_value(i).alias(n) for i, n in enumerate(named)])
+    return rows if by else rows.agg(*[F.max(n).alias(n) for n in named])
 
 
 def summarize(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, min, max, sample standard deviation and named percentiles per group, from the
     same two passes as the percentiles alone.  Groups without a value give no row."""
-    keys = list(by)
-    rows = _placed(df, value, list(named.values()), keys, moments=True)
-    whole = rows.groupBy("_g").agg(F.first("_s").alias("_s"), *_wide(named, "_p", _value()))
-    spread = F.when(F.col("_s.n") > 1, F.sqrt(F.col("_s.m2") / (F.col("_s.n") - 1)))
-    return whole.select(
-        *[F.col("_g")[k].alias(k) for k in keys],
-        "_s.n", "_s.mean", "_s.min", "_s.max", spread.alias("std"), *named,
-    )
+    rows = _placed(df, value, list(named.values()), by)
+    return rows.select(*_keys(by), *MOMENTS, *[_value(i).alias(n) for i, n in enumerate(named)])
