@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from borgata.functions import dates
+from borgata.session import scratch_dir
 
 
 def compare_snapshots(old: DataFrame, new: DataFrame, keys: Sequence[str], price: str, stamp: str) -> DataFrame:
@@ -24,46 +25,32 @@ def price_drops(old: DataFrame, new: DataFrame, keys: Sequence[str], price: str
     return both.filter(F.col(f"{price}_new") < F.col(price))
 
 
-ROWS_PER_STRETCH = 1_000_000
-
-
-def _on_a_line(df: DataFrame, column: str) -> Column:
-    """A time or number column as a DOUBLE that never runs against its order."""
-    c, kind = F.col(column), dict(df.dtypes)[column]
-    if kind == "timestamp":
-        return F.unix_micros(c).cast("double")
-    if kind in ("timestamp_ntz", "date"):
-        # Field by field: a cast would read the session's time zone with its clock changes.
-        seconds = F.unix_date(F.to_date(c)) * F.lit(86400.0)
-        return seconds if kind == "date" else seconds + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-    return c.cast("double")
-
-
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                   name: str = "previous", rows_per_stretch: int = ROWS_PER_STRETCH) -> DataFrame:
+                   name: str = "previous", parts: int | None = None) -> DataFrame:
     """Value of the row before, per key, without ordering a whole key in one task.
 
-    The series of a key is cut into stretches of the first order column (a time or a number), one
-    per ``rows_per_stretch`` rows, so only long series are cut at all.  Rows are ordered inside
-    their stretch; the last value of a stretch is carried to the next one by a second series of one
-    row per stretch.  Key columns must not be NULL.
+    The rows are dealt out by ranges of (keys, order): the ranges follow the rows, so a hot key, a
+    burst or an outlier only decides how many ranges a key spans.  A row finds its neighbour inside
+    its range; the last value of a key in a range is carried to the key's next range by a second
+    series of one row per key and range.  ``parts`` (default the shuffle partitions) changes how the
+    work is cut, never the result.  NULL keys are one key, NULL order values come first.
     """
-    place = _on_a_line(df, order[0])
-    spans = df.groupBy(*keys).agg(
-        F.ceil(F.count("*") / rows_per_stretch).alias("_parts"), F.min(place).alias("_from"), F.max(place).alias("_to")
-    )
-    part = F.floor((place - F.col("_from")) / (F.col("_to") - F.col("_from")) * F.col("_parts"))
-    cut = df.join(spans, list(keys)).withColumn(
-        "_chunk", F.when(F.col("_to") > F.col("_from"), F.least(part, F.col("_parts") - 1)).otherwise(F.lit(0))
-    ).drop("_parts", "_from", "_to")
-    # A struct holds the value, so that max_by also picks a last value that is NULL.
-    last = cut.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(*([parts] if parts else []), *keys, *order)
+    # Written once: both uses below must see the same ranges, also after a lost executor.
+    path = scratch_dir(spark, "ranges")
+    ranged.withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    cut = spark.read.parquet(path)
+    # Structs, so that max_by also picks a last value that is NULL and NULL order values come first.
+    last = cut.groupBy(*keys, "_range").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
     carry = last.select(
-        *keys, "_chunk", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))["v"].alias("_carry")
-    )
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        *[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_range").alias("_c_range"),
+        F.lag("_last").over(Window.partitionBy(*keys).orderBy("_range"))["v"].alias("_carry")
+    ).filter(F.col("_carry").isNotNull())
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     stepped = cut.withColumn("_prev", F.lag(value).over(inside)).withColumn("_rn", F.row_number().over(inside))
-    joined = stepped.join(carry, [*keys, "_chunk"], "left")
+    same = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys] + [F.col("_range") == F.col("_c_range")]
+    joined = stepped.join(carry, same, "left")
     result = F.when(F.col("_rn") > 1, F.col("_prev")).otherwise(F.col("_carry")).alias(name)
     return joined.select(*[F.col(c) for c in df.columns], result)
 

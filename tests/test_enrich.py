@@ -130,15 +130,16 @@ def test_snapshots(spark):
     assert [tuple(r) for r in drops.collect()] == [(10.0, 9.0, "a", "t0", "t1")]
 
 
-@pytest.mark.parametrize("size", [1, 7, 10_000])
-def test_previous_value_with_a_hot_key(spark, size):
-    """Stretches of any length give the plain lag, NULL values included."""
-    rows = [("hot" if i % 3 else f"k{i % 5}", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=(i * i) % 977), i,
-             None if i % 13 == 0 else float(i)) for i in range(400)]
+@pytest.mark.parametrize("parts", [1, 2, 40, None])
+def test_previous_value_however_it_is_cut(spark, parts):
+    """The plain lag: hot key, NULL keys, NULL values, NULL and far outlying order values, a burst of equal times."""
+    start = dt.datetime(2024, 1, 1)
+    when = lambda i: None if i % 50 == 7 else dt.datetime(1970, 1, 2) if i == 11 else start + dt.timedelta(seconds=(i * i) % 977 // 5)
+    rows = [("hot" if i % 3 else None if i % 5 == 0 else f"k{i % 5}", when(i), i, None if i % 13 == 0 else float(i)) for i in range(400)]
     df = spark.createDataFrame(rows, "k string, ts timestamp, n int, v double")
-    got = {r["n"]: r["previous"] for r in monitor.previous_value(df, ["k"], ["ts", "n"], "v", rows_per_stretch=size).collect()}
+    got = {r["n"]: r["previous"] for r in monitor.previous_value(df, ["k"], ["ts", "n"], "v", parts=parts).collect()}
     last, want = {}, {}
-    for k, t, n, v in sorted(rows, key=lambda r: (r[1], r[2])):
+    for k, t, n, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or start, r[2])):
         want[n] = last.get(k)
         last[k] = v
     assert got == want
