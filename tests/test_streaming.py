@@ -88,6 +88,25 @@ def test_price_drops_over_batches(spark, landing, tmp_path):
     assert got == {r["id"] for r in whole.filter(F.col("v") < F.col("previous")).collect()} and got
 
 
+def test_late_rows(spark, tmp_path):
+    """A late batch: its lower seq does not win the upsert, its cheaper price is reported."""
+    schema = "k string, at int, v double"
+
+    def batch(number, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{number}"))
+        source = lambda: jobs.source(spark, str(tmp_path / "in/*"), spark.createDataFrame([], schema).schema)
+        jobs.upsert(source(), str(tmp_path / "log"), str(tmp_path / "c1"), "k", "at").awaitTermination()
+        jobs.price_drops(source(), str(tmp_path / "alerts"), str(tmp_path / "state"), str(tmp_path / "c2"), ["k"], ["at"], "v",
+                         slots=4).awaitTermination()
+
+    batch(0, [("a", 10, 5.0), ("a", 30, 4.0), ("b", 30, 9.0), (None, 1, 8.0)])
+    batch(1, [("a", 20, 3.0), ("c", 1, 1.0), (None, 2, 7.0)])
+    batch(2, [("a", 40, 3.5), ("b", 20, 9.5)])
+    assert {r["k"]: r["v"] for r in jobs.upserted(spark, str(tmp_path / "log"), "k").collect()} == {"a": 3.5, "b": 9.0, "c": 1.0}
+    alerts = {(r["k"], r["at"], r["v"], r["previous"]) for r in spark.read.parquet(str(tmp_path / "alerts")).collect()}
+    assert alerts == {("a", 30, 4.0, 5.0), ("a", 20, 3.0, 4.0), (None, 2, 7.0, 8.0), ("a", 40, 3.5, 4.0)}
+
+
 def test_fan_out(spark, landing, tmp_path):
     folder, _ = landing
 
