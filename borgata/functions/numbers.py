@@ -16,9 +16,17 @@ def to_double(c: Column) -> Column:
 
 
 def whole_number(c: Column) -> Column:
-    """Text of a number without a fraction as BIGINT; anything else NULL."""
-    d = to_double(strip(c))
-    return F.when(d == F.floor(d), d).try_cast("bigint")
+    """Text of a number without a fraction as BIGINT; anything else NULL.
+
+    Whole numbers never pass through DOUBLE, which holds them only up to 2^53; texts with a point or
+    an exponent do, and only as far as DOUBLE is exact.
+    """
+    text = strip(c)
+    d = to_double(text)
+    other = F.when((d == F.floor(d)) & (F.abs(d) <= float(1 << 53)), d).try_cast("bigint")
+    exact = text.try_cast("decimal(38,9)")
+    whole = F.when(exact == F.floor(exact), exact).try_cast("bigint")
+    return F.when(F.regexp_like(text, F.lit(r"^[+-]?\d+$")), text.try_cast("bigint")).otherwise(F.coalesce(whole, other))
 
 
 def first_number(c: Column) -> Column:

@@ -7,8 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from borgata.functions import text
+
+# Each body says what the Column function of its name says; a test holds the two side by side.
+_BLANK = text.BLANK_CLASS.replace("\\", "\\\\")
+_STRIP_X = f"regexp_replace(x, '^{_BLANK}+|{_BLANK}+$', '')"
 _BODIES = {
-    "strip_tags(t STRING) RETURNS STRING": r"regexp_replace(t, '<[^>]*>', '')",
+    "strip_tags(t STRING) RETURNS STRING": "regexp_replace(t, '<[^>]*>', '')",
     "first_number(t STRING) RETURNS DOUBLE":
         r"try_cast(nullif(regexp_extract(t, '(\\d+\\.?\\d*)', 1), '') AS DOUBLE)",
     "listing_id(u STRING) RETURNS STRING": "element_at(split(substring_index(u, '?', 1), '/'), -1)",
@@ -18,10 +23,11 @@ _BODIES = {
         "WHEN lower(t) LIKE '%parcheggio%' OR lower(t) LIKE '%garage comune%' THEN 'common park' "
         "ELSE 'no park' END",
     "has_feature(t STRING, f STRING) RETURNS INT":
-        "CAST(coalesce(array_contains(transform(split(t, ','), x -> trim(x)), f), false) AS INT)",
+        f"CAST(coalesce(array_contains(transform(split(t, ','), x -> {_STRIP_X}), f), false) AS INT)",
     "haversine_km(a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS DOUBLE":
-        "12742 * asin(sqrt(pow(sin(radians(c - a) / 2), 2) "
-        "+ cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2)))",
+        "12742 * asin(sqrt(CASE WHEN {0} > 1 THEN 1D ELSE {0} END))".format(
+            "(pow(sin((radians(c) - radians(a)) / 2), 2) "
+            "+ cos(radians(a)) * cos(radians(c)) * pow(sin((radians(d) - radians(b)) / 2), 2))"),
 }
 
 

@@ -61,10 +61,15 @@ def read_listings(
 SEARCH_COLUMNS = ["title", "description", "address", "macrozone", "city"]
 
 
+def contains_text(c: Column, query: str) -> Column:
+    """``query`` somewhere in the text, case ignored; ``%`` and ``_`` are wildcards, a backslash is itself."""
+    return c.ilike("%" + query.replace("\\", "\\\\") + "%")
+
+
 def search_text(df: DataFrame, query: str, columns: Sequence[str] = tuple(SEARCH_COLUMNS)) -> DataFrame:
     """Any column contains ``query``, case ignored; ``%`` and ``_`` in it are wildcards."""
     _known(df, columns)
-    return df.filter(reduce(or_, [F.col(c).ilike(f"%{query}%") for c in columns]))
+    return df.filter(reduce(or_, [contains_text(F.col(c), query) for c in columns]))
 
 
 def value_range(df: DataFrame, bounds: Mapping[str, tuple[Any, Any]]) -> DataFrame:
@@ -139,7 +144,7 @@ def posting_search(
     return optional(
         df,
         {
-            "text": (text or None, lambda v: F.col("text").ilike(f"%{v}%")),
+            "text": (text or None, lambda v: contains_text(F.col("text"), v)),
             "status": (status, lambda v: F.col("status").isin(list(v))),
             "regione": (regione_id, lambda v: F.col("regioneId") == v),
             "categoria": (categoria_id, lambda v: F.col("categoriaId") == v),

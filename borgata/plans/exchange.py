@@ -18,7 +18,7 @@ def csv_roundtrip(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     # A carriage return would come back as a plain line break, so texts are written without.
     writers.write_csv(df.withColumn("text", F.replace("text", F.lit("\r"), F.lit("\\r"))), path)
-    back = readers.read_csv(spark, path, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    back = readers.read_csv(spark, path, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT", multi_line=True)
     return back.select("doc_id", F.md5(F.replace("text", F.lit("\\r"), F.lit("\r"))).alias("digest"), "lang", "source", "n_chars")
 
 
@@ -189,10 +189,10 @@ def validate_quarantine(spark, sf):
 
 
 @query("zone_entry_types", """
-SELECT c_custkey, CAST(c_custkey * 1000000000 AS BIGINT) AS ingest_seq FROM customer WHERE c_custkey % 3 <> 0""")
+SELECT c_custkey, c_custkey AS document, 0 AS place FROM customer WHERE c_custkey % 3 <> 0""")
 def zone_entry_types(spark, sf):
     k = F.col("c_custkey")
     entry = F.to_json(F.array(F.struct(k.cast("string").alias("id"), F.lit(3).alias("type"))))
     landed = table(spark, sf, "customer").select(k, F.when(k % 3 == 0, '{"error": "none"}').otherwise(entry).alias("json"))
     entries = readers.parse_zone_entries(landed, seq=k)
-    return entries.select(F.col("id").cast("bigint").alias("c_custkey"), "ingest_seq")
+    return entries.select(F.col("id").cast("bigint").alias("c_custkey"), "ingest_seq.document", "ingest_seq.place")

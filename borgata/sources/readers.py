@@ -12,11 +12,11 @@ CORRUPT = "_corrupt_record"
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | T.StructType, keep_bad: bool = False,
-             multi_line: bool = True) -> DataFrame:
+             multi_line: bool = False) -> DataFrame:
     """CSV with a header.  ``keep_bad`` adds the raw text of rows that do not fit the schema.
 
-    Quoted line breaks need ``multi_line``, which makes a file unsplittable: land many files of a
-    few hundred MB, or turn it off where texts hold no line breaks.
+    Quoted line breaks need ``multi_line``, which makes every file one task: ask for it only where
+    texts hold line breaks, and land such data as many files of a few hundred MB.
     """
     schema = schemas.parse(schema)
     full = schema
@@ -87,16 +87,19 @@ def parse_city_map(df: DataFrame, text: str = "json") -> DataFrame:
 
 
 def parse_zone_entries(df: DataFrame, text: str = "json", seq: Column | None = None) -> DataFrame:
-    """Zone entries from JSON arrays; anything but an array gives no rows."""
+    """Zone entries from JSON arrays; anything but an array gives no rows.
+
+    ``ingest_seq`` is (``seq`` of the document, place in its array), which orders entries in reading
+    order; without ``seq`` the document's text itself tells documents apart.
+    """
     entries = F.from_json(F.when(F.ltrim(text).startswith("["), F.col(text)), schemas.ZONE_ENTRIES)
-    order = F.lit(0) if seq is None else seq
+    order = F.col(text) if seq is None else seq
     exploded = df.select(order.alias("_o"), F.posexplode(entries).alias("_p", "e"))
-    # A document index times the longest array keeps entries in reading order.
-    return exploded.select("e.*", (F.col("_o").cast("bigint") * 1_000_000_000 + F.col("_p")).alias("ingest_seq"))
+    return exploded.select("e.*", F.struct(F.col("_o").alias("document"), F.col("_p").alias("place")).alias("ingest_seq"))
 
 
 def read_airports(spark: SparkSession, path: str) -> DataFrame:
-    return airport_dimension(read_csv(spark, path, schemas.AIRPORT, multi_line=False))
+    return airport_dimension(read_csv(spark, path, schemas.AIRPORT))
 
 
 def airport_dimension(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ def test_csv_round_trip_and_bad_rows(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b", c\nd'), (2, None), (3, "è")], "id int, t string").coalesce(1)
     path = str(tmp_path / "csv")
     assert writers.export_csv(df, path)
-    back = readers.read_csv(spark, path, "id INT, t STRING")
+    back = readers.read_csv(spark, path, "id INT, t STRING", multi_line=True)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     assert not writers.export_csv(df.filter("id > 9"), str(tmp_path / "none"))
     (tmp_path / "bad.csv").write_text("id,t\n1,a\nx,b\n")
@@ -25,7 +25,7 @@ def test_many_files_and_unions(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / f"ads_savona_{n}.csv").write_text(f"id,t\n{n},a\n")
     paths = [str(tmp_path / f"ads_savona_{n}.csv") for n in (1, 2)]
-    assert readers.read_csv(spark, paths, "id INT, t STRING").count() == 2
+    assert readers.read_csv(spark, paths, "id INT, t STRING", multi_line=True).count() == 2
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([("q",)], "y string")
     assert [tuple(r) for r in readers.union_sources([a, b]).collect()] == [(1, None), (None, "q")]
 

@@ -122,6 +122,26 @@ def test_sql_functions(spark):
     assert "Python" not in plan
 
 
+def test_sql_functions_say_what_the_columns_say(spark):
+    registry.register_sql_functions(spark)
+    words = ["a, Balcone", "a,\xa0Balcone ", "Balcone", "<b>1 in box privato</b>", "2 in Parcheggio", "x 95.5 <", "h/itm/3?x", "A b", "", None]
+    df = spark.createDataFrame([(w, float(i * 37 % 90), float(i * 53 % 180)) for i, w in enumerate(words)], "t string, a double, b double")
+    t, a, b = F.col("t"), F.col("a"), F.col("b")
+    pairs = {
+        "strip_tags(t)": text.strip_tags(t), "first_number(t)": numbers.first_number(t), "listing_id(t)": text.listing_id(t),
+        "slug(t)": text.slug(t), "garage_type(t)": garage.garage_type(t), "has_feature(t, 'Balcone')": text.has_feature(t, "Balcone"),
+        "haversine_km(a, b, -a, b - 180)": geo.haversine_km(a, b, -a, b - 180),
+    }
+    for sql, column in pairs.items():
+        for row in df.select(F.expr(sql).alias("x"), column.alias("y")).collect():
+            assert row["x"] == (pytest.approx(row["y"]) if isinstance(row["y"], float) else row["y"]), (sql, row)
+
+
+def test_whole_numbers_keep_all_digits(apply):
+    texts = ["9007199254740993", " -9223372036854775808 ", "9223372036854775808", "12.0", "12.5", "1e3", "9007199254740993.0", "x", "", None]
+    assert apply(numbers.whole_number, texts) == [9007199254740993, -9223372036854775808, None, 12, None, 1000, 9007199254740993, None, None, None]
+
+
 BLANK_OR_TEXT = st.text(alphabet="ab \t\n\r\x0b\x0c\x1c\x1f\x85\xa0       　€1", max_size=25)
 
 
