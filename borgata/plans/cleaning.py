@@ -12,7 +12,7 @@ from borgata.sources import readers
 
 
 @query("coerce_types", with_listings(r"""
-SELECT id, TRY_CAST(CASE WHEN id % 4 = 0 THEN 'n/d' ELSE CAST(rooms AS STRING) END AS BIGINT) AS rooms,
+SELECT id, CASE WHEN id % 4 <> 0 THEN rooms + 9007199254740993 END AS rooms,
  CASE WHEN id % 3 = 0 THEN NULL ELSE price_value END AS price_value,
  CASE WHEN lower(trim(elevator)) IN ('true','yes','y','t','sì','si','s','vero','1','1.0') THEN true
   WHEN lower(trim(elevator)) IN ('false','no','n','f','falso','0','0.0') THEN false END AS elevator,
@@ -23,7 +23,7 @@ SELECT id, TRY_CAST(CASE WHEN id % 4 = 0 THEN 'n/d' ELSE CAST(rooms AS STRING) E
 def coerce_types(spark, sf):
     df = listings(spark, sf, "id", "rooms", "price_value", "elevator", "floor_text", "surface", "created_at", spread=True)
     dirty = df.select(
-        "id", F.when(F.col("id") % 4 == 0, "n/d").otherwise(F.col("rooms").cast("string")).alias("rooms"),
+        "id", F.when(F.col("id") % 4 == 0, "n/d").otherwise((F.col("rooms") + 9007199254740993).cast("string")).alias("rooms"),
         F.when(F.col("id") % 3 == 0, "su richiesta").otherwise(F.col("price_value").cast("string")).alias("price_value"),
         "elevator", F.col("floor_text").alias("floor_number"), "surface",
         F.when(F.col("id") % 5 == 0, "ieri").otherwise(F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")).alias("created_at"),

@@ -32,11 +32,17 @@ def price_drop(spark, sf):
 
 
 @query("price_history_lag", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE user_id END AS user_id, event_type, value,
+ CASE WHEN event_id % 89 = 0 THEN NULL WHEN event_id = 5 THEN TIMESTAMP '1970-01-02 00:00:00' ELSE ts END AS ts FROM events)
 SELECT event_id, user_id, event_type, value, lag(value) OVER w AS previous,
  CASE WHEN value < lag(value) OVER w THEN 1 ELSE 0 END AS dropped
-FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
+FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts NULLS FIRST, event_id)""")
 def price_history_lag(spark, sf):
-    ev = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    """With NULL keys, NULL times and one far outlier among the times."""
+    n = F.col("event_id")
+    ts = F.when(n % 89 == 0, None).when(n == 5, F.lit("1970-01-02 00:00:00").cast("timestamp")).otherwise(F.col("ts").cast("timestamp"))
+    ev = table(spark, sf, "events").select(
+        "event_id", ts.alias("ts"), F.when(n % 97 != 0, F.col("user_id")).alias("user_id"), "event_type", "value")
     h = monitor.previous_value(ev, ["user_id", "event_type"], ["ts", "event_id"], "value")
     dropped = F.when(F.col("value") < F.col("previous"), 1).otherwise(0)
     return h.select("event_id", "user_id", "event_type", "value", "previous", dropped.alias("dropped"))

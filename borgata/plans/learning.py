@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from borgata.functions import text
@@ -78,11 +78,10 @@ def linear_fit(spark, sf):
     df = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
     data = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(df)
     model = LinearRegression(labelCol="l_extendedprice", solver="normal").fit(data)
-    row = (float(model.coefficients[0]), float(model.intercept))
-    scored = df.withColumn("prediction", F.col("l_quantity") * row[0] + row[1])
-    m = regress.metrics(scored, "l_extendedprice").select(F.round("r2", 6).alias("r2"))
-    n = df.agg(F.count("*")).scalar()
-    return m.select(n.alias("n"), F.round(F.lit(row[0]), 4).alias("slope"), F.round(F.lit(row[1]), 2).alias("intercept"), "r2")
+    fit = model.summary
+    return spark.range(1).select(
+        F.lit(fit.numInstances).cast("long").alias("n"), F.round(F.lit(float(model.coefficients[0])), 4).alias("slope"),
+        F.round(F.lit(float(model.intercept)), 2).alias("intercept"), F.round(F.lit(float(fit.r2)), 6).alias("r2"))
 
 
 @query("regression_metrics", """
@@ -125,3 +124,61 @@ def forest_metrics(spark, sf):
     long = m.select("part", F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("mae", "rmse", "r2")])))
     weights = regress.importances(spark, model, names).select(F.lit("importance").alias("part"), F.col("feature").alias("name"), F.col("importance").alias("value"))
     return long.unionByName(weights)
+
+
+def _stump_sql(name, source, label):
+    """CTEs: best single cut of ``label`` over the two features, and the mean on both sides of it."""
+    cuts = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, {f} AS cut, sum(n) OVER w AS n_left, sum(s) OVER w AS s_left, sum(n) OVER () AS n, sum(s) OVER () AS s "
+        f"FROM (SELECT {f}, count(*) AS n, sum({label}) AS s FROM {source} GROUP BY {f}) WINDOW w AS (ORDER BY {f})"
+        for f in ("l_linenumber", "l_discount"))
+    return f"""{name}_cuts AS ({cuts}),
+{name} AS (SELECT feature, cut, s_left / n_left AS low, (s - s_left) / (n - n_left) AS high FROM {name}_cuts WHERE n_left < n
+ ORDER BY s_left * s_left / n_left + (s - s_left) * (s - s_left) / (n - n_left) DESC LIMIT 1)"""
+
+
+def _side(name):
+    return (f"CASE WHEN CASE {name}.feature WHEN 'l_linenumber' THEN l_linenumber ELSE l_discount END <= {name}.cut "
+            f"THEN {name}.low ELSE {name}.high END")
+
+
+_STUMP_DATA = "d AS (SELECT CAST(l_linenumber AS DOUBLE) AS l_linenumber, l_discount, l_extendedprice AS y FROM lineitem)"
+
+
+def _predicted(spark, sf, estimator):
+    """Mean prediction of a model of two columns, for every pair of their values."""
+    names = ["l_linenumber", "l_discount"]
+    df = table(spark, sf, "lineitem").select(*names, "l_extendedprice")
+    data = VectorAssembler(inputCols=names, outputCol="features").transform(df)
+    scored = estimator.setLabelCol("l_extendedprice").fit(data).transform(data)
+    return scored.groupBy(*names).agg(F.round(F.avg("prediction"), 4).alias("prediction"))
+
+
+@query("tree_stump", f"""
+WITH {_STUMP_DATA}, {_stump_sql('one', 'd', 'y')}
+SELECT CAST(l_linenumber AS INTEGER) AS l_linenumber, l_discount, round({_side('one')}, 4) AS prediction FROM (SELECT DISTINCT l_linenumber, l_discount FROM d), one""")
+def tree_stump(spark, sf):
+    """A forest of one unsampled tree of depth one: split and leaf means have a closed form."""
+    return _predicted(spark, sf, RandomForestRegressor(
+        numTrees=1, maxDepth=1, maxBins=64, bootstrap=False, featureSubsetStrategy="all", seed=regress.SEED))
+
+
+@query("boosted_stumps", f"""
+WITH {_STUMP_DATA}, {_stump_sql('one', 'd', 'y')},
+r AS (SELECT l_linenumber, l_discount, 2 * (y - {_side('one')}) AS rest FROM d, one), {_stump_sql('two', 'r', 'rest')}
+SELECT CAST(l_linenumber AS INTEGER) AS l_linenumber, l_discount, round({_side('one')} + 0.1 * {_side('two')}, 4) AS prediction
+FROM (SELECT DISTINCT l_linenumber, l_discount FROM d), one, two""")
+def boosted_stumps(spark, sf):
+    """Two boosting steps of depth one: the second fits twice the residual of the first, at a tenth."""
+    return _predicted(spark, sf, GBTRegressor(maxIter=2, maxDepth=1, maxBins=64, stepSize=0.1, seed=regress.SEED))
+
+
+@query("ridge_fit", """
+WITH m AS (SELECT count(*) AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, covar_pop(l_extendedprice, l_quantity) AS c, var_pop(l_quantity) AS v FROM lineitem)
+SELECT round(c * n / (v * n + 1000000), 2) AS slope, round(my - c * n / (v * n + 1000000) * mx, 0) AS intercept FROM m""")
+def ridge_fit(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice")
+    data = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(df)
+    model = regress.ridge(data, "l_extendedprice", alpha=1e6, tol=1e-12, maxIter=200).fit(data)
+    return spark.range(1).select(F.round(F.lit(float(model.coefficients[0])), 2).alias("slope"),
+                                 F.round(F.lit(float(model.intercept)), 0).alias("intercept"))

@@ -21,10 +21,13 @@ def filter_order_limit(spark, sf):
 
 
 @query("text_search_any", """
-SELECT doc_id, source, lang FROM documents WHERE text ILIKE '%th_t%' OR source ILIKE '%th_t%'""")
+SELECT doc_id, source, lang FROM (SELECT *, concat(source, chr(92), lang) AS place FROM documents)
+WHERE text ILIKE '%th_t%' OR place ILIKE '%th_t%' OR text ILIKE '%_1\\E%' ESCAPE '' OR place ILIKE '%_1\\E%' ESCAPE ''""")
 def text_search_any(spark, sf):
-    df = table(spark, sf, "documents", spread=True)
-    return filters.search_text(df, "th_t", ["text", "source"]).select("doc_id", "source", "lang")
+    """A wildcard, and a text with a backslash."""
+    df = table(spark, sf, "documents").withColumn("place", F.concat("source", F.lit("\\"), "lang"))
+    found = [filters.contains_text(F.col(c), q) for q in ("th_t", "_1\\E") for c in ("text", "place")]
+    return df.filter(found[0] | found[1] | found[2] | found[3]).select("doc_id", "source", "lang")
 
 
 @query("range_filter", with_listings("""
