@@ -100,13 +100,16 @@ def id_ranges(docs: DataFrame, doc: str, batches: int) -> list[tuple[int | None,
 
 
 def dropped_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", batches: int = BATCHES) -> DataFrame:
-    """(_d_doc, _d_at): position of every line that goes, from 0, once for each row of the document."""
+    """(_d_doc, _d_row, _d_at): position of every line that goes, from 0; ``_d_row`` is a hash of the
+    text, which tells rows of one id apart."""
     spark = docs.sparkSession
     work = session.scratch_dir(spark, "line-keys")
-    lines = docs.select(F.coalesce(doc, F.lit(_LAST)).alias("_d_doc"), F.posexplode(split_lines(F.col(text))).alias("_d_at", "_d_line"))
-    keyed = lines.select("_d_doc", "_d_at", line_key(F.col("_d_line")).alias("k")).filter(F.char_length("k") >= LEAST)
+    lines = docs.select(F.coalesce(doc, F.lit(_LAST)).alias("_d_doc"), F.xxhash64(text).alias("_d_row"),
+                        F.posexplode(split_lines(F.col(text))).alias("_d_at", "_d_line"))
+    keyed = lines.select("_d_doc", "_d_row", "_d_at", line_key(F.col("_d_line")).alias("k")).filter(F.char_length("k") >= LEAST)
     # xxhash64 of the key, and of the key with a constant before it: independent seeds.
-    keyed.select("_d_doc", "_d_at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), F.col("k")).alias("h2")).write.parquet(work)
+    hashes = F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), F.col("k")).alias("h2")
+    keyed.select("_d_doc", "_d_row", "_d_at", *hashes).write.parquet(work)
     keyed = spark.read.parquet(work)
     runs, gone = LineRuns(spark), None
     for low, high in id_ranges(docs, doc, batches):
@@ -116,7 +119,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", batc
         if high is not None:
             batch = batch.filter(F.col("_d_doc") <= high)
         owned = runs.add(runs.fresh(batch.groupBy("h1", "h2").agg(F.min("_d_doc").alias("_d_doc"))))
-        lost = batch.join(owned, ["h1", "h2", "_d_doc"], "left_anti").select("_d_doc", "_d_at")
+        lost = batch.join(owned, ["h1", "h2", "_d_doc"], "left_anti").select("_d_doc", "_d_row", "_d_at")
         gone = lost if gone is None else gone.unionByName(lost)
     return gone
 
@@ -124,9 +127,10 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", batc
 def deduplicated(docs: DataFrame, text: str = "text", doc: str = "doc_id", batches: int = BATCHES) -> DataFrame:
     """The rows with ``_d_text`` (lines that stay, joined), ``_d_n_lines`` and ``_d_n_dropped``."""
     gone = dropped_lines(docs, text, doc, batches)
-    gone = gone.groupBy("_d_doc").agg(F.collect_set("_d_at").alias("_d_gone"))
-    split = docs.withColumn("_d_lines", split_lines(F.col(text))).withColumn("_d_key", F.coalesce(doc, F.lit(_LAST)))
-    both = split.join(gone, F.col("_d_key") == F.col("_d_doc"), "left")
+    gone = gone.groupBy("_d_doc", "_d_row").agg(F.collect_set("_d_at").alias("_d_gone"))
+    split = docs.withColumn("_d_lines", split_lines(F.col(text))).withColumn("_d_hash", F.xxhash64(text))
+    split = split.withColumn("_d_key", F.coalesce(doc, F.lit(_LAST)))
+    both = split.join(gone, (F.col("_d_key") == F.col("_d_doc")) & (F.col("_d_hash") == F.col("_d_row")), "left")
     n = F.size("_d_lines")
     stays = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_d_gone"))
     text_of = F.array_join(F.transform(stays, lambda i: F.get("_d_lines", i)), "\n")
