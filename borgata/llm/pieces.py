@@ -33,7 +33,7 @@ from borgata.llm import ragged
 
 MARK = "▁"
 #: Units whose pieces a Python worker keeps between slices.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _NEVER = -1e18
@@ -119,8 +119,8 @@ class Encoder:
         joined = {c for p in self.vocab if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in joined)
         self.cut = re.compile(f"{MARK}*[^{MARK}{alone}]+|[{alone}]|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.apart: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
         least = min(self.score.values(), default=0.0)
         self.unknown_score = least - 10
 
@@ -152,82 +152,90 @@ class Encoder:
             offer(i)
         return [p for p in part if p]
 
-    def _stays_apart(self, left: str, right: str) -> bool:
-        key = (left, right)
+    def _stays_apart(self, left: int, right: int) -> bool:
+        key = left << 32 | right
         found = self.apart.get(key)
         if found is None:
-            found = self.apart[key] = self.merged(left + right) == [left, right]
+            a, b = self.model.pieces[left], self.model.pieces[right]
+            found = self.apart[key] = self.merged(a + b) == [a, b]
         return found
 
-    def _is_whole(self, piece: str) -> bool:
+    def _is_whole(self, piece: int) -> bool:
         found = self.whole.get(piece)
         if found is None:
-            found = self.whole[piece] = self.merged(piece) == [piece]
+            text = self.model.pieces[piece]
+            found = self.whole[piece] = self.merged(text) == [text]
         return found
 
-    def _extend_bpe(self, unit: str, at: int, last: list[str]) -> str:
+    def _extend_bpe(self, unit: str, at: int, ids: list[int]) -> tuple[int, int]:
+        """(id, length) of the last piece; a character without a piece is -1 and joins nothing."""
         vocab, apart = self.vocab, self.apart
         for size in self.lengths.get(unit[at - 2:at], ()) if at > 1 else ():
             if size > at:
                 continue
-            piece = unit[at - size:at]
-            if piece in vocab:
-                left = last[at - size]
-                fits = apart.get((left, piece)) if size < at else self._is_whole(piece)
+            piece = vocab.get(unit[at - size:at])
+            if piece is None:
+                continue
+            left = ids[at - size] if size < at else -2
+            if left == -2:
+                fits = self._is_whole(piece)
+            else:
+                fits = left == -1 or apart.get(left << 32 | piece)
                 if fits is None:
                     fits = self._stays_apart(left, piece)
-                if fits:
-                    return piece
-        return unit[at - 1]
+            if fits:
+                return piece, size
+        return vocab.get(unit[at - 1], -1), 1
 
-    def _extend_unigram(self, unit: str, at: int, best: list[float], last: list[str]) -> tuple[float, str]:
-        top, choice = _NEVER, ""
+    def _extend_unigram(self, unit: str, at: int, best: list[float]) -> tuple[float, int, int]:
+        """(score, id, length) of the best way to end here."""
+        top, choice, length = _NEVER, -1, 1
         for size in (*self.lengths.get(unit[at - 2:at] if at > 1 else "", ()), 1):
             if size > at:
                 continue
             piece = unit[at - size:at]
-            score = self.score.get(piece, self.unknown_score if size == 1 else _NEVER)
-            if best[at - size] + score > top:
-                top, choice = best[at - size] + score, piece
-        return top, choice
-
-    def _ids(self, parts: list[str]) -> bytes:
-        out: list[int] = []
-        for p in parts:
-            known = self.vocab.get(p)
-            if known is not None:
-                out.append(known)
-            elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
-        return array("i", out).tobytes()
+            score = best[at - size] + self.score.get(piece, self.unknown_score if size == 1 else _NEVER)
+            if score > top:
+                top, choice, length = score, self.vocab.get(piece, -1), size
+        return top, choice, length
+
+    def _without_piece(self, text: str) -> list[int]:
+        return [self.bytes[b] for b in text.encode()] if self.bytes else [self.unknown]
 
     def encode_units(self, units: list[str]) -> dict[str, bytes]:
         """Ids (four bytes each) of sorted distinct units."""
         found: dict[str, bytes] = {}
-        last, best, previous = [""], [0.0], ""
+        # Forward states of the unit's prefixes: last piece, its length, and for unigrams the score.
+        ids, sizes, best, previous = [-2], [0], [0.0], ""
         bpe = self.model.kind == BPE
         for unit in units:
             if bpe and unit.startswith(MARK + MARK):
-                found[unit] = self._ids(self.merged(unit))
+                out = []
+                for p in self.merged(unit):
+                    out += [self.vocab[p]] if p in self.vocab else self._without_piece(p)
+                found[unit] = array("i", out).tobytes()
                 continue
             shared, most = 0, min(len(unit), len(previous))
             while shared < most and unit[shared] == previous[shared]:
                 shared += 1
-            del last[shared + 1:], best[shared + 1:]
+            del ids[shared + 1:], sizes[shared + 1:], best[shared + 1:]
             for at in range(shared + 1, len(unit) + 1):
                 if bpe:
-                    last.append(self._extend_bpe(unit, at, last))
+                    piece, size = self._extend_bpe(unit, at, ids)
                 else:
-                    score, piece = self._extend_unigram(unit, at, best, last)
+                    score, piece, size = self._extend_unigram(unit, at, best)
                     best.append(score)
-                    last.append(piece)
-            previous, parts, at = unit, [], len(unit)
+                ids.append(piece)
+                sizes.append(size)
+            previous, out, at = unit, [], len(unit)
             while at:
-                parts.append(last[at])
-                at -= len(last[at])
-            found[unit] = self._ids(parts[::-1])
+                if ids[at] >= 0:
+                    out.append(ids[at])
+                else:
+                    out += reversed(self._without_piece(unit[at - 1]))
+                at -= sizes[at]
+            out.reverse()
+            found[unit] = array("i", out).tobytes()
         if len(self.apart) > REMEMBERED:
             self.apart.clear()
         return found
