@@ -12,8 +12,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from borgata.functions.numbers import market_price, to_double
-from borgata.functions.text import absolute_url, first_match, let, strip, strip_tags
-from borgata.operators.clean import script_coordinates
+from borgata.functions.text import absolute_url, blank_to_null, first_match, let, strip, strip_tags
+from borgata.functions.titles import split_composite_title
+from borgata.operators.clean import preview_labels, script_coordinates
 
 
 @dataclass(frozen=True)
@@ -131,6 +132,7 @@ class CardField:
     default: str | None = None
     plain: bool = True  # strip tags and blanks
     convert: Callable[[Column], Column] | None = None  # applied to the value last
+    many: bool = False  # all matches of the first pattern, as an array
 
 
 def extract_cards(pages: DataFrame, card: str, fields: Mapping[str, CardField], html: str = "html") -> DataFrame:
@@ -138,6 +140,9 @@ def extract_cards(pages: DataFrame, card: str, fields: Mapping[str, CardField],
     keep = [c for c in pages.columns if c != html]
 
     def value(inner: Column, spec: CardField) -> Column:
+        if spec.many:
+            every = F.regexp_extract_all(inner, F.lit(spec.patterns[0]), F.lit(1))
+            return F.array_compact(F.transform(every, lambda x: blank_to_null(text_of(x))) if spec.plain else every)
         found = [_matched(inner, p) for p in spec.patterns]
         if spec.plain:
             found = [let(f, text_of) for f in found]
@@ -183,6 +188,7 @@ PORTAL_FIELDS = {
     "url": CardField((r'<a class="in-listingCardTitle"[^>]*href="([^"]*)"',), plain=False),
     "prezzo": CardField((r'(?s)class="in-listingCardPrice"[^>]*>\s*<span>(.*?)</span>',)),
     "immagine": CardField((r'<img[^>]*src="([^"]*)"',), plain=False),
+    "caratteristiche": CardField((r'(?s)class="in-listingCardFeatureList__item"[^>]*>\s*<span[^>]*>(.*?)</span>',), many=True),
 }
 SECOND_CARD = r'(?s)<article class="srp-card">(.*?)</article>'
 SECOND_FIELDS = {
@@ -199,8 +205,28 @@ SECOND_FIELDS = {
 
 
 def portal_cards(pages: DataFrame, host: str, html: str = "html") -> DataFrame:
+    """Cards with their list of preview features, each also in the field that its label names."""
     cards = extract_cards(pages, PORTAL_CARD, PORTAL_FIELDS, html)
-    return cards.withColumn("url", absolute_url(F.col("url"), host))
+    return preview_labels(cards.withColumn("url", absolute_url(F.col("url"), host)), "caratteristiche")
+
+
+# Item cards of the second marketplace; everything but the favourites is in the link's title.
+ITEM_CARD = r'(?s)<div class="new-item-box__container[^>]*>(.*?)(?=<div class="new-item-box__container|$)'
+ITEM_FIELDS = {
+    "Link": CardField((r'(?s)new-item-box__image-container[^>]*>\s*<a[^>]*href="([^"]*)"',), plain=False),
+    "_text": CardField((r'(?s)new-item-box__image-container[^>]*>\s*<a[^>]*title="([^"]*)"',), plain=False),
+    "_likes": CardField((r'(?s)new-item-box__favourite-icon.*?<span class="web_ui__Text[^>]*>(.*?)</span>',)),
+}
+
+
+def item_cards(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Items of the second marketplace; cards whose title does not split into its parts go."""
+    cards = extract_cards(pages, ITEM_CARD, ITEM_FIELDS, html).withColumn("_t", split_composite_title(F.col("_text")))
+    named = {"Titolo": "title", "Brand": "brand", "Condizione": "condition", "Prezzo": "price",
+             "Prezzo con spedizione": "price_with_shipping", "Note": "notes"}
+    likes = F.regexp_replace("_likes", r"\s", "").try_cast("int").alias("Preferiti")
+    rest = [c for c in cards.columns if c not in ("_text", "_likes", "_t")]
+    return cards.filter(F.col("_t").isNotNull()).select(*rest, *[F.col("_t")[f].alias(n) for n, f in named.items()], likes)
 
 
 def second_portal_cards(pages: DataFrame, host: str, html: str = "html") -> DataFrame:

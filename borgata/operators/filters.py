@@ -90,20 +90,30 @@ def _contains_any(c: Column, words: list[str], need_all: bool) -> Column:
     return reduce(and_ if need_all else or_, [F.contains(low, F.lit(w)) for w in words])
 
 
-def keyword_include(df: DataFrame, column: str, query: str, mode: str = "And") -> DataFrame:
-    """``And``: every keyword occurs; ``Or``: at least one.  NULL text is dropped."""
+def has_keywords(c: Column, query: str, mode: str = "And") -> Column:
+    """``And``: every keyword occurs; ``Or``: at least one.  NULL text has none."""
     words = keywords(query)
-    if not words:
-        return df
-    return df.filter(F.coalesce(_contains_any(F.col(column), words, mode == "And"), F.lit(False)))
+    return F.coalesce(_contains_any(c, words, mode == "And"), F.lit(False)) if words else F.lit(True)
 
 
-def keyword_exclude(df: DataFrame, column: str, query: str, mode: str = "And") -> DataFrame:
-    """``And``: drop when any keyword occurs; ``Or``: drop only when all do.  NULL text is kept."""
+def lacks_keywords(c: Column, query: str, mode: str = "And") -> Column:
+    """``And``: no keyword occurs; ``Or``: not all do.  NULL text lacks them."""
     words = keywords(query)
-    if not words:
-        return df
-    return df.filter(F.coalesce(~_contains_any(F.col(column), words, mode != "And"), F.lit(True)))
+    return F.coalesce(~_contains_any(c, words, mode != "And"), F.lit(True)) if words else F.lit(True)
+
+
+def keyword_include(df: DataFrame, column: str, query: str, mode: str = "And") -> DataFrame:
+    return df.filter(has_keywords(F.col(column), query, mode))
+
+
+def keyword_exclude(df: DataFrame, column: str, query: str, mode: str = "And") -> DataFrame:
+    return df.filter(lacks_keywords(F.col(column), query, mode))
+
+
+def explode_tests(df: DataFrame, tests: Mapping[str, Column], name: str) -> DataFrame:
+    """A row for every test that holds, with the test's name: several filters in one scan."""
+    held = F.array_compact(F.array(*[F.when(test, label) for label, test in tests.items()]))
+    return df.withColumn(name, F.explode(held))
 
 
 def optional(df: DataFrame, tests: Mapping[str, tuple[Any, Any]]) -> DataFrame:

@@ -175,6 +175,13 @@ def leg_distances(legs: DataFrame, places: DataFrame, origin: str = "origin", de
     return both.select(*[F.col(c) for c in legs.columns], km.alias("km"))
 
 
+def unknown_places(legs: DataFrame, places: DataFrame, origin: str = "origin", destination: str = "destination") -> DataFrame:
+    """(code, role, legs): the reject side of ``leg_distances``, codes that no place has."""
+    named = F.array(*[F.struct(F.col(c).alias("code"), F.lit(r).alias("role")) for c, r in ((origin, "origin"), (destination, "destination"))])
+    counted = legs.select(F.inline(named)).groupBy("code", "role").agg(F.count("*").alias("legs"))
+    return counted.join(places.select("code"), "code", "left_anti")
+
+
 def detail_over_preview(preview: DataFrame, detail: DataFrame, key: str = "url") -> DataFrame:
     """Preview rows with every detail value that is there; the preview stands in for the rest."""
     extra = [c for c in detail.columns if c != key]

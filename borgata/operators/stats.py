@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from borgata.functions import numbers
 from borgata.functions.text import strip
@@ -47,22 +47,29 @@ def average_stored_price(df: DataFrame, by: str, price: str) -> DataFrame:
 
 
 def store_summary(df: DataFrame, kind: str = "typology_name", city: str = "city",
-                  price: str = "price_formatted", created: str = "created_at") -> DataFrame:
-    """All store statistics as one row of counts and maps.
+                  price: str = "price_formatted", created: str = "created_at", cities: int = 10) -> DataFrame:
+    """All store statistics from one pass, as rows (section, name, n, average_price, latest).
 
-    Every part is aggregated on its own first, so a map holds one entry per group; the type map
-    grows with the number of types only, and cities are cut to the ten of the report.
+    Sections: ``total``, one row per ``type`` with its average price, and the ``city`` rows of the
+    ``cities`` most frequent ones.
     """
-    pairs = lambda a, b: F.map_from_entries(F.collect_list(F.struct(a, b)))
-    no_null = lambda d, c: d.filter(F.col(c).isNotNull())
-    types = no_null(value_counts(df, kind), kind).agg(pairs(kind, "n"))
-    cities = top_values(df, city).agg(pairs(city, "n"))
-    prices = no_null(average_stored_price(df, kind, price), kind).agg(pairs(kind, "avg_price"))
-    return df.agg(F.count("*").alias("total_records"), F.max(created).alias("latest_record_date")).select(
-        "total_records", "latest_record_date",
-        types.scalar().alias("property_types"), cities.scalar().alias("top_cities"),
-        prices.scalar().alias("average_prices"), F.current_timestamp().alias("stats_generated_at"),
-    )
+    readable = F.when(~F.col(price).like("%/mese%"), numbers.stored_price(F.col(price)))
+    rows = df.select(F.col(kind).alias("_kind"), F.col(city).alias("_city"), readable.alias("_price"), F.col(created).alias("_created"))
+    sets = rows.groupingSets([["_kind"], ["_city"], []], "_kind", "_city").agg(
+        F.grouping_id().alias("_set"), F.count("*").alias("n"), F.avg("_price").alias("_average"), F.max("_created").alias("_latest"))
+    # grouping_id: 1 leaves the type, 2 the city, 3 nothing.
+    section = F.when(F.col("_set") == 1, "type").when(F.col("_set") == 2, "city").otherwise("total")
+    named = sets.select(section.alias("section"), F.coalesce("_kind", "_city").alias("name"), "n",
+                        F.when(F.col("_set") == 1, F.col("_average")).alias("average_price"),
+                        F.when(F.col("_set") == 3, F.col("_latest")).alias("latest")).filter("section = 'total' OR name IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "name"))
+    return named.withColumn("_r", place).filter((F.col("section") != "city") | (F.col("_r") <= cities)).drop("_r")
+
+
+def price_favourites(df: DataFrame, price: str = "price", favourites: str = "favourites") -> DataFrame:
+    """Rows with both numbers, and beside them the correlation of the two over all such rows."""
+    both = df.filter(F.col(price).isNotNull() & F.col(favourites).isNotNull())
+    return both.withColumn("correlation", both.agg(F.corr(price, favourites)).scalar())
 
 
 def per_square_metre(price: Column, surface: Column) -> Column:

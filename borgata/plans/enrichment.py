@@ -152,6 +152,11 @@ SELECT c_custkey, origin, destination, round(2 * 6371 * asin(sqrt(pow(sin(radian
  + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))), 3) AS km
 FROM l LEFT JOIN p a ON origin = a.code LEFT JOIN p b ON destination = b.code""")
 def geo_distance(spark, sf):
+    legs, places = _legs(spark, sf)
+    return lookup.leg_distances(legs, places).withColumn("km", F.round("km", 3))
+
+
+def _legs(spark, sf):
     n = F.col("n_nationkey")
     places = table(spark, sf, "nation").filter(n != 24).select(
         n.alias("iata_code"), F.lit("R").alias("iso_region"), F.lit("X").alias("iso_country"),
@@ -160,8 +165,14 @@ def geo_distance(spark, sf):
     legs = table(spark, sf, "customer").select(
         "c_custkey", F.col("c_nationkey").alias("origin"), (F.col("c_custkey") % 25).cast("int").alias("destination")
     )
-    out = lookup.leg_distances(legs, readers.airport_dimension(places))
-    return out.withColumn("km", F.round("km", 3))
+    return legs, readers.airport_dimension(places)
+
+
+@query("unknown_codes", """
+SELECT code, role, count(*) AS legs FROM (SELECT c_nationkey AS code, 'origin' AS role FROM customer
+ UNION ALL SELECT CAST(c_custkey % 25 AS INT), 'destination' FROM customer) WHERE code = 24 GROUP BY code, role""")
+def unknown_codes(spark, sf):
+    return lookup.unknown_places(*_legs(spark, sf))
 
 
 @query("detail_over_preview", """

@@ -94,7 +94,7 @@ def _leg(user, kind, when, price, number):
 
 def _fare_answers(spark, sf):
     """One landed answer per event; every seventh has no fares, every eleventh an unreadable date."""
-    ev = table(spark, sf, "events", spread=True)
+    ev = table(spark, sf, "events")
     k, user = F.col("event_id"), F.col("user_id").cast("string")
     out = _leg(user, F.col("event_type"), F.col("ts"), F.col("value"), k.cast("string"))
     back = _leg(user, F.col("event_type"), F.date_add("ts", 3).cast("timestamp"), F.col("value") + 10, (k + 1).cast("string"))
@@ -177,6 +177,15 @@ def load_report(spark, sf):
     return writers.load_report(rows, "file", "err", "o_orderkey").withColumn("errors", F.array_join("errors", ";"))
 
 
+@query("load_totals", """
+SELECT count(DISTINCT o_orderpriority) AS files, count(*) AS total, count(*) FILTER (WHERE o_totalprice >= 60000) AS successful,
+ count(*) FILTER (WHERE o_totalprice < 60000) AS failed, round(100.0 * count(*) FILTER (WHERE o_totalprice >= 60000) / count(*), 6) AS percent FROM orders""")
+def load_totals(spark, sf):
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("file"), "o_orderkey", F.when(F.col("o_totalprice") < 60000, "price").alias("err"))
+    return writers.load_totals(writers.load_report(rows, "file", "err", "o_orderkey")).withColumn("percent", F.round("percent", 6))
+
+
 @query("validate_quarantine", """
 SELECT event_id, CASE WHEN event_id % 10 NOT IN (0, 1) THEN CAST(json_extract(props, '$.k') AS INT) END AS k,
  CASE event_id % 10 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'missing k' END AS reason FROM events""")

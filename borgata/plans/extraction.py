@@ -50,7 +50,7 @@ SELECT * FROM r"""
 
 
 def _records(spark, sf):
-    found = extract.extract_records(table(spark, sf, "pages", spread=True).select("page_id", "html"), RULES)
+    found = extract.extract_records(table(spark, sf, "pages").select("page_id", "html"), RULES)
     r = F.col("record")
     return found.select("page_id", "pos", r["title"].alias("title"), F.md5(r["footer"]).alias("footer"),
                         r["link"].alias("link"), F.md5(r["para"]).alias("para"), r["ad"].alias("ad"))
@@ -86,26 +86,53 @@ def html_card_extract(spark, sf):
             tag("span", "seller-info-text", F.col("p_brand")), link(F.concat(F.lit("/x?"), key)))).otherwise(""),
         F.lit("</ul></html>"),
     )
-    return extract.market_cards(table(spark, sf, "part", spread=True).select("p_partkey", html.alias("html")))
+    return extract.market_cards(table(spark, sf, "part").select("p_partkey", html.alias("html")))
 
 
 @query("listing_cards", with_listings("""
-SELECT id, trim(regexp_replace(title, '\t', ' ', 'g')) AS title, concat('https://ex.test/annunci/', CAST(id AS STRING), '/') AS url, price_text AS prezzo, 'a.jpg' AS immagine FROM listings"""))
+SELECT id, trim(regexp_replace(title, '\t', ' ', 'g')) AS title, concat('https://ex.test/annunci/', CAST(id AS STRING), '/') AS url, price_text AS prezzo, 'a.jpg' AS immagine,
+ concat_ws('|', CASE WHEN rooms IS NOT NULL THEN concat(CAST(rooms AS STRING), ' locale') END, 'Balcone') AS caratteristiche,
+ CASE WHEN rooms IS NOT NULL THEN concat(CAST(rooms AS STRING), ' locale') END AS locali, 'Balcone' AS balcone, NULL::STRING AS cantina FROM listings"""))
 def listing_cards(spark, sf):
-    df = listings(spark, sf, "id", "title", "price_text", spread=True)
+    df = listings(spark, sf, "id", "title", "price_text", "rooms")
+    feature = lambda c: F.concat(F.lit('<div class="in-listingCardFeatureList__item"> <span>'), c, F.lit("</span></div>"))
     html = F.concat(
         F.lit('<ul><li class="nd-list__item in-searchLayoutListItem"><img class="x" src="a.jpg"><a class="in-listingCardTitle" href="/annunci/'),
         F.col("id").cast("string"), F.lit('/" title="'), F.btrim(F.regexp_replace("title", "\t", " "), F.lit(" ")), F.lit('">t</a>'),
-        F.coalesce(F.concat(F.lit('<div class="in-listingCardPrice"> <span>'), "price_text", F.lit("</span></div>")), F.lit("")), F.lit("</li></ul>"),
+        F.coalesce(F.concat(F.lit('<div class="in-listingCardPrice"> <span>'), "price_text", F.lit("</span></div>")), F.lit("")),
+        F.lit('<div class="in-listingCardFeatureList">'),
+        F.coalesce(feature(F.concat(F.col("rooms").cast("string"), F.lit(" locale"))), F.lit("")), feature(F.lit("Balcone")),
+        F.lit("</div></li></ul>"),
     )
-    return extract.portal_cards(df.select("id", html.alias("html")), "https://ex.test").drop("pos")
+    cards = extract.portal_cards(df.select("id", html.alias("html")), "https://ex.test").withColumn("caratteristiche", F.array_join("caratteristiche", "|"))
+    return cards.select("id", "title", "url", "prezzo", "immagine", "caratteristiche", "locali", "balcone", "cantina")
+
+
+@query("item_cards", """
+SELECT o_orderkey AS id, concat('/items/', CAST(o_orderkey AS STRING)) AS link, concat('Giacca,', CAST(o_orderkey AS STRING)) AS titolo, o_orderstatus AS brand,
+ o_orderpriority AS condizione, CAST(o_orderkey % 90 AS DOUBLE) AS prezzo, CAST(o_orderkey % 90 + 2 AS DOUBLE) AS spedito,
+ CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderkey % 40 AS INTEGER) END AS preferiti FROM orders WHERE o_orderkey % 5 <> 0""")
+def item_cards(spark, sf):
+    k = F.col("o_orderkey")
+    title = F.when(k % 5 == 0, "no parts").otherwise(F.concat(
+        F.lit("Giacca, "), k.cast("string"), F.lit(", brand: "), "o_orderstatus", F.lit(", condizioni: "), "o_orderpriority",
+        F.lit(", "), (k % 90).cast("string"), F.lit(" €, "), (k % 90 + 2).cast("string"), F.lit("€ spedizione inclusa")))
+    likes = F.when(k % 3 != 0, F.concat(
+        F.lit('<button class="u-background-white new-item-box__favourite-icon"><span class="web_ui__Text__x"> '),
+        (k % 40).cast("string"), F.lit(" </span></button>"))).otherwise("")
+    html = F.concat(F.lit('<div class="new-item-box__container x"><div class="new-item-box__image-container"> <a href="/items/'),
+                    k.cast("string"), F.lit('" title="'), title, F.lit('">i</a></div>'), likes, F.lit("</div>"))
+    cards = extract.item_cards(table(spark, sf, "orders").select(k.alias("id"), html.alias("html")))
+    named = {"Link": "link", "Titolo": "titolo", "Brand": "brand", "Condizione": "condizione", "Prezzo": "prezzo",
+             "Prezzo con spedizione": "spedito", "Preferiti": "preferiti"}
+    return cards.select("id", *[F.col(f"`{a}`").alias(b) for a, b in named.items()])
 
 
 @query("label_value_pairs", with_listings("""
 SELECT id, concat(CAST(1 + id % 6 AS STRING), ' locali') AS locali, nullif(trim(floor_text), '') AS piano, nullif(surface, '') AS superficie, nullif(surface, '') AS dettaglio_superficie,
  CASE WHEN id % 2 = 0 THEN concat('€ ', CAST(id % 100 AS STRING)) END AS spese_condominio, nullif(trim(elevator), '') AS ascensore, NULL::STRING AS cantina FROM listings"""))
 def label_value_pairs(spark, sf):
-    df = listings(spark, sf, "id", "floor_text", "surface", "elevator", spread=True)
+    df = listings(spark, sf, "id", "floor_text", "surface", "elevator")
     pair = lambda label, c: F.concat(
         F.lit(f'<div class="im-properties__title"> {label} </div>\n<div class="v"> '), F.coalesce(c, F.lit("")), F.lit(" </div>"))
     html = F.concat(
@@ -123,7 +150,7 @@ def label_value_pairs(spark, sf):
 WITH b AS (SELECT page_id, url, {_BARE} AS h FROM pages), l AS (SELECT page_id, url, h, regexp_extract_all(h, '<a [^>]*href="([^"]*)"', 1) AS x FROM b)
 SELECT page_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS pos, concat('https://ex.test', unnest(x)) AS target FROM l""")
 def link_extract(spark, sf):
-    edges = extract.all_links(table(spark, sf, "pages", spread=True).select("page_id", "html"))
+    edges = extract.all_links(table(spark, sf, "pages").select("page_id", "html"))
     return edges.select("page_id", "pos", absolute_url(F.col("href"), "https://ex.test").alias("target"))
 
 
@@ -132,4 +159,4 @@ WITH b AS (SELECT url, {_BARE} AS h FROM pages)
 SELECT url AS page_url, CASE WHEN regexp_matches(h, '<a href="(/[a-p][^"]*)"')
  THEN concat('https://ex.test', regexp_extract(h, '<a href="(/[a-p][^"]*)"', 1)) END AS next_url FROM b""")
 def next_page_edges(spark, sf):
-    return extract.next_links(table(spark, sf, "pages", spread=True), r'<a href="(/[a-p][^"]*)"', "https://ex.test")
+    return extract.next_links(table(spark, sf, "pages"), r'<a href="(/[a-p][^"]*)"', "https://ex.test")

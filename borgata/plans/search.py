@@ -75,7 +75,7 @@ def fare_search(spark, sf):
 SELECT doc_id, source, n_chars FROM documents
 WHERE text ILIKE '%with%' AND lang IN ('en', 'fr') AND n_chars >= 500""")
 def optional_predicates(spark, sf):
-    postings = table(spark, sf, "documents", spread=True).select(
+    postings = table(spark, sf, "documents").select(
         "doc_id", "text", F.col("lang").alias("status"), F.col("source"), F.col("n_chars").alias("salary")
     )
     found = filters.posting_search(postings, text="with", status=["en", "fr"], salary_min=500)
@@ -115,13 +115,9 @@ UNION ALL
 SELECT doc_id, lang, 'Or' FROM documents
 WHERE len(list_filter(['of the', 'with'], lambda k: contains(lower(text), k))) > 0""")
 def keyword_include(spark, sf):
-    df = table(spark, sf, "documents", spread=True)
     asked = '"Of the" with'
-    both = [
-        filters.keyword_include(df, "text", asked, mode).select("doc_id", "lang", F.lit(mode).alias("mode"))
-        for mode in ("And", "Or")
-    ]
-    return both[0].unionByName(both[1])
+    tests = {mode: filters.has_keywords(F.col("text"), asked, mode) for mode in ("And", "Or")}
+    return filters.explode_tests(table(spark, sf, "documents"), tests, "mode").select("doc_id", "lang", "mode")
 
 
 @query("keyword_exclude", """
@@ -131,13 +127,9 @@ UNION ALL
 SELECT doc_id, lang, 'Or' FROM documents
 WHERE NOT coalesce(contains(lower(text), 'les') AND contains(lower(text), 'mit der'), false)""")
 def keyword_exclude(spark, sf):
-    df = table(spark, sf, "documents", spread=True)
     asked = 'les "mit der"'
-    both = [
-        filters.keyword_exclude(df, "text", asked, mode).select("doc_id", "lang", F.lit(mode).alias("mode"))
-        for mode in ("And", "Or")
-    ]
-    return both[0].unionByName(both[1])
+    tests = {mode: filters.lacks_keywords(F.col("text"), asked, mode) for mode in ("And", "Or")}
+    return filters.explode_tests(table(spark, sf, "documents"), tests, "mode").select("doc_id", "lang", "mode")
 
 
 @query("keyword_tokens", with_listings(r"""
@@ -146,7 +138,7 @@ SELECT id, unnest(list_transform(regexp_extract_all(lower(q), '"[^"\n]*"|[^\t-\r
  lambda w: CASE WHEN length(w) > 2 AND starts_with(w, '"') AND ends_with(w, '"') THEN substr(w, 2, length(w) - 2) ELSE w END)) AS keyword
 FROM asked"""))
 def keyword_tokens(spark, sf):
-    df = listings(spark, sf, "id", "typology_name", "contract", "price_text", spread=True)
+    df = listings(spark, sf, "id", "typology_name", "contract", "price_text")
     asked = F.concat(
         F.lit('"'), F.coalesce("typology_name", F.lit("")), F.lit(" "), "contract", F.lit('" '),
         F.coalesce("price_text", F.lit("-")),
@@ -161,7 +153,7 @@ SELECT page_id,
  CAST(contains(lower(html), 'captcha') OR contains(lower(html), 'robot') AS INT) AS short_hit
 FROM pages""")
 def blocked_page_flags(spark, sf):
-    df = table(spark, sf, "pages", spread=True)
+    df = table(spark, sf, "pages")
     found = filters.block_words_found(F.col("html"))
     short = filters.block_words_found(F.col("html"), filters.BLOCK_WORDS_SHORT)
     return df.select(

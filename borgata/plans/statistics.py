@@ -41,18 +41,26 @@ SELECT (SELECT count(*) FROM listings) AS total_records,
  (SELECT count(*) FROM cities) AS n_top_cities, (SELECT CAST(sum(n) AS BIGINT) FROM cities) AS in_top_cities,
  (SELECT round(a, 4) FROM prices WHERE typology_name = 'Villa') AS avg_villa"""))
 def db_stats_total(spark, sf):
-    df = listings(spark, sf, "typology_name", "city", "price_text", "created_at")
-    s = stats.store_summary(df, price="price_text")
-    return s.select(
-        "total_records", F.date_format("latest_record_date", "yyyy-MM-dd").alias("latest_record_date"),
-        F.size("property_types").cast("bigint").alias("n_types"),
-        F.col("property_types")["Attico"].alias("n_attico"),
-        F.size("top_cities").cast("bigint").alias("n_top_cities"),
-        F.aggregate(F.map_values("top_cities"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("in_top_cities"),
-        F.round(F.col("average_prices")["Villa"], 4).alias("avg_villa"),
+    rows = stats.store_summary(listings(spark, sf, "typology_name", "city", "price_text", "created_at"), price="price_text")
+    pick = lambda test, c: F.max(F.when(test, F.col(c)))
+    total, city, kind = (F.col("section") == x for x in ("total", "city", "type"))
+    return rows.agg(
+        pick(total, "n").alias("total_records"), F.date_format(pick(total, "latest"), "yyyy-MM-dd").alias("latest_record_date"),
+        F.count_if(kind).alias("n_types"), pick(kind & (F.col("name") == "Attico"), "n").alias("n_attico"),
+        F.count_if(city).alias("n_top_cities"), F.sum(F.when(city, F.col("n"))).alias("in_top_cities"),
+        F.round(pick(kind & (F.col("name") == "Villa"), "average_price"), 4).alias("avg_villa"),
     )
 
 
+@query("price_favourites", """
+WITH e AS (SELECT event_id, value AS price, CASE WHEN event_id % 3 <> 0 THEN user_id % 50 END AS favourites FROM events)
+SELECT *, (SELECT round(corr(price, favourites), 8) FROM e) AS correlation FROM e WHERE price IS NOT NULL AND favourites IS NOT NULL""")
+def price_favourites(spark, sf):
+    likes = F.when(F.col("event_id") % 3 != 0, F.col("user_id") % 50).alias("favourites")
+    ev = table(spark, sf, "events").select("event_id", F.col("value").alias("price"), likes)
+    return stats.price_favourites(ev).withColumn("correlation", F.round("correlation", 8))
+
+
 @query("price_stats", with_listings("""
 SELECT city, count(price_value) AS n, round(avg(price_value), 4) AS mean, round(median(price_value), 4) AS median,
  min(price_value) AS min, max(price_value) AS max, round(stddev_samp(price_value), 4) AS std,

@@ -66,18 +66,18 @@ def upsert_partitioned(batch: DataFrame, path: str, keys: Sequence[str] = ("id",
     """Document upsert into a partitioned folder; only partitions that the batch touches are read
     and replaced.
 
-    The touched values come to the driver, which lists the partitions of the folder anyway.  The
-    merged partitions are written aside first, so no partition is read while it is replaced.
+    The join on the partition column prunes the folder at run time; the touched values stay in the
+    job.  The merged partitions are written aside first, so no partition is read while it is replaced.
     """
     spark = batch.sparkSession
-    touched = [r[0] for r in batch.select(part).distinct().collect()]
-    if None in touched:
+    if not batch.filter(F.col(part).isNull()).isEmpty():
         raise ValueError(f"fill {part} first: a document without it has no partition")
     try:
         whole = spark.read.parquet(path)
     except AnalysisException:
         whole = spark.createDataFrame([], batch.drop(seq).schema)
-    merged = store.upsert_documents(whole.filter(F.col(part).isin(touched)), batch, keys, seq)
+    touched = whole.join(batch.select(part).distinct(), part, "left_semi").select(*whole.columns)
+    merged = store.upsert_documents(touched, batch, keys, seq)
     aside = scratch_dir(spark, "upsert")
     merged.write.parquet(aside)
     write_partitioned(spark.read.parquet(aside), path, [part])
@@ -185,6 +185,13 @@ def load_report(df: DataFrame, file: str, error: str, order: str, at_most: int =
     )
 
 
+def load_totals(report: DataFrame) -> DataFrame:
+    """One row over all files of a load report."""
+    return report.agg(
+        F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "successful", "failed")],
+        F.try_divide(F.sum("successful") * F.lit(100.0), F.sum("total")).alias("percent"))
+
+
 def first_values(df: DataFrame, key: str, value: str, order: str, n: int, name: str, parts: int = 64) -> DataFrame:
     """First ``n`` values per key by ``order``, exact under any skew: the first ``n`` of each of
     ``parts`` slices of a key come first, then the first ``n`` of those."""

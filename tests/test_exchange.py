@@ -168,14 +168,6 @@ def test_scratch_folder_follows_the_session(spark, monkeypatch):
     assert one.startswith(base) and one != two
 
 
-def test_spread_only_small_inputs(spark, tmp_path):
-    spark.range(200_000).select(F.md5(F.col("id").cast("string")).alias("h")).coalesce(1).write.parquet(str(tmp_path / "one"))
-    assert session.spread(spark.read.parquet(str(tmp_path / "one"))).rdd.getNumPartitions() == 8
-    spark.range(100).repartition(8).write.parquet(str(tmp_path / "many"))
-    many = spark.read.parquet(str(tmp_path / "many"))
-    assert session.spread(many) is many
-
-
 def test_json_or_text_and_result_lists(spark):
     df = spark.createDataFrame([('{"a": 1}',), ("plain words",)], "t string").coalesce(1)
     got = [r[0] for r in df.select(readers.json_or_text(F.col("t"), "a INT")).collect()]
