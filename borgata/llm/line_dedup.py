@@ -87,7 +87,7 @@ class LineRuns:
         return added
 
     def forget(self) -> None:
-        """Take the runs out of the session's catalogue; their files stay for whoever still reads them."""
+        """Take the runs out of the catalogue; their files stay below the scratch folder."""
         for k in range(1, self.written + 1):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{k}")
 
@@ -121,7 +121,9 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id", batc
         owned = runs.add(runs.fresh(batch.groupBy("h1", "h2").agg(F.min("_d_doc").alias("_d_doc"))))
         lost = batch.join(owned, ["h1", "h2", "_d_doc"], "left_anti").select("_d_doc", "_d_row", "_d_at")
         gone = lost if gone is None else gone.unionByName(lost)
-    return gone
+    gone.write.parquet(f"{work}-gone")
+    runs.forget()
+    return spark.read.parquet(f"{work}-gone")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc: str = "doc_id", batches: int = BATCHES) -> DataFrame:
