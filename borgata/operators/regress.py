@@ -172,8 +172,9 @@ def compare(results: Mapping[str, DataFrame]) -> DataFrame:
 
 # --- feature selection -------------------------------------------------------------------------
 
-def f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """(feature, score, p_value): univariate F test of every feature in one pass over the data."""
+def f_scores(df: DataFrame, features: Sequence[str], label: str, p_values: bool = True) -> DataFrame:
+    """(feature, score, p_value): univariate F test of every feature in one pass over the data; the
+    p-value, computed in Python on one row per feature, only where it is wanted."""
     # Not corr(): it fails on a constant feature in ANSI mode, where the score is simply unknown.
     r = lambda c: F.try_divide(F.covar_pop(c, label), F.stddev_pop(c) * F.stddev_pop(label))
     one = df.agg(F.count("*").alias("n"), *[r(c).alias(f"r{i}") for i, c in enumerate(features)])
@@ -182,6 +183,9 @@ def f_scores(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     r2 = F.col("r") * F.col("r")
     scored = rows.withColumn("score", F.try_divide(r2, 1 - r2) * (F.col("n") - 2))
 
+    if not p_values:
+        return scored.select("feature", "score")
+
     def with_p(batches):
         for pdf in batches:
             pdf["p_value"] = [f_survival(s, int(n) - 2) for s, n in zip(pdf["score"], pdf["n"])]
@@ -225,8 +229,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return h
 
 
-def top_scores(df: DataFrame, features: Sequence[str], label: str, k: int = TOP_FEATURES) -> DataFrame:
-    return f_scores(df, features, label).orderBy(F.desc_nulls_last("score"), "feature").limit(k)
+def top_scores(df: DataFrame, features: Sequence[str], label: str, k: int = TOP_FEATURES, p_values: bool = True) -> DataFrame:
+    return f_scores(df, features, label, p_values).orderBy(F.desc_nulls_last("score"), "feature").limit(k)
 
 
 def importances(spark, model: Any, names: Sequence[str]) -> DataFrame:

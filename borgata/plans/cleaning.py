@@ -223,3 +223,37 @@ def features_spread(spark, sf):
     )
     cards = extract.second_portal_cards(df.select("id", html.alias("html")), "https://casa.test")
     return clean.spread_struct(cards, "caratteristiche").drop("pos", "prezzo", "indirizzo", "agenzia")
+
+
+# Units that the number patterns of a detail page look for, as they are written there.
+_UNITS = {r"\s*m²?": " m²", r"\s*€/m²": " €/m²", r"\s*kWh/m²": " kWh/m²", r"\s*metri": " metri", "": ""}
+_K = "o_orderkey"
+_DETAIL_FIELDS = [
+    *[(f, f"concat('{'€ ' if before else ''}1.', lpad(CAST(({_K} + {i}) % 1000 AS STRING), 3, '0'), ',5{_UNITS[after]}')",
+       f"CAST(1000.5 + ({_K} + {i}) % 1000 AS DOUBLE)") for i, (f, (before, after)) in enumerate(clean.DETAIL_NUMBERS.items())],
+    *[(f, f"concat('n. ', CAST(({_K} + {i}) % 9 AS STRING), ' / 77')", f"({_K} + {i}) % 9") for i, f in enumerate(clean.DETAIL_COUNTS)],
+    *[(f, f"CASE ({_K} + {i}) % 4 WHEN 0 THEN 'Sì' WHEN 1 THEN 'No' WHEN 2 THEN 'assente' END",
+       f"CASE ({_K} + {i}) % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END") for i, f in enumerate(clean.DETAIL_FLAGS)],
+]
+
+
+@query("detail_all_fields", f"SELECT {_K} AS id, {', '.join(f'{sql} AS {f}' for f, _, sql in _DETAIL_FIELDS)} FROM orders")
+def detail_all_fields(spark, sf):
+    """Every number, count and flag field of a detail page."""
+    df = table(spark, sf, "orders").selectExpr(f"{_K} AS id", *[f"{text} AS {f}" for f, text, _ in _DETAIL_FIELDS])
+    return clean.normalize_details(df)
+
+
+@query("detail_lists", f"""
+SELECT {_K} AS id, concat_ws('|', 'a', o_orderpriority, CASE WHEN {_K} % 2 = 0 THEN 'b' END) AS features, concat('x ', o_orderstatus) AS descrizione,
+ CASE WHEN {_K} % 3 <> 0 THEN 44 + ({_K} % 100) / 128.0 END AS lat, CASE WHEN {_K} % 3 <> 0 THEN CAST(8.25 AS DOUBLE) END AS lng FROM orders""")
+def detail_lists(spark, sf):
+    """List cleanup, description of several parts, coordinates of a script."""
+    k = F.col(_K)
+    script = F.concat(F.lit('m({"lat": '), (44 + (k % 100) / 128.0).cast("string"), F.when(k % 3 != 0, ', "lng": 8.25})').otherwise("})"))
+    df = table(spark, sf, "orders").select(
+        k.alias("id"), F.array(F.lit(" a "), F.lit(""), "o_orderpriority", F.when(k % 2 == 0, "\xa0b")).alias("altre_caratteristiche"),
+        F.array(F.lit(" x"), F.lit("  "), "o_orderstatus").alias("descrizione"), script.alias("script"))
+    lat, lng = clean.script_coordinates(F.col("script"))
+    typed = clean.normalize_details(df)
+    return typed.select("id", F.array_join("altre_caratteristiche", "|").alias("features"), "descrizione", lat.alias("lat"), lng.alias("lng"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F, types as T
 
 from borgata import schemas
@@ -205,3 +207,21 @@ def zone_entry_types(spark, sf):
     landed = table(spark, sf, "customer").select(k, F.when(k % 3 == 0, '{"error": "none"}').otherwise(entry).alias("json"))
     entries = readers.parse_zone_entries(landed, seq=k)
     return entries.select(F.col("id").cast("bigint").alias("c_custkey"), "ingest_seq.document", "ingest_seq.place")
+
+
+@query("batch_fan_out", """
+SELECT sink, o_orderstatus, count(*) AS n FROM orders, (VALUES ('parquet'), ('json')) AS s(sink) GROUP BY sink, o_orderstatus""")
+def batch_fan_out(spark, sf):
+    """One frame to two sinks and one that fails, which stops neither."""
+    base = scratch_dir(spark, "sinks")
+
+    def broken(df):
+        raise RuntimeError("down")
+
+    df = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    outcome = writers.fan_out(df, {
+        "parquet": lambda d: d.write.parquet(f"{base}/parquet"), "broken": broken, "json": lambda d: d.write.json(f"{base}/json")})
+    done = [name for name, state in outcome.items() if state == "ok"]
+    back = [spark.read.schema(df.schema).format(n).load(f"{base}/{n}").groupBy(F.lit(n).alias("sink"), "o_orderstatus").agg(F.count("*").alias("n"))
+            for n in done]
+    return reduce(lambda a, b: a.unionByName(b), back)

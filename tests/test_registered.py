@@ -18,17 +18,13 @@ def duck():
     return connect(SF)
 
 
-# Their feature scores carry a p-value that is computed in Python, on one row per feature.
-PYTHON_ALLOWED = {"f_regression_topk"}
-
-
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     plans = []
     assert compare(spark, duck, entry.queries()[name], entry.oracle_sql()[name], SF, plans) is None
     assert "CartesianProduct" not in plans[0] and "BroadcastNestedLoopJoin" not in plans[0]
     python = re.search(r"PythonUDF|ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroups", plans[0])
-    assert name in PYTHON_ALLOWED or not python
+    assert not python
 
 
 def test_entry_and_contract(spark):
