@@ -11,8 +11,11 @@ Documents with equal sets are one class from the start.  What is asked for are c
 are compared in two steps.  First every node's members with its smallest member, a number of pairs
 linear in the members; confirmed links give components that gather the groups of copies.  Then the
 leaves are compared exhaustively, but only between members of different components: no other pair can
-change the result.  A node that is still large after ``DEPTH`` levels is compared the same way, so
-nothing is capped.  Pairs whose minwise tokens agree in less than half of the places are left out (a
+change the result.  A member drops out first if too few of its minwise tokens occur in any other
+member, and a pair if its sizes and the number of each set's shingles that occur in any other member
+rule the similarity out: variants of one text that have drifted too far from it are not compared with
+all its other variants.  A node that is still large after ``DEPTH`` levels is compared the same way,
+so nothing is capped.  Pairs whose minwise tokens agree in less than half of the places are left out (a
 pair of similarity 0.75 agrees so rarely with probability 1e-9); all others are confirmed by exact
 counts on their full sets.
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borgata import session
@@ -36,8 +39,12 @@ LEAST_PERCENT = 75
 WIDTH = 128
 TREES = 16
 SMALL = 32
-DEPTH = 8
+DEPTH = 2
 AGREE = WIDTH // 2
+#: Of so many minwise tokens a pair of similarity 0.75 shares so many, but for one in 1e8.
+MARKS, FEW_MARKS = 32, 10
+#: Bits of the filter over ids whose texts are fetched: 8 MB at most.
+FILTER_BITS = 1 << 26
 
 _seeded = np.random.default_rng(75)
 _FACTOR = _seeded.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -119,6 +126,7 @@ def grow_trees(work: Work, reps: DataFrame) -> DataFrame:
     nodes = roots.select(F.xxhash64("k", "token").alias("node"), "rep")
     levels = None
     for depth in range(DEPTH + 1):
+        nodes = work.keep(nodes)
         sizes = nodes.groupBy("node").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).filter("members > 1")
         level = work.keep(nodes.join(sizes, "node").withColumn("leaf", (F.col("members") <= SMALL) | F.lit(depth == DEPTH)))
         levels = level if levels is None else levels.unionByName(level)
@@ -155,8 +163,42 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return sized.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _id_places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [ragged.mix(ids.view(np.uint64) + np.uint64(seed)) % np.uint64(bits) for seed in (11, 12, 13)]
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids, of fixed greatest size: fuller it lets more through, never less."""
+    bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * ids.count()).bit_length()))
+
+    def mark(batches):
+        words = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            for place in _id_places(batch.column(0).to_numpy(), bits):
+                np.bitwise_or.at(words, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used].view(np.int64))], names=["at", "word"])
+
+    out = np.zeros(bits // 64, np.int64)
+    marked = ids.mapInArrow(mark, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
+    for batch in marked.toArrow().to_batches():
+        out[batch.column("at").to_numpy()] = batch.column("word").to_numpy()
+    return out.view(np.uint64)
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame:
-    """(rep, members) of the documents named in ``ids``: sorted shingle hashes, eight bytes each."""
+    """(rep, members) of the documents named in ``ids``: sorted shingle hashes, eight bytes each.
+
+    The filter thins the texts out before the join that decides; without it all texts would move."""
+    words = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def pick(batches):
+        table = words.value
+        for batch in batches:
+            passing = np.ones(batch.num_rows, bool)
+            for place in _id_places(batch.column("rep").to_numpy(), 64 * len(table)):
+                passing &= table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1) == 1
+            yield batch.filter(pa.array(passing))
 
     def run(batches):
         for batch, t in ragged.slices(batches, "_text"):
@@ -164,24 +206,55 @@ def full_sets(docs: DataFrame, ids: DataFrame, doc: str, text: str) -> DataFrame
             sets = [np.sort(value[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "members"])
 
-    rows = docs.select(F.col(doc).cast("long").alias("rep"), F.col(text).alias("_text"))
-    return rows.join(ids, "rep", "left_semi").mapInArrow(run, "rep long, members binary")
+    rows = docs.select(F.col(doc).cast("long").alias("rep"), F.col(text).alias("_text")).filter("rep IS NOT NULL")
+    picked = rows.mapInArrow(pick, "rep long, _text string")
+    return picked.join(ids, "rep", "left_semi").mapInArrow(run, "rep long, members binary")
+
 
+def comparable(work: Work, ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """The ids enough of whose minwise tokens are some other id's too."""
+    marks = reps.join(ids, "rep", "left_semi").select("rep", F.posexplode(F.slice("tokens", 1, MARKS)).alias("k", "token"))
+    shared = marks.groupBy("k", "token").agg(F.count("*").alias("times")).filter("times > 1")
+    return work.keep(marks.join(shared, ["k", "token"], "left_semi").groupBy("rep").agg(F.count("*").alias("times"))
+                     .filter(F.col("times") >= FEW_MARKS).select("rep"))
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that reach the similarity on their full sets."""
+
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """(rep, shared): how many of its shingles are in any other of the sets."""
+
+    def run(batches):
+        for batch in batches:
+            for rep, members in zip(batch.column("rep").to_pylist(), batch.column("members"), strict=True):
+                values = np.frombuffer(members.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), rep)), pa.array(values)], names=["rep", "s"])
+
+    each = sets.mapInArrow(run, "rep long, s long")
+    several = each.groupBy("s").agg(F.count("*").alias("times")).filter("times > 1")
+    return each.join(several, "s", "left_semi").groupBy("rep").agg(F.count("*").alias("shared"))
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs with their sets' sizes and how much is in both, counted on the full sets."""
 
     def run(batches):
         for batch in batches:
-            good = []
+            counts = []
             for x, y in zip(batch.column("ma"), batch.column("mb"), strict=True):
                 left, right = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                good.append(100 * both >= LEAST_PERCENT * (len(left) + len(right) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                counts.append((len(left), len(right), len(np.intersect1d(left, right, assume_unique=True))))
+            na, nb, both = np.array(counts, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), *[pa.array(np.ascontiguousarray(x)) for x in (na, nb, both)]],
+                names=["a", "b", "na", "nb", "both"])
 
     one, two = (sets.select(F.col("rep").alias(x), F.col("members").alias(f"m{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ma", "mb").mapInArrow(
+        run, "a long, b long, na long, nb long, both long")
+
+
+def _reached(both: Column) -> Column:
+    """Whether so many common shingles reach the similarity."""
+    return (100 + LEAST_PERCENT) * both >= LEAST_PERCENT * (F.col("na") + F.col("nb"))
 
 
 def components(work: Work, links: DataFrame) -> DataFrame:
@@ -218,24 +291,45 @@ def find_components(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     first = work.keep(_likely(stars, reps))
     ids = first.select(F.col("a").alias("rep")).unionAll(first.select("b")).distinct()
     sets = work.keep(full_sets(docs, ids, doc, text))
-    links = work.keep(_confirmed(first, sets))
+    counted = work.keep(_overlaps(first, sets))
+    links = counted.filter(_reached(F.col("both")))
     labels = components(work, links)
     # Leaves whose members are not all in one component: every pair across components.
-    leaves = nodes.filter("leaf").select("node", "rep").join(labels, "rep", "left")
-    leaves = leaves.select("node", "rep", F.coalesce("component", "rep").alias("component"))
+    leaves = nodes.filter("leaf").select("node", "rep", "pivot").join(labels, "rep", "left")
+    leaves = leaves.select("node", "rep", "pivot", F.coalesce("component", "rep").alias("component"))
     mixed = leaves.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     leaves = work.keep(leaves.join(mixed.select("node"), "node", "left_semi"))
-    one, two = (leaves.select("node", F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    pairs = one.join(two, "node").filter("a < b AND ca <> cb").select("a", "b").distinct()
-    pairs = work.keep(_likely(pairs.join(stars, ["a", "b"], "left_anti"), reps))
-    if not pairs.isEmpty():
-        more = pairs.select(F.col("a").alias("rep")).unionAll(pairs.select("b")).distinct()
-        more = more.join(sets.select("rep"), "rep", "left_anti")
-        sets = sets.unionByName(full_sets(docs, more, doc, text))
-        across = work.keep(_confirmed(pairs, sets))
-        if not across.isEmpty():
-            old = labels.filter("rep <> component").select(F.col("rep").alias("a"), F.col("component").alias("b"))
-            labels = components(work, old.unionByName(across))
+    able = comparable(work, leaves.select("rep").distinct(), reps)
+    more = able.join(sets.select("rep"), "rep", "left_anti")
+    sets = sets.unionByName(work.keep(full_sets(docs, more, doc, text)))
+    sizes = shared_sizes(sets.join(able, "rep", "left_semi"))
+    leaves = leaves.join(sizes, "rep").join(reps.select("rep", "n"), "rep")
+    # Each member's reference: the smallest member of a node, the one with which it shares most, else itself; and
+    # the shingles beside the reference that any other member holds (all such, if the reference is not
+    # comparable itself).
+    best = counted.groupBy(F.col("b").alias("rep")).agg(F.max(F.struct("both", -F.col("a"))).alias("best"))
+    best = best.select("rep", (-F.col("best.col2")).alias("ref"), F.col("best.both").alias("both"))
+    leaves = leaves.join(best, "rep", "left").select(
+        "node", "rep", "component", "shared", "n", F.coalesce("ref", "rep").alias("ref"), F.coalesce("both", "n").alias("both"))
+    leaves = leaves.join(able.select(F.col("rep").alias("ref"), F.lit(1).alias("able")), "ref", "left")
+    beside = F.when(F.col("able").isNotNull(), F.col("shared") - F.col("both")).otherwise(F.col("n") - F.col("both"))
+    # A member is in a few dozen leaves at most; a pair is made in the first leaf that both are in.
+    places = leaves.groupBy("rep").agg(F.collect_set("node").alias("places"))
+    leaves = work.keep(leaves.withColumn("beside", beside).join(places, "rep"))
+    one, two = (leaves.select("node", F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"),
+                              F.col("shared").alias(f"s{x}"), F.col("both").alias(f"p{x}"), F.col("beside").alias(f"r{x}"),
+                              F.col("ref").alias(f"f{x}"), F.col("places").alias(f"l{x}"))
+                for x in "ab")
+    # No more shingles than these can be in both.
+    most = F.least("sa", "sb")
+    most = F.when(F.col("fa") == F.col("fb"), F.least(most, F.least("pa", "pb") + F.least("ra", "rb"))).otherwise(most)
+    pairs = one.join(two, (one["node"] == two["node"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+                     & _reached(most) & (one["node"] == F.array_min(F.array_intersect("la", "lb"))))
+    pairs = pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    across = work.keep(_overlaps(work.keep(_likely(pairs, reps)), sets)).filter(_reached(F.col("both"))).select("a", "b")
+    if not across.isEmpty():
+        old = labels.filter("rep <> component").select(F.col("rep").alias("a"), F.col("component").alias("b"))
+        labels = components(work, old.unionByName(across))
     named = classes.join(labels, "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc", "n", "f1", "f2").join(named, ["f1", "f2", "n"], "left")
     # A set-less document is its own component.
