@@ -33,7 +33,7 @@ from borgata.llm import ragged
 
 MARK = "▁"
 #: Units whose pieces a Python worker keeps between slices.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _NEVER = -1e18

@@ -1,6 +1,6 @@
 """Many texts as one byte array: words, lines and their hashes without a Python step per word.
 
-Every function here works on a slice of an Arrow batch that holds a few MB of text (or one longer
+Every function here works on a slice of an Arrow batch with some hundred KB of text (or one longer
 text), so a task's memory follows its longest text and not its partition.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _BYTE = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
