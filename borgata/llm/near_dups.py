@@ -121,13 +121,14 @@ class Work:
 
 
 def grow_trees(work: Work, reps: DataFrame) -> DataFrame:
-    """(node, rep, pivot, members) of all nodes with two members or more, of all levels."""
-    roots = reps.select("rep", F.posexplode(F.slice("tokens", 1, TREES)).alias("k", "token"))
-    nodes = roots.select(F.xxhash64("k", "token").alias("node"), "rep")
+    """(node, rep, n, pivot, pivot_n, members, leaf) of all nodes with two members or more, of all levels."""
+    roots = reps.select("rep", "n", F.posexplode(F.slice("tokens", 1, TREES)).alias("k", "token"))
+    nodes = roots.select(F.xxhash64("k", "token").alias("node"), "rep", "n")
     levels = None
     for depth in range(DEPTH + 1):
         nodes = work.keep(nodes)
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).filter("members > 1")
+        sizes = nodes.groupBy("node").agg(
+            F.count("*").alias("members"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pivot_n")).filter("members > 1")
         level = work.keep(nodes.join(sizes, "node").withColumn("leaf", (F.col("members") <= SMALL) | F.lit(depth == DEPTH)))
         levels = level if levels is None else levels.unionByName(level)
         large = level.filter(~F.col("leaf"))
@@ -142,8 +143,8 @@ def grow_trees(work: Work, reps: DataFrame) -> DataFrame:
         places = F.array_compact(F.array(chosen(1), second))
         nodes = (
             large.join(reps.select("rep", "tokens"), "rep")
-            .select("node", "rep", "tokens", F.explode(F.array_distinct(places)).alias("k"))
-            .select(F.xxhash64("node", "k", F.get("tokens", F.col("k"))).alias("node"), "rep")
+            .select("node", "rep", "n", "tokens", F.explode(F.array_distinct(places)).alias("k"))
+            .select(F.xxhash64("node", "k", F.get("tokens", F.col("k"))).alias("node"), "rep", "n")
         )
     return levels
 
@@ -286,8 +287,9 @@ def find_components(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     reps = work.keep(known.join(classes.select(F.col("rep").alias("doc"), "f1", "f2", "n"), ["doc", "f1", "f2", "n"], "left_semi")
                      .dropDuplicates(["doc", "f1", "f2", "n"]).select(F.col("doc").alias("rep"), "n", "tokens"))
     nodes = grow_trees(work, reps)
-    # Members against their node's smallest.
-    stars = work.keep(nodes.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    # Members against their node's smallest, where the sizes allow the similarity.
+    close = 100 * F.least("n", "pivot_n") >= LEAST_PERCENT * F.greatest("n", "pivot_n")
+    stars = work.keep(nodes.filter((F.col("rep") != F.col("pivot")) & close).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
     first = work.keep(_likely(stars, reps))
     ids = first.select(F.col("a").alias("rep")).unionAll(first.select("b")).distinct()
     sets = work.keep(full_sets(docs, ids, doc, text))
