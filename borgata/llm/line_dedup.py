@@ -25,7 +25,7 @@ from borgata import session
 LEAST = 10
 BATCHES = 4
 FANOUT = 3
-_BLANKS = "' \\t\\n\\u000B\\f\\r'"
+_BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LAST = (1 << 63) - 1
 
@@ -38,7 +38,7 @@ def line_key(line: Column) -> Column:
     # lower() has a fast path for ASCII and folds just A-Z there; other lines are translated.
     ascii_only = F.octet_length(line) == F.char_length(line)
     folded = F.when(ascii_only, F.lower(line)).otherwise(F.translate(line, _UPPER, _LOWER))
-    return F.btrim(folded, F.expr(_BLANKS))
+    return F.btrim(folded, F.lit(_BLANKS))
 
 
 class LineRuns:

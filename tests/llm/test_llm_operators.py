@@ -104,6 +104,15 @@ def test_line_runs_however_batched(spark, edges, pairs, monkeypatch):
     assert got == sorted([(i, k[1], k[2]) for (i, _), k in zip(pairs, brute.kept_lines(pairs))], key=repr)
 
 
+def test_line_keys_lose_blanks_and_no_letters(spark):
+    docs = [(1, "first line\nor example this\nfile of a leaf"), (2, "first line\nFor example this\n\x0cfile of a leaf\x0c"),
+            (3, "\x0b\x0cOR EXAMPLE THIS\t\r\nFIRST LINE \nfffffffff\x0c"), (4, "fffffffff\x0c\nffffffffff"), (5, "ffffffffff\nFFFFFFFFFF")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in line_dedup.deduplicated(df).select("doc_id", "_d_n_lines", "_d_n_dropped", "_d_text").collect())
+    assert got == [(i, *k) for (i, _), k in zip(docs, brute.kept_lines(docs))]
+    assert [r[2] for r in got] == [0, 2, 2, 0, 2]
+
+
 def test_line_dedup_keeps_null_texts(spark, edges):
     df = spark.read.parquet(f"{edges}/documents.parquet")
     assert line_dedup.dedup_lines(df).filter("text IS NULL").count() == 1
