@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 import brute
-from borgata.llm import decontaminate, licenses, line_dedup, near_dups, pieces, quality_rules, queries, ragged, sharding, token_counts
+from borgata.llm import decontaminate, licenses, line_dedup, lm_scoring, near_dups, pieces, quality_rules, queries, ragged, sharding, token_counts
 from llm_fixtures import edges, pairs  # noqa: F401
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(alphabet="aAbB zé\n\t'1.,▁  世", max_size=40)), max_size=12)
@@ -197,3 +197,39 @@ def test_unigram_forward_scores():
     for word, ids in encoder.encode_units(words).items():
         parts = [names[k] for k in np.frombuffer(ids, np.int32)]
         assert "".join(parts) == word and sum(vocab[p] for p in parts) == pytest.approx(best(word))
+
+
+def test_lm_counts_of_words_so_far_are_exact_however_chunked(spark, monkeypatch):
+    """Every word so far has its own counts, in one chunk or many; the other tables have room for all contexts found."""
+    rng = random.Random(3)
+    n_of = {"".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))): rng.randrange(4) for _ in range(400)}
+    queries.ship(spark)
+    monkeypatch.setattr(lm_scoring, "_BATCH", 7)
+    rows = [(w.encode(), i * 7919 % 4001, n) for i, (w, n) in enumerate(n_of.items())]
+    df = spark.createDataFrame(rows, "word binary, h long, n long").repartitionByRange(3, "word").sortWithinPartitions("word")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        chunks = lm_scoring.chunks_of(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    assert len(chunks) > 20 and sum(len(c["word"]) for c in chunks) == len(n_of) and sum(c["total"] for c in chunks) == sum(n_of.values())
+    table = spark.createDataFrame(chunks, "chunk long, total long, seen long, h array<long>, word array<binary>, n array<long>")
+    grams, times = lm_scoring.count_grams(table)
+    code = lm_scoring.Code(np.bincount((grams & np.uint64(255)).astype(int), times, 256))
+    counts = lm_scoring.Counts(code, grams, times, *lm_scoring.count_beginnings(table))
+    after = {}
+    for w, n in n_of.items():
+        for k, b in enumerate(w.encode() + b" "):
+            for node, bit in zip(*(a[code.start[b]:code.start[b] + code.size[b]].tolist() for a in (code.node, code.bit))):
+                after.setdefault((w[:k], node), [0, 0])[bit] += n
+    for c in chunks:
+        words = [bytes(w) for w in c["word"]]
+        d = lm_scoring.Decisions(words, np.array(c["n"]), code, counts)
+        want = [after[w.decode()[:k], node] for w in words for k, b in enumerate(w + b" ")
+                for node in code.node[code.start[b]:code.start[b] + code.size[b]].tolist()]
+        assert d.times[:, 3].T.tolist() == want
+    small = counts.tables[2].shape[1]
+    many = np.unique(np.random.default_rng(1).integers(0, 1 << 32, 50_000, dtype=np.uint64))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    large = lm_scoring.Counts(code, many, np.ones(len(many), np.int64), *none)
+    assert large.tables[2].shape[1] >= 100_000 > small
