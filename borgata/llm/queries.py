@@ -11,7 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from borgata.llm import (
-    decontaminate, licenses, line_dedup, lm_scoring, near_dups, pieces, quality_model, quality_rules, sharding, token_counts,
+    decontaminate, licenses, line_dedup, lm_scoring, near_dups, pieces, quality_model, quality_rules, ranked_search, sharding,
+    spelling, token_counts, vector_dups,
 )
 
 _ROOT = Path(__file__).resolve().parents[2]
@@ -57,6 +58,9 @@ QUERIES = {
         decontaminate.op8_decontaminate,
         lm_scoring.op9_lm_scores,
         pieces.op10_pieces,
+        vector_dups.op11_vector_dups,
+        ranked_search.op12_ranked_search,
+        spelling.op13_spelling,
     )
 }
 
@@ -160,10 +164,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+_VECTOR_DUPS = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e)
+ AND len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS x, b.r AS y FROM good a JOIN good b ON a.r <> b.r AND len(a.e) = len(b.e)
+ WHERE list_cosine_similarity(a.e, b.e) >= {vector_dups.LEAST}),
+reach AS (SELECT r AS x, r AS y FROM v UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+least AS (SELECT reach.x, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.y GROUP BY reach.x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v JOIN least ON least.x = r LEFT JOIN counts ON counts.x = r
+"""
+
+_TERMS = r"regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_LOWER_TERM = "translate(unnest({}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term"
+_RANKED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+sized AS (SELECT r, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM sized),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, {_LOWER_TERM.format('t')} FROM sized) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+q AS (SELECT DISTINCT item_id, {_LOWER_TERM.format(_TERMS)} FROM benchmark),
+scored AS (SELECT item_id, r, doc_id,
+ CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // l)))) AS BIGINT) AS score
+ FROM tf JOIN q USING (term) JOIN df USING (term), total GROUP BY item_id, r, doc_id),
+ranked AS (SELECT item_id, doc_id, score,
+ CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+ FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {ranked_search.BEST}
+"""
+
 
 ORACLES = {
     "op4_near_dups": _NEAR_DUPS,
     "op5_line_dedup": _LINE_DEDUP,
     "op6_quality_rules": _quality_sql(),
     "op8_decontaminate": _DECONTAMINATE,
+    "op11_vector_dups": _VECTOR_DUPS,
+    "op12_ranked_search": _RANKED_SEARCH,
 }

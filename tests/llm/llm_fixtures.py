@@ -25,6 +25,13 @@ ROWS = [
     (-3, f"{BODY} a b c d e f g", "en", "a"),
 ]
 ITEMS = [(1, BODY), (2, "à b"), (3, None), (4, "--"), (None, "shared by many"), (5, BODY)]
+_A, _B = [3.0, 1.0, 0.0, -2.0], [3.0, 1.2, 0.1, -2.0]
+VECTORS = [
+    (1, _A), (2, _A), (2, _B), (3, [2 * x for x in _A]), (None, _A), (4, None), (5, []), (6, [0.0] * 4), (7, [0.0, -0.0, 0.0, 0.0]),
+    (8, [1.0, None, 0.0, 0.0]), (9, [float("nan"), 1.0, 0.0, 0.0]), (10, [float("inf"), 1.0, 0.0, 0.0]), (11, [-x for x in _A]),
+    (12, [3.0, 1.0, 0.0]), (13, [3.0, 1.0, 0.0]), (14, [1e-30, 0.0, 0.0, 0.0]), (15, [1e30, 0.0, 0.0, 0.0]), (-5, [1.0]), (16, [7.0]),
+    (17, [0.1, 0.1, 0.1, 1.0]), (18, [0.1, 0.1, 0.1, 1.1]), (18, [0.1, 0.1, 0.1, 1.1]),
+]
 EXTRA = ("_text string, doc long, rep long, n long, key string, node long, block long, train boolean, h long, word string, "
          "score double, rule string, value long, size long, shard int, slot long, ids string, a long, b long, n_words long")
 
@@ -39,6 +46,8 @@ def edges(spark, tmp_path_factory):
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     labels = [(1, 1, 0), (2, 1, 0), (13, 0, 0), (14, 0, 0), (8, 1, 0), (99, 1, 0), (None, 1, 0), (5, None, 0), (15, 0, 0), (6, 1, 0)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(*v, None, None, None) for v in VECTORS],
+                          "vec_id long, embedding array<float>, cls long, v double, cell long").repartition(2).write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
@@ -48,6 +57,7 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
