@@ -32,8 +32,13 @@ from pyspark.sql import types as T
 from borgata.llm import ragged
 
 MARK = "▁"
-#: Units whose pieces a Python worker keeps between slices.
-REMEMBERED = 150_000
+#: Units whose pieces a Python worker keeps between slices, and pairs of pieces: some 150 and 60 MB at most.
+REMEMBERED, REMEMBERED_PAIRS = 600_000, 600_000
+TAIL = 4
+#: Longer units are encoded and not kept.
+LONGEST_KEPT = 64
+#: Text that is cut into units at once: the more units, the more prefixes they share.
+SLICE_BYTES = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _NEVER = -1e18
@@ -105,12 +110,13 @@ class Encoder:
         usable = [k for k, t in enumerate(model.types) if t in (NORMAL, USER)]
         self.vocab = {model.pieces[k]: k for k in usable}
         self.score = {model.pieces[k]: model.scores[k] for k in usable}
-        # Lengths, longest first, of the pieces that end in two given characters.
-        lengths: dict[str, set[int]] = {}
+        # Lengths, longest first, of the pieces that end in some given characters; by the last characters of a prefix.
+        tails: dict[str, set[int]] = {}
         for p in self.vocab:
-            if len(p) > 1:
-                lengths.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {two: sorted(found, reverse=True) for two, found in lengths.items()}
+            if len(p) >= TAIL:
+                tails.setdefault(p[-TAIL:], set()).add(len(p))
+        self.tails = {tail: sorted(found, reverse=True) for tail, found in tails.items()}
+        self.lengths: dict[str, tuple[int, ...]] = {}
         self.unknown = next((k for k, t in enumerate(model.types) if t == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): k for k, p in enumerate(model.pieces) if model.types[k] == BYTE}
         if any(MARK in p.lstrip(MARK) for p in self.vocab):
@@ -121,11 +127,14 @@ class Encoder:
         self.cut = re.compile(f"{MARK}*[^{MARK}{alone}]+|[{alone}]|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.apart: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
+        self.merges: dict[int, list[tuple[float, str, str]]] = {}
         least = min(self.score.values(), default=0.0)
         self.unknown_score = least - 10
 
-    def merged(self, unit: str) -> list[str]:
-        """BPE by its definition: the best-scored pair first, the left one of equals."""
+    def merged(self, unit: str, seen: list[tuple[float, str, str]] | None = None) -> list[str]:
+        """BPE by its definition: the best-scored pair first, the left one of equals.  ``seen`` gets the score
+        of each merge and the first and last part after it."""
+        first, last = 0, len(unit) - 1
         part, n = list(unit), len(unit)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         queue: list[tuple[float, int, str]] = []
@@ -148,6 +157,9 @@ class Encoder:
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
+            last = i if j == last else last
+            if seen is not None:
+                seen.append((self.score[both], part[first], part[last]))
             offer(before[i])
             offer(i)
         return [p for p in part if p]
@@ -156,10 +168,36 @@ class Encoder:
         key = left << 32 | right
         found = self.apart.get(key)
         if found is None:
-            a, b = self.model.pieces[left], self.model.pieces[right]
-            found = self.apart[key] = self.merged(a + b) == [a, b]
+            found = self.apart[key] = self._is_whole(left) and self._is_whole(right) and self._no_merge_between(left, right)
         return found
 
+    def _merges(self, piece: int) -> list[tuple[float, str, str]]:
+        """(score, first part, last part) of a piece's own merges in their order, after its characters."""
+        found = self.merges.get(piece)
+        if found is None:
+            text = self.model.pieces[piece]
+            found = self.merges[piece] = [(0.0, text[0], text[-1])]
+            self.merged(text, found)
+        return found
+
+    def _no_merge_between(self, left: int, right: int) -> bool:
+        """Whether two pieces side by side become whole before a merge takes parts of both: the merges of each
+        come in their own order, the best of both sides and of the pair between them first."""
+        one, two, score = self._merges(left), self._merges(right), self.score.get
+        i = j = 0
+        while True:
+            a = one[i + 1][0] if i + 1 < len(one) else _NEVER
+            b = two[j + 1][0] if j + 1 < len(two) else _NEVER
+            between = score(one[i][2] + two[j][1], _NEVER)
+            if between > a and between >= b:
+                return False
+            if a == b == _NEVER:
+                return True
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+
     def _is_whole(self, piece: int) -> bool:
         found = self.whole.get(piece)
         if found is None:
@@ -167,30 +205,46 @@ class Encoder:
             found = self.whole[piece] = self.merged(text) == [text]
         return found
 
-    def _extend_bpe(self, unit: str, at: int, ids: list[int]) -> tuple[int, int]:
-        """(id, length) of the last piece; a character without a piece is -1 and joins nothing."""
-        vocab, apart = self.vocab, self.apart
-        for size in self.lengths.get(unit[at - 2:at], ()) if at > 1 else ():
-            if size > at:
-                continue
-            piece = vocab.get(unit[at - size:at])
-            if piece is None:
-                continue
-            left = ids[at - size] if size < at else -2
-            if left == -2:
-                fits = self._is_whole(piece)
+    def _lengths(self, last: str) -> tuple[int, ...]:
+        """Lengths of two or more of the pieces that may end a prefix with these last characters."""
+        short = [k for k in range(min(TAIL - 1, len(last)), 1, -1) if last[-k:] in self.vocab]
+        if len(self.lengths) > REMEMBERED_PAIRS:
+            self.lengths.clear()
+        found = self.lengths[last] = (*self.tails.get(last, ()), *short)
+        return found
+
+    def _extend_bpe(self, unit: str, at: int, ids: list[int], sizes: list[int]) -> None:
+        """Adds (id, length) of the last piece of each longer prefix; a character without a piece is -1 and
+        joins nothing."""
+        known, apart, lengths = self.vocab.get, self.apart.get, self.lengths.get
+        for at in range(at, len(unit) + 1):
+            last = unit[at - TAIL:at] if at > TAIL else unit[:at]
+            found = lengths(last)
+            for size in self._lengths(last) if found is None else found:
+                if size > at:
+                    continue
+                piece = known(unit[at - size:at])
+                if piece is None:
+                    continue
+                left = ids[at - size]
+                if left == -2:
+                    fits = self._is_whole(piece)
+                else:
+                    fits = left == -1 or apart(left << 32 | piece)
+                    if fits is None:
+                        fits = self._stays_apart(left, piece)
+                if fits:
+                    ids.append(piece)
+                    sizes.append(size)
+                    break
             else:
-                fits = left == -1 or apart.get(left << 32 | piece)
-                if fits is None:
-                    fits = self._stays_apart(left, piece)
-            if fits:
-                return piece, size
-        return vocab.get(unit[at - 1], -1), 1
+                ids.append(known(unit[at - 1], -1))
+                sizes.append(1)
 
     def _extend_unigram(self, unit: str, at: int, best: list[float]) -> tuple[float, int, int]:
         """(score, id, length) of the best way to end here."""
         top, choice, length = _NEVER, -1, 1
-        for size in (*self.lengths.get(unit[at - 2:at] if at > 1 else "", ()), 1):
+        for size in (*self._lengths(unit[max(at - TAIL, 0):at]), 1):
             if size > at:
                 continue
             piece = unit[at - size:at]
@@ -219,12 +273,11 @@ class Encoder:
             while shared < most and unit[shared] == previous[shared]:
                 shared += 1
             del ids[shared + 1:], sizes[shared + 1:], best[shared + 1:]
-            for at in range(shared + 1, len(unit) + 1):
-                if bpe:
-                    piece, size = self._extend_bpe(unit, at, ids)
-                else:
-                    score, piece, size = self._extend_unigram(unit, at, best)
-                    best.append(score)
+            if bpe:
+                self._extend_bpe(unit, shared + 1, ids, sizes)
+            for at in range(shared + 1, len(unit) + 1) if not bpe else ():
+                score, piece, size = self._extend_unigram(unit, at, best)
+                best.append(score)
                 ids.append(piece)
                 sizes.append(size)
             previous, out, at = unit, [], len(unit)
@@ -236,7 +289,7 @@ class Encoder:
                 at -= sizes[at]
             out.reverse()
             found[unit] = array("i", out).tobytes()
-        if len(self.apart) > REMEMBERED:
+        if len(self.apart) > REMEMBERED_PAIRS:
             self.apart.clear()
         return found
 
@@ -288,10 +341,14 @@ def encode_texts(model: Model, texts: list[str | None]) -> list[bytes]:
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = set().union(*cut)
+    long = [x for x in new if len(x) > LONGEST_KEPT]
     if new:
         known.update(encoder.encode_units(sorted(new)))
     look = known.__getitem__
-    return [b"".join(map(look, u)) for u in cut]
+    coded = [b"".join(map(look, u)) for u in cut]
+    for x in long:
+        del known[x]
+    return coded
 
 
 def _marked_equal(t: ragged.Texts, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -318,7 +375,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", keep: list[str]
         T.StructField(prefix + "ids_sha256", T.StringType()), T.StructField(prefix + "round_trip", T.BooleanType())])
 
     def run(batches):
-        for batch, t in ragged.slices(batches, text):
+        for batch, t in ragged.slices(batches, text, SLICE_BYTES):
             coded = encode_texts(model.value, batch.column(text).to_pylist())
             ids = np.frombuffer(b"".join(coded), np.int32)
             n = np.array([len(x) // 4 for x in coded], np.int64)

@@ -118,9 +118,19 @@ def count_words(docs: DataFrame, doc: str = "doc_id", text: str = "text", least:
     return rows.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The characters that begin at some places of UTF-8 bytes."""
+    byte = [np.append(data, np.zeros(4, np.uint8))[at + k].astype(np.int64) for k in range(4)]
+    low = [b & 63 for b in byte]
+    two = (byte[0] & 31) << 6 | low[1]
+    three = (byte[0] & 15) << 12 | low[1] << 6 | low[2]
+    four = (byte[0] & 7) << 18 | low[1] << 12 | low[2] << 6 | low[3]
+    return np.select([byte[0] < 0x80, byte[0] < 0xE0, byte[0] < 0xF0], [byte[0], two, three], four)
+
+
 def prefixes(sides: DataFrame) -> DataFrame:
     """(id, back, depth, node, next) of the prefixes in the second half of each word (text, length ``n``):
-    ``next`` is the character after them, empty at the end."""
+    ``next`` is the code point after them, 0 at the end."""
 
     def run(batches):
         for batch, t in ragged.slices(batches, "text"):
@@ -131,14 +141,14 @@ def prefixes(sides: DataFrame) -> DataFrame:
             # Where a text ends and the next begins, the end comes first.
             depth = np.arange(len(row)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
             keep = depth >= np.where(back, n // 2, (n - 1) // 2)[row]
-            after = np.where(depth < n[row], np.append(place[1:], len(t.data)), place)
-            row, depth, place, after = row[keep], depth[keep], place[keep], after[keep]
+            follows = np.where(depth < n[row], _code_points(t.data, place), 0)
+            row, depth, place, follows = row[keep], depth[keep], place[keep], follows[keep]
             node = ragged.Hasher(t.data).spans(t.offsets[:-1][row], place) ^ np.where(back, _BACKWARD, np.uint64(0))[row]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(pa.array(row)), pa.array(back[row]), pa.array(depth.astype(np.int32)),
-                 pa.array(node.view(np.int64)), _strings(t.data, place, after)], names=["id", "back", "depth", "node", "next"])
+                 pa.array(node.view(np.int64)), pa.array(follows.astype(np.int32))], names=["id", "back", "depth", "node", "next"])
 
-    return sides.mapInArrow(run, "id long, back boolean, depth int, node long, next string")
+    return sides.mapInArrow(run, "id long, back boolean, depth int, node long, next int")
 
 
 def _rest(text, start):
@@ -167,7 +177,7 @@ def near_words(work: Work, words: DataFrame) -> DataFrame:
     edges = work.keep(inner.unionAll(last))
 
     begin = steps.filter((F.col("rest") != "") & (F.col("depth") >= F.expr("if(back, n - n div 2, n div 2)")))
-    begin = begin.select("id", "node", "next", F.expr("substr(rest, 2)").alias("rest")).withColumn("after", F.expr("left(rest, 1)"))
+    begin = begin.select("id", "node", "next", F.expr("substr(rest, 2)").alias("rest")).withColumn("after", F.ascii("rest"))
     met = begin.join(edges, "node").filter((F.col("first") > F.col("next")) | (F.col("first") == F.col("after")))
     replaced = F.when(F.col("first") > F.col("next"), F.expr("substr(label, 2)"))
     dropped = F.when((F.col("first") == F.col("after")) & (F.col("first") != F.col("next")), F.col("label"))
@@ -179,7 +189,7 @@ def near_words(work: Work, words: DataFrame) -> DataFrame:
             "id", F.col("child").alias("node"), "word", F.expr("substr(rest, char_length(label) + 1)").alias("rest")))
         found = states.filter("word IS NOT NULL").select(F.least("id", "word").alias("a"), F.greatest("id", "word").alias("b"))
         pairs = found if pairs is None else pairs.unionAll(found)
-        states = states.filter("word IS NULL").select("id", "node", "rest", F.expr("left(rest, 1)").alias("first"))
+        states = states.filter("word IS NULL").select("id", "node", "rest", F.ascii("rest").alias("first"))
         if states.isEmpty():
             break
         met = states.join(edges, ["node", "first"]).select("id", "rest", "child", "word", "label")
