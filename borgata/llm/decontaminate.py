@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from borgata import session
-from borgata.llm import ragged
+from borgata.llm import columns, ragged
 
 WINDOW = 13
 #: About 120 bytes each: some 250 MB at most.
@@ -221,8 +221,8 @@ def _joined(docs: DataFrame, table: DataFrame, text: str, keep: list[str], prefi
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    found = marked(docs, benchmark, text, prefix="_d_")
-    return found.filter(~F.col("_d_contaminated")).select(*docs.columns)
+    rows, own = columns.numbered(docs)
+    return marked(rows, benchmark, *columns.numbers(docs, text)).filter(~F.col("contaminated")).select(*own)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

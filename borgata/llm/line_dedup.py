@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borgata import session
+from borgata.llm import columns
 
 LEAST = 10
 BATCHES = 4
@@ -145,9 +146,10 @@ def deduplicated(docs: DataFrame, text: str = "text", doc: str = "doc_id", batch
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """The documents with their own columns and only the lines that stay; a null text stays null."""
-    found = deduplicated(docs, text, doc)
-    new = F.when(F.col(text).isNotNull(), F.col("_d_text")).alias(text)
-    return found.select(*[new if c == text else F.col(c) for c in docs.columns])
+    rows, own = columns.numbered(docs)
+    at, key = columns.numbers(docs, text, doc)
+    new = F.when(F.col(at).isNotNull(), F.col("_d_text")).alias(text)
+    return deduplicated(rows, at, key).select(*[new if c == text else o for c, o in zip(docs.columns, own, strict=True)])
 
 
 def op5_line_dedup(spark: SparkSession, sf: str) -> DataFrame:

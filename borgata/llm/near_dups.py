@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from borgata import session
-from borgata.llm import ragged
+from borgata.llm import columns, ragged
 
 SHINGLE = 5
 LEAST_PERCENT = 75
@@ -342,8 +342,9 @@ def find_components(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 def drop_near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are not the smallest of their component."""
     found = find_components(docs, doc, text)
-    gone = found.filter("component <> doc").select(F.col("doc").alias("_n_doc")).distinct()
-    return docs.join(gone, F.col(doc) == F.col("_n_doc"), "left_anti")
+    gone = found.filter("component <> doc").select(F.col("doc").alias("gone")).distinct()
+    rows, own = columns.numbered(docs)
+    return rows.join(gone, F.col(columns.numbers(docs, doc)[0]) == F.col("gone"), "left_anti").select(*own)
 
 
 def op4_near_dups(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,15 +3,17 @@
 Every rule looks at one ratio of a document (an integer, so that any engine computes the same).
 The ratios of each (language, source) are collected in a quantile sketch: counts over buckets that
 keep the eight leading bits of a value, so a quantile is off by less than 1/128 of itself and two
-sketches merge by adding counts, in any order and with the same result.  A group's sketch is read
-together with the shares of its language's merged sketch, weighted as ``PRIOR`` documents, so small
-groups lean on their language at every size and no group is treated by another rule.  A document
-fails where a ratio lies outside its group's fence: quartiles, stretched by ``STRETCH`` times the
-distance between them and at least by the rule's slack.
+sketches merge by adding counts, in any order and with the same result.  A group is read as half its
+own shares and half those of its language, whatever its size: the same mix of documents gets the same
+verdicts in fifty rows or in fifty million.  A document fails where a ratio lies outside its group's
+fence: quartiles, stretched by ``STRETCH`` times the distance between them and at least by the rule's
+slack.  No group's fence goes farther than its language's with twice the language's stretch, so a source full of
+junk cannot widen its own.
 
 Null language or source: a group of its own.  Null or empty text: no words, so the base rule
-rejects it.  Repeated rows are judged one by one and alike.  An empty table gives no rows.  Extra
-columns are carried along by ``filter_documents``; its own work columns start with ``_q_``.
+rejects it.  Repeated rows are judged one by one and alike.  A text of any length is counted whole, by one
+task.  Ties: values of one bucket share its rank, and a value on the fence passes.  An empty table gives no
+rows.  Extra columns of any name are carried along by ``filter_documents``.
 """
 
 from __future__ import annotations
@@ -24,10 +26,9 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from borgata import session
-from borgata.llm import ragged
+from borgata.llm import columns, ragged
 
 WINDOW = 8
-PRIOR = 200
 STRETCH = 3
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutters")
@@ -144,22 +145,32 @@ def fences(sketch: DataFrame) -> DataFrame:
     both = both.groupBy("_q_lang", "_q_source", "rule", "bucket").agg(F.sum("n").alias("n"), F.sum("l").alias("l"))
     group = Window.partitionBy("_q_lang", "_q_source", "rule")
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Weight n + PRIOR * l / L_all, times L_all to stay with whole numbers.
+    # Weight n / N + l / L of the group's N and the language's L documents, times N * L to stay with whole numbers.
+    whole = "DECIMAL(18)"
     ranked = (
-        both.withColumn("L_all", F.sum("l").over(group))
-        .withColumn("w", F.expr(f"CAST(n AS DECIMAL(18)) * CAST(L_all AS DECIMAL(18)) + {PRIOR} * CAST(l AS DECIMAL(18))"))
+        both.withColumn("L_all", F.sum("l").over(group)).withColumn("N_all", F.sum("n").over(group))
+        .withColumn("w", F.expr(f"CAST(n AS {whole}) * CAST(L_all AS {whole}) + CAST(l AS {whole}) * CAST(N_all AS {whole})"))
         .withColumn("below", F.sum("w").over(upto)).withColumn("all", F.sum("w").over(group))
+        .withColumn("l_below", F.sum("l").over(upto))
     )
 
-    def quantile(quarter: int) -> Column:
-        return F.min(F.when(4 * F.col("below") >= quarter * F.col("all"), F.col("bucket")))
+    def quantile(quarter: int, below: str, all_: str) -> Column:
+        return F.min(F.when(4 * F.col(below) >= quarter * F.col(all_), F.col("bucket")))
 
     slack = F.create_map(*[F.lit(x) for r in RULES for x in (r, RULES[r][1])])
     low_fails = [r for r in RULES if RULES[r][2]]
-    found = ranked.groupBy("_q_lang", "_q_source", "rule").agg(quantile(1).alias("q1"), quantile(3).alias("q3"))
-    reach = F.greatest(STRETCH * (F.col("q3") - F.col("q1")), F.element_at(slack, F.col("rule")))
-    found = found.select("_q_lang", "_q_source", "rule", (F.col("q3") + reach).alias("hi"),
-                         F.when(F.col("rule").isin(low_fails), F.col("q1") - reach).alias("lo"))
+    found = ranked.groupBy("_q_lang", "_q_source", "rule").agg(
+        quantile(1, "below", "all").alias("q1"), quantile(3, "below", "all").alias("q3"),
+        quantile(1, "l_below", "L_all").alias("l1"), quantile(3, "l_below", "L_all").alias("l3"))
+
+    def reach(low: str, high: str) -> Column:
+        return F.greatest(STRETCH * (F.col(high) - F.col(low)), F.element_at(slack, F.col("rule")))
+
+    found = found.select(
+        "_q_lang", "_q_source", "rule",
+        F.least(F.col("q3") + reach("q1", "q3"), F.col("l3") + 2 * reach("l1", "l3")).alias("hi"),
+        F.when(F.col("rule").isin(low_fails), F.greatest(
+            F.col("q1") - reach("q1", "q3"), F.col("l1") - 2 * reach("l1", "l3"))).alias("lo"))
     wide = [F.max(F.when(F.col("rule") == r, F.col(c))).alias(f"_q_{c}_{r}") for r in RULES for c in ("lo", "hi")]
     return found.groupBy("_q_lang", "_q_source").agg(*wide)
 
@@ -180,9 +191,9 @@ def judged(counted: DataFrame, limits: DataFrame, lang: str = "lang", source: st
 def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that pass, with their own columns."""
     limits = fences(sketches(with_counts(docs.select(text, lang, source), text, "_q_", False), lang, source, "_q_"))
-    counted = with_counts(docs, text, "_q_")
-    kept = judged(counted, limits, lang, source, "_q_").filter("_q_kept")
-    return kept.select(*docs.columns)
+    rows, own = columns.numbered(docs)
+    text, lang, source = columns.numbers(docs, text, lang, source)
+    return judged(with_counts(rows, text, "_q_"), limits, lang, source, "_q_").filter("_q_kept").select(*own)
 
 
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:

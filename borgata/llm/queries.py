@@ -149,15 +149,19 @@ both_ AS (SELECT lang, source, rule, bucket, sum(n) AS n, sum(l) AS l FROM (
  SELECT lang, source, rule, bucket, n, 0 AS l FROM sketch UNION ALL
  SELECT g.lang, g.source, s.rule, s.bucket, 0, s.l FROM (SELECT DISTINCT lang, source FROM sketch) g
  JOIN shared s ON g.lang IS NOT DISTINCT FROM s.lang) GROUP BY ALL),
-weighted AS (SELECT *, n * sum(l) OVER g + {quality_rules.PRIOR} * l AS weight FROM both_
+weighted AS (SELECT *, n * sum(l) OVER g + l * sum(n) OVER g AS weight FROM both_
  WINDOW g AS (PARTITION BY lang, source, rule)),
-ranked AS (SELECT *, sum(weight) OVER (g ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS below, sum(weight) OVER g AS total
+ranked AS (SELECT *, sum(weight) OVER (g ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS below, sum(weight) OVER g AS total,
+ sum(l) OVER (g ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS l_below, sum(l) OVER g AS l_total
  FROM weighted WINDOW g AS (PARTITION BY lang, source, rule)),
 quarters AS (SELECT lang, source, rule, min(bucket) FILTER (WHERE 4 * below >= total) AS q1,
- min(bucket) FILTER (WHERE 4 * below >= 3 * total) AS q3 FROM ranked GROUP BY ALL),
-fence AS (SELECT *, greatest({quality_rules.STRETCH} * (q3 - q1), CASE rule {slack} END) AS reach FROM quarters),
+ min(bucket) FILTER (WHERE 4 * below >= 3 * total) AS q3, min(bucket) FILTER (WHERE 4 * l_below >= l_total) AS l1,
+ min(bucket) FILTER (WHERE 4 * l_below >= 3 * l_total) AS l3 FROM ranked GROUP BY ALL),
+fence AS (SELECT *, greatest({quality_rules.STRETCH} * (q3 - q1), CASE rule {slack} END) AS reach,
+ greatest({quality_rules.STRETCH} * (l3 - l1), CASE rule {slack} END) AS l_reach FROM quarters),
 outside AS (SELECT DISTINCT doc_id FROM v JOIN fence f ON v.rule = f.rule AND v.lang IS NOT DISTINCT FROM f.lang
- AND v.source IS NOT DISTINCT FROM f.source WHERE value > q3 + reach OR (v.rule IN ({low}) AND value < q1 - reach)),
+ AND v.source IS NOT DISTINCT FROM f.source WHERE value > least(q3 + reach, l3 + 2 * l_reach)
+ OR (v.rule IN ({low}) AND value < greatest(q1 - reach, l1 - 2 * l_reach))),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM outside) AS kept

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import brute
@@ -128,6 +129,39 @@ def test_quality_fences_lean_on_the_language(spark):
     assert got == {*range(300), 1000}
 
 
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_quality_fences_do_not_depend_on_size(spark, times):
+    """A source with 30 % junk in a clean language, ten and a hundred times over: the junk goes."""
+    clean = lambda i: " ".join(f"word{(i * 31 + k * 17) % 997}" for k in range(60))
+    junk = " ".join(f"a{k} $" for k in range(30))
+    rows = [(i, junk if i < 15 * times else clean(i), "en", "mixed") for i in range(50 * times)]
+    rows += [(100_000 + i, clean(i), "en", "clean") for i in range(150 * times)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"] for r in quality_rules.filter_documents(df).select("doc_id").collect()}
+    assert got == {r[0] for r in rows if r[1] != junk}
+
+
+def test_stages_give_clashing_columns_back(spark, edges):
+    """Every work name of the modules, as an extra column with a value of its own in every row."""
+    import pathlib
+    import re
+
+    import corpus_pipeline
+    from borgata import llm
+
+    source = " ".join(p.read_text() for p in pathlib.Path(llm.__file__).parent.glob("*.py"))
+    names = set(re.findall(r'"(_[a-z]+(?:_[a-z]+)*)"', source)) | {f"_d_{n}" for n in decontaminate.RESULT} | {f"_q_{n}" for n in quality_rules.COUNTS}
+    names |= {f"_q_{side}_{rule}" for side in ("lo", "hi") for rule in quality_rules.RULES} | {"gone", "c0", "c1", "c9", "contaminated", "n_words", "rep", "a"}
+    docs = spark.read.parquet(f"{edges}/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in sorted(names)})
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, edges)
+        assert out.columns == docs.columns
+        plain = stage(spark, docs.select("doc_id", "text", "lang", "source"), edges)
+        assert sorted(map(repr, out.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+        assert all(r[n] is None if r["doc_id"] is None else r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
+
+
 def test_hit_spans_and_large_benchmarks(spark, edges):
     docs = spark.read.parquet(f"{edges}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{edges}/benchmark.parquet")
