@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from borgata.functions.markup import element, element_pairs, elements
 from borgata.functions.numbers import market_price, to_double
 from borgata.functions.text import absolute_url, blank_to_null, first_match, let, strip, strip_tags
 from borgata.functions.titles import split_composite_title
@@ -48,16 +49,11 @@ def text_of(markup: Column) -> Column:
     return strip(F.when(F.contains(markup, F.lit("&")), decoded).otherwise(bare))
 
 
-def _matched(c: Column, pattern: str) -> Column:
-    """Group 1, NULL without a match; a match of empty text stays ''."""
-    return F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.lit(0))
-
-
 def _key(scope: Column, rule: Rule) -> Column:
     if rule.manual_key:
         return F.lit(rule.manual_key)
     if rule.key_pattern:
-        found = F.nullif(text_of(_matched(scope, rule.key_pattern)), F.lit(""))
+        found = F.nullif(text_of(element(scope, rule.key_pattern)), F.lit(""))
         return F.coalesce(found, F.lit(rule.name))
     return F.lit(rule.name)
 
@@ -67,16 +63,15 @@ def _entry(key: Column, value: Column) -> Column:
 
 
 def _single(html: Column, rule: Rule) -> Column:
-    return _entry(_key(html, rule), text_of(_matched(html, rule.pattern)))
+    return _entry(_key(html, rule), text_of(element(html, rule.pattern)))
 
 
 def _multiple(html: Column, rule: Rule) -> Column:
     def one(inner: Column) -> Column:
-        value = inner if rule.value_pattern is None else _matched(inner, rule.value_pattern)
+        value = inner if rule.value_pattern is None else element(inner, rule.value_pattern)
         return let(let(value, text_of), lambda v: _entry(_key(inner, rule), v))
 
-    found = F.regexp_extract_all(html, F.lit(rule.pattern), F.lit(1))
-    return F.array_compact(F.transform(found, one))
+    return F.array_compact(F.transform(elements(html, rule.pattern), one))
 
 
 def _last_of_each_key(entries: Column) -> Column:
@@ -141,9 +136,9 @@ def extract_cards(pages: DataFrame, card: str, fields: Mapping[str, CardField],
 
     def value(inner: Column, spec: CardField) -> Column:
         if spec.many:
-            every = F.regexp_extract_all(inner, F.lit(spec.patterns[0]), F.lit(1))
+            every = elements(inner, spec.patterns[0])
             return F.array_compact(F.transform(every, lambda x: blank_to_null(text_of(x))) if spec.plain else every)
-        found = [_matched(inner, p) for p in spec.patterns]
+        found = [element(inner, p) for p in spec.patterns]
         if spec.plain:
             found = [let(f, text_of) for f in found]
         out = F.coalesce(*found, F.lit(spec.default).cast("string"))
@@ -151,8 +146,7 @@ def extract_cards(pages: DataFrame, card: str, fields: Mapping[str, CardField],
 
     # The fields are built inside the array: below a generator nothing can pull them apart again,
     # so a later filter on a field does not compute it a second time.
-    found = F.regexp_extract_all(bare_markup(F.col(html)), F.lit(card), F.lit(1))
-    cards = F.transform(found, lambda inner: F.struct(*[value(inner, s).alias(n) for n, s in fields.items()]))
+    cards = F.transform(elements(bare_markup(F.col(html)), card), lambda inner: F.struct(*[value(inner, s).alias(n) for n, s in fields.items()]))
     return pages.select(*keep, F.posexplode(cards).alias("pos", "_c")).select(*keep, "pos", "_c.*")
 
 
@@ -238,7 +232,7 @@ def second_portal_cards(pages: DataFrame, host: str, html: str = "html") -> Data
 
 
 # Label of a detail page -> field; the first field label found wins.
-DETAIL_PAIR = r'(?s)<div class="im-properties__title">(.*?)</div>\s*<div[^>]*>(.*?)</div>'
+DETAIL_TITLE = r'(?s)<div class="im-properties__title">(.*?)</div>'
 DETAIL_LABELS = {
     "riferimento_annuncio": ["Riferimento Annuncio"], "data_pubblicazione": ["Data Pubblicazione Annuncio"],
     "data_aggiornamento": ["Data Aggiornamento Annuncio"], "codice_immobiliare": ["Codice Immobiliare"],
@@ -272,12 +266,13 @@ DETAIL_LABELS = {
 
 
 def label_values(pages: DataFrame, labels: Mapping[str, Sequence[str]] = DETAIL_LABELS,
-                 pair: str = DETAIL_PAIR, html: str = "html") -> DataFrame:
-    """One column per field: the first value whose label contains one of the field's label texts."""
+                 title: str = DETAIL_TITLE, html: str = "html") -> DataFrame:
+    """One column per field: the first value whose label contains one of the field's label texts.  A value is the
+    element right after its label's."""
     keep = [c for c in pages.columns if c != html]
     bare = pages.select(*keep, bare_markup(F.col(html)).alias("_h"))
-    side = lambda g: F.regexp_extract_all(F.col("_h"), F.lit(pair), F.lit(g))
-    pairs = F.zip_with(side(1), side(2), lambda k, v: F.struct(let(k, text_of).alias("k"), let(v, text_of).alias("v")))
+    pairs = F.transform(element_pairs(F.col("_h"), title), lambda e: F.struct(
+        let(e["k"], text_of).alias("k"), let(e["v"], text_of).alias("v")))
     listed = bare.select(*keep, pairs.alias("_p"))
 
     def first(word: str) -> Column:
@@ -310,15 +305,14 @@ def detail_fields(pages: DataFrame, html: str = "html") -> DataFrame:
     keep = [c for c in pages.columns if c != html]
     # Parsed once: label values, the markup without scripts, and the markup itself.
     fields = label_values(pages.withColumn("_raw", F.col(html)), html=html).withColumn("_h", bare_markup(F.col("_raw")))
-    main = {n: F.coalesce(F.nullif(text_of(_matched(F.col("_h"), p)), F.lit("")), F.col(n)) for n, p in MAIN_FEATURES.items()}
-    block = {n: _matched(F.col("_h"), p) for n, p in DETAIL_LISTS.items()}
-    items = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    main = {n: F.coalesce(F.nullif(text_of(element(F.col("_h"), p)), F.lit("")), F.col(n)) for n, p in MAIN_FEATURES.items()}
+    block = {n: element(F.col("_h"), p) for n, p in DETAIL_LISTS.items()}
     lists = {
         "descrizione": F.filter(F.transform(F.split(block["descrizione"], "<[^>]*>"), strip), lambda x: x != ""),
-        "altre_caratteristiche": F.transform(items(block["altre_caratteristiche"], r"(?s)<li[^>]*>(.*?)</li>"), text_of),
-        "immagini": items(block["immagini"], r'<img[^>]*src="([^"]*)"'),
+        "altre_caratteristiche": F.transform(elements(block["altre_caratteristiche"], r"(?s)<li[^>]*>(.*?)</li>"), text_of),
+        "immagini": elements(block["immagini"], r'<img[^>]*src="([^"]*)"'),
     }
-    number = lambda name: to_double(_matched(F.col("_h"), f'<div[^>]*data-cy="[^"]*map[^"]*"[^>]*{name}="([^"]*)"'))
+    number = lambda name: to_double(element(F.col("_h"), f'<div[^>]*data-cy="[^"]*map[^"]*"[^>]*{name}="([^"]*)"'))
     lat, lng = number("data-lat"), number("data-lng")
     script = F.when(F.contains("_raw", F.lit("coordinates")), F.col("_raw"))
     s_lat, s_lng = script_coordinates(script)

@@ -29,9 +29,12 @@ def _text(c: str) -> str:
     return sql_strip(out)
 
 
-def _list(name: str, pattern: str, value: str) -> str:
-    return (f"{name} AS (SELECT page_id, unnest(regexp_extract_all(h, '{pattern}', 1)) AS x, "
-            f"generate_subscripts(regexp_extract_all(h, '{pattern}', 1), 1) - 1 AS i FROM b), "
+# A paragraph ends where it says so, or where the next begins.
+_PARAGRAPHS = r"list_transform(string_split(h, '<p>')[2:], lambda t: regexp_extract(t, '(?s)^(.*?)(?:</?p[\s/>]|$)', 1))"
+
+
+def _list(name: str, found: str, value: str) -> str:
+    return (f"{name} AS (SELECT page_id, unnest({found}) AS x, generate_subscripts({found}, 1) - 1 AS i FROM b), "
             f"{name}v AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, {_text(value)} AS v FROM {name} WHERE {value} IS NOT NULL)")
 
 
@@ -39,9 +42,9 @@ _RECORDS = rf"""
 WITH b AS (SELECT page_id, {_BARE} AS h FROM pages),
 s AS (SELECT page_id, CASE WHEN regexp_matches(h, '(?s)<h1>(.*?)</h1>') THEN {_text("regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1)")} END AS title,
  CASE WHEN regexp_matches(h, '(?s)<footer>(.*?)</footer>') THEN {_text("regexp_extract(h, '(?s)<footer>(.*?)</footer>', 1)")} END AS footer FROM b),
-{_list("li", "(?s)<li>(.*?)</li>", "CASE WHEN regexp_matches(x, '(?s)<a href=\"[^\"]*\">(.*?)</a>') THEN regexp_extract(x, '(?s)<a href=\"[^\"]*\">(.*?)</a>', 1) END")},
-{_list("pa", "(?s)<p>(.*?)</p>", "x")},
-{_list("di", "(?s)<div (.*?)</div>", "CASE WHEN regexp_matches(x, '(?s)>(.*)') THEN regexp_extract(x, '(?s)>(.*)', 1) END")},
+{_list("li", "regexp_extract_all(h, '(?s)<li>(.*?)</li>', 1)", "CASE WHEN regexp_matches(x, '(?s)<a href=\"[^\"]*\">(.*?)</a>') THEN regexp_extract(x, '(?s)<a href=\"[^\"]*\">(.*?)</a>', 1) END")},
+{_list("pa", _PARAGRAPHS, "x")},
+{_list("di", "regexp_extract_all(h, '(?s)<div (.*?)</div>', 1)", "CASE WHEN regexp_matches(x, '(?s)>(.*)') THEN regexp_extract(x, '(?s)>(.*)', 1) END")},
 k AS (SELECT page_id, pos FROM liv UNION SELECT page_id, pos FROM pav UNION SELECT page_id, pos FROM div),
 a AS (SELECT page_id, pos FROM k UNION ALL SELECT page_id, 0 FROM s WHERE page_id NOT IN (SELECT page_id FROM k) AND coalesce(title, footer) IS NOT NULL),
 r AS (SELECT page_id, CAST(pos AS INT) AS pos, title, md5(footer) AS footer, liv.v AS link, md5(pav.v) AS para, div.v AS ad
@@ -72,13 +75,13 @@ UNION ALL SELECT p_partkey, 3, concat(p_name, ' & co'), '', p_size::DOUBLE, p_br
 SELECT p_partkey, CAST(pos AS INT) AS pos, "Title", "Subtitle", "Price", "Seller", "Link" FROM c""")
 def html_card_extract(spark, sf):
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
-    card = lambda *parts: F.concat(F.lit('<li class="s-item s-item--large">'), *parts, F.lit("</li>"))
+    card = lambda *parts: F.concat(F.lit('<li class="s-item s-item--large"><ul><li>new</li><li>blue</li></ul>'), *parts, F.lit("</li>"))
     tag = lambda name, cls, c: F.concat(F.lit(f'<{name} class="s-item__{cls}">'), c, F.lit(f"</{name}>"))
     link = lambda c: F.concat(F.lit('<a class="s-item__link" href="'), c, F.lit('">vai</a>'))
     html = F.concat(
         F.lit("<html><script>var s='<li class=\"s-item\">x</li>';</script><ul>"),
         card(tag("div", "title", F.lit("Shop on eBay")), tag("span", "price", F.lit("EUR 20,00")), link(F.lit("/promo"))),
-        card(tag("div", "title", F.concat(F.lit(" <b>"), "p_name", F.lit("</b> -- Spedizione GRATUITA"))), tag("div", "subtitle", F.col("p_type")),
+        card(tag("div", "title", F.concat(F.lit(" <div><b>"), "p_name", F.lit("</b></div> -- Spedizione GRATUITA"))), tag("div", "subtitle", F.col("p_type")),
              tag("span", "price", F.concat(F.lit("EUR "), size, F.lit(".050,50"))), link(F.concat(F.lit("/itm/"), key))),
         card(tag("div", "title", F.lit("senza prezzo")), link(F.lit("/none"))),
         F.when(F.col("p_partkey") % 2 == 0, card(
@@ -95,9 +98,9 @@ SELECT id, trim(regexp_replace(title, '\t', ' ', 'g')) AS title, concat('https:/
  CASE WHEN rooms IS NOT NULL THEN concat(CAST(rooms AS STRING), ' locale') END AS locali, 'Balcone' AS balcone, NULL::STRING AS cantina FROM listings"""))
 def listing_cards(spark, sf):
     df = listings(spark, sf, "id", "title", "price_text", "rooms")
-    feature = lambda c: F.concat(F.lit('<div class="in-listingCardFeatureList__item"> <span>'), c, F.lit("</span></div>"))
+    feature = lambda c: F.concat(F.lit('<div class="in-listingCardFeatureList__item"> <span><span></span>'), c, F.lit("</span></div>"))
     html = F.concat(
-        F.lit('<ul><li class="nd-list__item in-searchLayoutListItem"><img class="x" src="a.jpg"><a class="in-listingCardTitle" href="/annunci/'),
+        F.lit('<ul><li class="nd-list__item in-searchLayoutListItem"><ol><li>1</li><li>2</li></ol><img class="x" src="a.jpg"><a class="in-listingCardTitle" href="/annunci/'),
         F.col("id").cast("string"), F.lit('/" title="'), F.btrim(F.regexp_replace("title", "\t", " "), F.lit(" ")), F.lit('">t</a>'),
         F.coalesce(F.concat(F.lit('<div class="in-listingCardPrice"> <span>'), "price_text", F.lit("</span></div>")), F.lit("")),
         F.lit('<div class="in-listingCardFeatureList">'),
@@ -134,7 +137,7 @@ SELECT id, concat(CAST(1 + id % 6 AS STRING), ' locali') AS locali, nullif(trim(
 def label_value_pairs(spark, sf):
     df = listings(spark, sf, "id", "floor_text", "surface", "elevator")
     pair = lambda label, c: F.concat(
-        F.lit(f'<div class="im-properties__title"> {label} </div>\n<div class="v"> '), F.coalesce(c, F.lit("")), F.lit(" </div>"))
+        F.lit(f'<div class="im-properties__title"><div> {label}</div> </div>\n<div class="v"><div> '), F.coalesce(c, F.lit("")), F.lit(" </div></div>"))
     html = F.concat(
         F.lit("<section>"), pair("Locali", F.concat((1 + F.col("id") % 6).cast("string"), F.lit(" <i>locali</i>"))),
         pair("Piano", F.col("floor_text")), pair("Superficie", F.col("surface")),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from borgata.functions import markup
 from borgata.operators import clean, extract
 from borgata.operators.extract import Rule
 
@@ -101,3 +102,68 @@ def test_detail_page(spark):
     assert a["descrizione"] == "Bella casa" and a["altre_caratteristiche"] == ["Cantina"] and a["immagini"] == ["a.jpg", "b.jpg"]
     assert (a["latitudine"], a["longitudine"]) == (44.3, 8.4) and (b["latitudine"], b["longitudine"]) == (1.5, 2.5)
     assert b["piano"] is None
+
+
+def test_containers_end_at_their_own_end_tag(spark):
+    def found(pattern, *html):
+        df = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "i int, h string").coalesce(1)
+        return [r[0] for r in df.orderBy("i").select(markup.elements(F.col("h"), pattern)).collect()]
+
+    div = r"(?s)<div (.*?)</div>"
+    assert found(div, '<div class="k"><div>in</div>out</div> <div x>y</div>', "<div>bare</div>", None, "") == [
+        ['class="k"><div>in</div>out', "x>y"], [], None, []]
+    assert found(div, '<div a>1<div b>2<div c>3</div></div>4</div>', "<div a>never ended<div>x</div>", "<DIV x></DIV><div y>1</DIV>2",
+                 "<divider x></divider><div\nz></div><div z></div >") == [
+        ["a>1<div b>2<div c>3</div></div>4"], ["a>never ended<div>x</div>"], ["y>1"], ["z>"]]
+    item = r"(?s)<li[^>]*>(.*?)</li>"
+    assert found(item, "<ul><li>a<ul><li>b</li></ul>c</li><li>d</li></ul>", "<ul><li>a<li>b</ul>tail<ol><li>c</ol>", "<li>x</li>y<li>z") == [
+        ["a<ul><li>b</li></ul>c", "d"], ["a", "b", "c"], ["x", "z"]]
+    assert found(r"(?s)<p>(.*?)</p>", "<p>a<p>b</p>c<p>d") == [["a", "b", "d"]]
+    assert found(r"(?s)<tr>(.*?)</tr>", "<tr><td><table><tr><td>1</td></tr></table></td></tr><tr>2</tr>") == [
+        ["<td><table><tr><td>1</td></tr></table></td>", "2"]]
+    # What stands before the tag belongs to the pattern; a pattern of another form is matched as it stands.
+    assert found(r'(?s)class="r">\s*<span>(.*?)</span>', '<i class="r"> <span>a<span>b</span></span></i><i class="q"><span>c</span></i>') == [["a<span>b</span>"]]
+    assert found(r'href="([^"]*)"', '<a href="1"><a href="2">') == [["1", "2"]]
+
+
+def test_containers_of_random_markup(spark):
+    """Against a plain parser that walks the tags with a stack."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(["<div>", "<div k>", "</div>", "x", "<b>", "</b>"], k=rng.randint(0, 14))) for _ in range(400)]
+
+    def plain(h):
+        out, level, start = [], 0, None
+        for m in re.finditer(r"<div k>|<div>|</div>", h):
+            if start is None:
+                if m[0] == "<div k>":
+                    start, level = m.end(), 1
+                continue
+            level += -1 if m[0] == "</div>" else 1
+            if level == 0:
+                out.append(h[start:m.start()])
+                start = None
+        return out + ([h[start:]] if start is not None else [])
+
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(texts)], "i int, h string")
+    got = df.orderBy("i").select(markup.elements(F.col("h"), "(?s)<div k>(.*?)</div>")).collect()
+    assert [r[0] for r in got] == [plain(h) for h in texts]
+
+
+def test_records_of_nested_markup(spark):
+    card = ('<li class="s-item x"><div class="s-item__title"><div>Lam</div>pada</div><ul><li>new</li><li>blue</li></ul>'
+            '<span class="s-item__price"><span>EUR</span> 5,00</span><a class="s-item__link" href="/i/1">v</a></li>')
+    df = spark.createDataFrame([(1, f"<ul>{card}{card}</ul>")], "page_id int, html string")
+    assert [(r["pos"], r["Title"], r["Price"]) for r in extract.market_cards(df).collect()] == [(0, "Lampada", 5.0), (1, "Lampada", 5.0)]
+    pair = lambda k, v: f'<div class="im-properties__title"><div>{k}</div></div>\n<div class="v"><div>{v}</div></div>'
+    html = pair("Piano", "3<div>b</div>") + '<div class="im-features__list"><div><ul><li>a</li></ul></div><ul><li>b<ul><li>c</li></ul></li></ul></div>'
+    r = extract.detail_fields(spark.createDataFrame([(1, html + pair("Locali", "5"))], "id int, html string")).first()
+    assert (r["piano"], r["locali"], r["altre_caratteristiche"]) == ("3b", "5", ["a", "bc"])
+
+
+def test_pairs_need_the_next_element(spark):
+    html = '<div class="im-properties__title">a</div><div>1</div><div class="im-properties__title">b</div> x <div>2</div><div class="im-properties__title">c</div><p>3</p>'
+    df = spark.createDataFrame([(html,)], "h string").select(markup.element_pairs(F.col("h"), extract.DETAIL_TITLE).alias("p"))
+    assert [tuple(x) for x in df.first()["p"]] == [("a", "1")]
