@@ -73,17 +73,48 @@ def fuzzy_scores(queries: DataFrame, cities: DataFrame, query: str = "query", ra
     limited = qt.withColumn("_len", longest)
     city_in_query = limited.select("_qt", F.explode(_substrings(F.col("_qt"), F.col("_len"))).alias("_ct")).join(ct, "_ct")
     pairs = query_in_city.select("_qt", "_ct").union(city_in_query.select("_qt", "_ct")).distinct()
+    # What each query word adds to each city, and its best city: per distinct word, not per query.
+    share = pairs.join(c_words, "_ct").groupBy("_qt", "city_key").agg(F.sum("_cc").alias("_v"))
+    share = share.join(cities.select("city_key", F.col(rank).alias("_rank")), "city_key")
+    best = F.max_by("city_key", F.struct(F.col("_v"), -F.col("_rank")))
+    words = q_words.join(share.groupBy("_qt").agg(F.max("_v").alias("_most"), F.count("*").alias("_cities"), best.alias("_top")), "_qt")
+    candidates = _candidates(words, share)
     scored = (
-        q_words.join(pairs, "_qt")
-        .join(c_words, "_ct")
+        candidates.join(words.select("_q", "_qt", "_qc"), "_q")
+        .join(share.select("_qt", "city_key", "_v"), ["_qt", "city_key"])
         .groupBy("_q", "city_key")
-        .agg(F.sum(F.col("_qc") * F.col("_cc")).alias("score"))
+        .agg(F.sum(F.col("_qc") * F.col("_v")).alias("score"))
     )
     ranked = scored.join(cities, "city_key")
     best = F.max_by(F.struct("city_key", "city_id", "city_name", "score"), F.struct(F.col("score"), -F.col(rank)))
     return ranked.groupBy("_q").agg(best.alias("_b")).select("_q", "_b.*")
 
 
+def _candidates(words: DataFrame, share: DataFrame) -> DataFrame:
+    """(_q, city_key): the cities that can be a query's best.
+
+    A query's words stand by the number of cities they fit, rarest first.  The exact score of the rarest word's
+    best city is a score to beat.  A city whose rarest fitting word is the i-th scores at most what that
+    word gives it and the most that the later words give any city, so it is a candidate only where that
+    reaches the score.  Of the cities that only the commonest word fits, its best city beats all others.  So a
+    word that fits nearly every city costs a query one row.
+    """
+    order = Window.partitionBy("_q").orderBy("_cities", "_qt")
+    placed = words.select(
+        "*", F.row_number().over(order).alias("_i"), F.count("*").over(Window.partitionBy("_q")).alias("_n"),
+        F.coalesce(F.sum(F.col("_qc") * F.col("_most")).over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("_later"))
+    probe = placed.filter("_i = 1").select("_q", F.col("_top").alias("city_key"))
+    known = (
+        probe.join(words.select("_q", "_qt", "_qc"), "_q")
+        .join(share.select("_qt", "city_key", "_v"), ["_qt", "city_key"])
+        .groupBy("_q").agg(F.sum(F.col("_qc") * F.col("_v")).alias("_score"))
+    )
+    rare = placed.filter("_i < _n").join(known, "_q").select(
+        "_q", "_qt", F.ceil((F.col("_score") - F.col("_later")) / F.col("_qc")).alias("_least"))
+    reached = rare.join(share, (rare["_qt"] == share["_qt"]) & (F.col("_v") >= F.col("_least"))).select("_q", "city_key")
+    return probe.union(placed.filter("_i = _n").select("_q", "_top")).union(reached).distinct()
+
+
 def fuzzy_lookup(queries: DataFrame, cities: DataFrame, query: str = "query") -> DataFrame:
     """Every query row with its best city, the first in ``dim_ord`` on ties; NULL when none fits."""
     best = fuzzy_scores(queries, cities, query)

@@ -171,3 +171,33 @@ def test_trips(spark):
     assert r[0]["outbound_flightNumber"] == "FR 1234" and r[0]["outbound_originFull"] == "Goa, Italia"
     assert r[0]["outbound_departureTime"] == dt.datetime(2024, 5, 31, 6, 30) and r[0]["inbound_departureTime"] is None
     assert r[0]["totalPrice"] == pytest.approx(30.0, abs=0.011)
+
+
+def test_common_words_cost_a_query_one_row(spark):
+    """2,000 queries with a word that fits all of 500 cities: rows in proportion to the answers."""
+    names = [f"santa{chr(97 + i % 26)}{chr(97 + i // 26)} marina" for i in range(500)]
+    cities = spark.createDataFrame([(n, i, n.title(), i) for i, n in enumerate(names)], "city_key string, city_id long, city_name string, dim_ord long")
+    words = lookup.fuzzy_scores(spark.createDataFrame([(f"a q{i}q",) for i in range(2000)], "query string"), cities)
+    assert {(r["city_key"], r["score"], r["n"]) for r in words.groupBy("city_key", "score").agg(F.count("*").alias("n")).collect()} == {(names[0], 2, 2000)}
+    seen = []
+    kept = lookup._candidates
+    try:
+        lookup._candidates = lambda w, s: (seen.append(kept(w, s)), seen[-1])[1]
+        asked = [f"a {names[i % 500].split()[0]}" for i in range(500)]
+        got = {r["_q"]: r["city_key"] for r in lookup.fuzzy_scores(spark.createDataFrame([(q,) for q in asked], "query string"), cities).collect()}
+    finally:
+        lookup._candidates = kept
+    assert got == {q: q[2:] + " marina" for q in asked}
+    assert seen[0].count() <= 1000
+
+
+def test_fuzzy_lookup_of_random_words(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abc", weights=[5, 2, 1], k=rng.randint(1, 4)))
+    keys = sorted({" ".join(word() for _ in range(rng.randint(1, 4))) for _ in range(80)}, key=lambda x: rng.random())
+    cities = spark.createDataFrame([(k, i, k, i) for i, k in enumerate(keys)], "city_key string, city_id long, city_name string, dim_ord long")
+    asked = [" ".join(word() if rng.random() < 0.9 else "zz" for _ in range(rng.randint(0, 5))) for _ in range(300)]
+    got = {r["i"]: (r["city_key"], r["score"]) for r in lookup.fuzzy_lookup(spark.createDataFrame(list(enumerate(asked)), "i int, query string"), cities).collect()}
+    assert got == {i: brute_force(q, [(k,) for k in keys]) for i, q in enumerate(asked)}
