@@ -12,8 +12,9 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from borgata.functions.text import let
 from borgata.operators import features as f
 
 SEED = 42
@@ -173,8 +174,7 @@ def compare(results: Mapping[str, DataFrame]) -> DataFrame:
 # --- feature selection -------------------------------------------------------------------------
 
 def f_scores(df: DataFrame, features: Sequence[str], label: str, p_values: bool = True) -> DataFrame:
-    """(feature, score, p_value): univariate F test of every feature in one pass over the data; the
-    p-value, computed in Python on one row per feature, only where it is wanted."""
+    """(feature, score, p_value): univariate F test of every feature in one pass over the data."""
     # Not corr(): it fails on a constant feature in ANSI mode, where the score is simply unknown.
     r = lambda c: F.try_divide(F.covar_pop(c, label), F.stddev_pop(c) * F.stddev_pop(label))
     one = df.agg(F.count("*").alias("n"), *[r(c).alias(f"r{i}") for i, c in enumerate(features)])
@@ -182,51 +182,43 @@ def f_scores(df: DataFrame, features: Sequence[str], label: str, p_values: bool
     rows = one.select("n", F.inline(entries))
     r2 = F.col("r") * F.col("r")
     scored = rows.withColumn("score", F.try_divide(r2, 1 - r2) * (F.col("n") - 2))
+    p_value = [f_survival(F.col("score"), F.col("n") - 2).alias("p_value")] if p_values else []
+    return scored.select("feature", "score", *p_value)
 
-    if not p_values:
-        return scored.select("feature", "score")
-
-    def with_p(batches):
-        for pdf in batches:
-            pdf["p_value"] = [f_survival(s, int(n) - 2) for s, n in zip(pdf["score"], pdf["n"])]
-            yield pdf[["feature", "score", "p_value"]]
-
-    return scored.mapInPandas(with_p, "feature string, score double, p_value double")
-
-
-def f_survival(score: float, df2: int) -> float | None:
-    """P(F(1, df2) > score), by the continued fraction of the incomplete beta function."""
-    if score is None or math.isnan(score) or df2 <= 0:
-        return None
-    x = df2 / (df2 + score)
-    a, b = df2 / 2.0, 0.5
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1 - x) / b
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + num * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + num / c
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1.0) < 1e-14:
-            break
-    return h
+
+#: Levels of the continued fraction; some dozens are enough on the side that is used.
+LEVELS = 400
+
+
+def f_survival(score: Column, df2: Column) -> Column:
+    """P(F(1, df2) > score), by the continued fraction of the incomplete beta function, from its far end."""
+    a, part = df2.cast("double") / 2, score / df2
+    x = 1 / (1 + part)
+    # ln Γ(a + 1/2) - ln Γ(a): the series for large arguments, sixteen steps up.
+    up = a + 16
+    ratio = F.log(up) / 2 - 1 / (8 * up) + 1 / (192 * up * up * up)
+    for j in range(16):
+        ratio = ratio + F.log(a + j) - F.log(a + j + 0.5)
+    front = F.exp(ratio - a * F.log1p(part) + F.log(part / (1 + part)) / 2) / math.sqrt(math.pi)
+    near, far = _beta_fraction(a, F.lit(0.5), x), _beta_fraction(F.lit(0.5), a, part / (1 + part))
+    value = F.when(x < (a + 1) / (a + 2.5), front / a / near).otherwise(1 - front / 0.5 / far)
+    return F.when(score.isNull() | F.isnan(score) | (df2 <= 0), None).when(score <= 0, 1.0).when(
+        score == float("inf"), 0.0).otherwise(value)
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """1 + d1 / (1 + d2 / (1 + ...)), folded over its levels."""
+
+    def folded(s: Column) -> Column:
+        def level(t: Column, k: Column) -> Column:
+            m = F.floor(k / 2).cast("double")
+            even = m * (s["b"] - m) / ((s["a"] + 2 * m - 1) * (s["a"] + 2 * m))
+            odd = -(s["a"] + m) * (s["a"] + s["b"] + m) / ((s["a"] + 2 * m) * (s["a"] + 2 * m + 1))
+            return 1 + F.when(k % 2 == 0, even).otherwise(odd) * s["x"] / t
+
+        return F.aggregate(F.sequence(F.lit(LEVELS), F.lit(1), F.lit(-1)), F.lit(1.0), level)
+
+    return let(F.struct(a.alias("a"), b.alias("b"), x.alias("x")), folded)
 
 
 def top_scores(df: DataFrame, features: Sequence[str], label: str, k: int = TOP_FEATURES, p_values: bool = True) -> DataFrame:

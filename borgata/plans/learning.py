@@ -100,13 +100,23 @@ _SCORED = {"l_quantity": "l_quantity", "l_discount": "l_discount", "l_tax": "l_t
            "is_r": "CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END", "is_open": "CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END"}
 
 
-@query("f_regression_topk", "WITH r AS (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS feature, corr({e}, l_extendedprice) AS r, count(*) AS n FROM lineitem" for n, e in _SCORED.items())
-    + ") SELECT feature, round(r * r / (1 - r * r) * (n - 2), 3) AS score FROM r ORDER BY score DESC, feature LIMIT 4")
+_LEVEL = """CASE WHEN k % 2 = 0 THEN (k // 2) * (b - k // 2) / ((a + k - 1) * (a + k))
+ ELSE -(a + k // 2) * (a + b + k // 2) / ((a + k - 1) * (a + k)) END"""
+
+
+@query("f_regression_topk", "WITH RECURSIVE r AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, corr({e}, l_extendedprice) AS r, count(*) - 2 AS df FROM lineitem" for n, e in _SCORED.items())
+    + f"""), s AS (SELECT feature, r * r / (1 - r * r) * df AS f, df, df / 2.0::DOUBLE AS h FROM r),
+sides AS (SELECT *, df / (df + f) < (h + 1) / (h + 2.5) AS near FROM s),
+fraction AS (SELECT feature, f, df, h, near, CASE WHEN near THEN h ELSE 0.5 END::DOUBLE AS a, CASE WHEN near THEN 0.5 ELSE h END::DOUBLE AS b,
+ CASE WHEN near THEN df / (df + f) ELSE f / (df + f) END AS x, {regress.LEVELS} AS k, 1.0::DOUBLE AS t FROM sides
+ UNION ALL SELECT feature, f, df, h, near, a, b, x, k - 1, 1 + ({_LEVEL}) * x / t FROM fraction WHERE k > 0),
+p AS (SELECT feature, f, near, exp(lgamma(h + 0.5) - lgamma(h) - lgamma(0.5) + h * ln(df / (df + f)) + 0.5 * ln(f / (df + f))) / a / t AS v FROM fraction WHERE k = 0)
+SELECT feature, round(f, 3) AS score, round(CASE WHEN near THEN v ELSE 1 - v END, 6) AS p_value FROM p ORDER BY score DESC, feature LIMIT 4""")
 def f_regression_topk(spark, sf):
     df = table(spark, sf, "lineitem").selectExpr("l_extendedprice", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in _SCORED.items()])
-    top = regress.top_scores(df, list(_SCORED), "l_extendedprice", 4, p_values=False)
-    return top.select("feature", F.round("score", 3).alias("score"))
+    top = regress.top_scores(df, list(_SCORED), "l_extendedprice", 4)
+    return top.select("feature", F.round("score", 3).alias("score"), F.round("p_value", 6).alias("p_value"))
 
 
 @query("forest_metrics")

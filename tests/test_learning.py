@@ -1,5 +1,6 @@
 """Feature preparation and regression."""
 
+import math
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -94,9 +95,17 @@ def test_metrics_and_scores(spark):
     assert rows[0]["p_value"] < 1e-6 < rows[1]["p_value"] <= 1
 
 
-@pytest.mark.parametrize("score, df2, p", [(4.0, 10, 0.07339), (161.4476, 1, 0.05), (6.635, 10_000_000, 0.01), (0.0, 5, 1.0)])
-def test_f_survival(score, df2, p):
-    assert regress.f_survival(score, df2) == pytest.approx(p, rel=2e-3)
+def test_f_survival(spark):
+    """Table values, tails, and t distributions whose tails are known in closed form (1 and 2 degrees)."""
+    table = [(4.0, 10, 0.07339), (161.4476, 1, 0.05), (6.635, 10_000_000, 0.01), (0.0, 5, 1.0), (3.841459, 10**12, 0.05), (1e-9, 3, 1.0), (1e9, 60, 0.0)]
+    table += [(t * t, 1, 1 - 2 / math.pi * math.atan(t)) for t in (0.01, 0.5, 1.7, 3.0, 40.0)]
+    table += [(t * t, 2, 1 - t / math.sqrt(2 + t * t)) for t in (0.01, 0.5, 1.7, 3.0, 40.0)]
+    rows = [(i, f, d) for i, (f, d, _) in enumerate(table)] + [(100, None, 5), (101, float("nan"), 5), (102, 1.0, 0), (103, float("inf"), 5)]
+    df = spark.createDataFrame(rows, "i int, f double, d long").select("i", regress.f_survival(F.col("f"), F.col("d")).alias("p"))
+    got = {r["i"]: r["p"] for r in df.collect()}
+    assert [got[k] for k in (100, 101, 102, 103)] == [None, None, None, 0.0]
+    for i, (_, d, p) in enumerate(table):
+        assert got[i] == pytest.approx(p, rel=1e-9 if d < 3 else 2e-3, abs=1e-7)
 
 
 def test_pipeline_selection_and_reload(spark, homes, tmp_path):
