@@ -116,6 +116,34 @@ def test_percentile_with_one_hot_value(spark):
     assert got["m"] == np.percentile(values, 50) and got["q"] == pytest.approx(np.percentile(values, 90))
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_percentile_ranks_over_ranges(spark, parts):
+    """Ranks add up over any number of ranges, with NULL groups, ties and both zeros."""
+    values = [((i * 7919) % 500) / 4 - 30 for i in range(900)] + [0.0, -0.0]
+    rows = [(k, v) for k in ("a", None) for v in values] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    fractions = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = {r["_k0"]: r for r in quantiles._placed(df, "v", fractions, ["k"], accuracy=10, parts=parts).collect()}
+    assert set(got) == {"a", None, "one"} and got["a"]["n"] == 902 and got["one"]["_a2"] == 3.0
+    for k in ("a", None):
+        for i, p in enumerate(fractions):
+            value = got[k][f"_a{i}"] + (got[k][f"_z{i}"] - got[k][f"_a{i}"]) * got[k][f"_w{i}"]
+            assert value == pytest.approx(np.percentile(values, p * 100), abs=1e-12)
+
+
+def test_a_bracket_of_a_million_values_is_shared_out(spark):
+    df = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003).cast("double").alias("v"))
+    out = quantiles._placed(df, "v", [0.5], [], accuracy=6, parts=16)  # one bracket around everything
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("_range#" in line for line in windows)
+    path = out.inputFiles()[0].rsplit("/", 1)[0]
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("_range").count().collect()]
+    assert sum(sizes) == 1_000_000 and len(sizes) == 16 and max(sizes) < 3 * 1_000_000 / 16
+    row, values = out.first(), np.arange(1_000_000) * 7919 % 1_000_003
+    assert row["_a0"] + (row["_z0"] - row["_a0"]) * row["_w0"] == np.percentile(values, 50)
+
+
 def test_describe(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 6.0), (None, 3.0), ("b", None)], "k string, v double")
     got = {r["k"]: r for r in stats.describe(df, "v", ["k"]).collect()}
