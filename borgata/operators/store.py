@@ -67,6 +67,27 @@ def upsert(store: DataFrame, batch: DataFrame, key: str = "url", replace_existin
     return merged.unionByName(absent_from(new, store, key), allowMissingColumns=True)
 
 
+def upsert_merged(store: DataFrame, batch: DataFrame, key: str = "url", replace_existing: bool = True,
+                  seq: str = SEQ, buckets: int | None = None) -> DataFrame:
+    """The same as ``upsert`` by one full outer merge join: batch and store are each read once.
+
+    For a store bucketed by its key (``sources.keyed``): the collapsed batch is dealt out to the
+    ``buckets`` and the store stays where it is.  A store that is not bucketed would be shuffled.
+    """
+    columns = shared_columns(batch, store)
+    keyed = batch.select(*dict.fromkeys([*columns, seq])).filter(F.col(key).isNotNull())
+    new = collapse_last_value(keyed, key, seq) if replace_existing else keep_first(keyed, [key], seq)
+    side = new.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns if c != key])
+    if buckets:
+        side = side.repartition(buckets, key)
+    both = store.withColumn("_stored", F.lit(True)).join(side, key, "full_outer")
+    kept = {
+        c: F.coalesce(f"_new_{c}", c) if replace_existing else F.when(F.col("_stored"), F.col(c)).otherwise(F.col(f"_new_{c}"))
+        for c in columns if c != key
+    }
+    return both.select(*[kept.get(c, F.col(c)).alias(c) for c in store.columns])
+
+
 def upsert_counts(store: DataFrame, batch: DataFrame, key: str = "url", replace_existing: bool = True) -> DataFrame:
     """(new, updated) as a row-by-row loader counts them: the first row of an unknown key is new,
     every other row is an update when replacing and nothing otherwise."""
@@ -101,11 +122,15 @@ def delete_count(store: DataFrame, doomed: DataFrame, key: str = "url") -> DataF
     return gone.agg(F.count("*").alias("deleted"))
 
 
-def dedup_against_seen(items: DataFrame, seen: DataFrame, key: str = "id", seq: str = SEQ) -> DataFrame:
-    """Items not seen in earlier runs, first of each id; items without an id all pass."""
+def dedup_against_seen(items: DataFrame, seen: DataFrame, key: str = "id", seq: str = SEQ,
+                       buckets: int | None = None) -> DataFrame:
+    """Items not seen in earlier runs, first of each id; items without an id all pass.  With seen ids
+    bucketed by the key, ``buckets`` deals the items out to them."""
     has_id = F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
     fresh = keep_first(items.filter(has_id), [key], seq).select(*items.columns)
-    return fresh.join(seen.select(key).distinct(), key, "left_anti").select(*items.columns).unionByName(
+    if buckets:
+        fresh = fresh.repartition(buckets, key)
+    return fresh.join(seen.select(key), key, "left_anti").select(*items.columns).unionByName(
         items.filter(~has_id)
     )
 
@@ -113,3 +138,9 @@ def dedup_against_seen(items: DataFrame, seen: DataFrame, key: str = "id", seq:
 def seen_union(seen: DataFrame, items: DataFrame, key: str = "id") -> DataFrame:
     ids = seen.select(key).union(items.select(key))
     return ids.filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").distinct()
+
+
+def seen_merged(seen: DataFrame, items: DataFrame, key: str = "id", buckets: int | None = None) -> DataFrame:
+    """``seen_union`` for seen ids that are distinct and bucketed by the key: one merge join in place."""
+    ids = items.select(key).filter(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").distinct()
+    return seen.select(key).join(ids.repartition(buckets, key) if buckets else ids, key, "full_outer").select(key)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from borgata.functions import text
 from borgata.operators import store
 from borgata.plans.base import query, table
+from borgata.session import scratch_dir
+from borgata.sources.keyed import KeyedTable
 
 # Existing: two of three orders.  Batch: every second order plus corrections of every tenth, with
 # NULLs, repeated keys and rows without a key.
@@ -37,15 +39,27 @@ def _batch(spark, sf):
     return main.unionByName(fixes)
 
 
-@query("upsert_replace", f"""
+_UPSERTED = f"""
 WITH {_SQL}, nb AS (SELECT DISTINCT url, last_value(price IGNORE NULLS) OVER w AS price, last_value(label IGNORE NULLS) OVER w AS label FROM ba WHERE url IS NOT NULL
  WINDOW w AS (PARTITION BY url ORDER BY ingest_seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT coalesce(ex.url, nb.url) AS url, coalesce(nb.price, ex.price) AS price, coalesce(nb.label, ex.label) AS label, status
-FROM ex FULL OUTER JOIN nb ON ex.url = nb.url""")
+FROM ex FULL OUTER JOIN nb ON ex.url = nb.url"""
+
+
+@query("upsert_replace", _UPSERTED)
 def upsert_replace(spark, sf):
     return store.upsert(_existing(spark, sf), _batch(spark, sf))
 
 
+@query("upsert_bucketed", _UPSERTED)
+def upsert_bucketed(spark, sf):
+    """The same batch merged into a bucketed table, written as its next version and read again."""
+    kept = KeyedTable(spark, scratch_dir(spark, "keyed-store"), "url", buckets=8)
+    kept.replace(_existing(spark, sf))
+    kept.upsert(_batch(spark, sf))
+    return kept.read()
+
+
 @query("insert_if_absent", f"""
 WITH {_SQL} SELECT url, price, label, status FROM ex UNION ALL
 SELECT url, price, label, NULL FROM ba WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM ex)
@@ -121,9 +135,24 @@ def dedup_against_seen(spark, sf):
     return store.dedup_against_seen(items, seen, seq="event_id")
 
 
-@query("seen_ids_union", """
-SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3 UNION SELECT user_id FROM events WHERE event_type <> 'error'""")
+_SEEN = """
+SELECT c_custkey AS id FROM customer WHERE c_nationkey = 3 UNION SELECT user_id FROM events WHERE event_type <> 'error'"""
+
+
+@query("seen_ids_union", _SEEN)
 def seen_ids_union(spark, sf):
     items = table(spark, sf, "events").select(F.when(F.col("event_type") != "error", F.col("user_id")).alias("id"))
     seen = table(spark, sf, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("id"))
     return store.seen_union(seen, items)
+
+
+@query("seen_ids_bucketed", _SEEN)
+def seen_ids_bucketed(spark, sf):
+    """Seen ids in a bucketed table; each run's ids are merged in."""
+    items = table(spark, sf, "events").select(
+        F.when(F.col("event_type") != "error", F.col("user_id")).alias("id"), "event_type")
+    seen = KeyedTable(spark, scratch_dir(spark, "keyed-seen"), "id", buckets=8)
+    seen.replace(table(spark, sf, "customer").filter("c_nationkey = 3").select(F.col("c_custkey").alias("id")).distinct())
+    for run in ("event_type < 'm'", "event_type >= 'm'"):
+        seen.add_keys(items.filter(run))
+    return seen.read()

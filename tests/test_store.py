@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from borgata.operators import store
+from borgata.sources.keyed import KeyedTable
 
 STORE = "url string, price double, label string, status string"
 BATCH = "url string, price double, label string, extra string, ingest_seq long"
@@ -103,3 +104,56 @@ def test_small_batch_leaves_the_store_unshuffled(spark, executed, tmp_path):
     plan = executed(store.upsert(spark.read.parquet(str(tmp_path / "s")), spark.read.parquet(str(tmp_path / "b"))))
     final = plan.split("== Initial Plan")[0]
     assert "LeftOuter, BuildRight" in final and "SortMergeJoin" not in final and "Python" not in final
+
+
+@pytest.mark.parametrize("replace", [True, False])
+def test_bucketed_upsert_equals_row_by_row(spark, replace, tmp_path):
+    rng = random.Random(11)
+    keyed = KeyedTable(spark, str(tmp_path / "store"), "url", 3)
+    existing = [(f"u{i}", float(i), None if i % 4 == 0 else "old", "s") for i in range(12)]
+    keyed.replace(spark.createDataFrame(existing, STORE))
+    for portion in range(2):
+        batch = [(rng.choice(["u1", "u4", "u30", "u31", None]), rng.choice([None, 7.5]), rng.choice([None, "n"]), "x", portion * 20 + i)
+                 for i in range(20)]
+        keyed.upsert(spark.createDataFrame(batch, BATCH).repartition(4), replace)
+        existing, _, _ = row_by_row(existing, batch, replace)
+        assert sorted(map(tuple, keyed.read().collect())) == existing
+    keyed.upsert(spark.createDataFrame([], BATCH), replace)
+    assert sorted(map(tuple, keyed.read().collect())) == existing and len(keyed.read(1).collect()) == 12
+
+
+def test_bucketed_store_is_never_shuffled(spark, executed, tmp_path):
+    """Also for a batch that is not broadcast: no exchange on the table's side, none to write it."""
+    keyed = KeyedTable(spark, str(tmp_path / "store"), "url", 4)
+    keyed.replace(spark.range(5000).selectExpr("concat('u', id) AS url", "1.0D AS price", "'a' AS label", "'s' AS status"))
+    batch = spark.range(4000).selectExpr("concat('u', id * 2) AS url", "2.0D AS price", "'b' AS label", "'x' AS extra", "id AS ingest_seq")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    try:
+        plan = executed(keyed.merged(batch)).split("== Initial Plan ==")[0]
+        side = plan[plan.index("SortMergeJoin"):]
+        scan = next(line for line in side.splitlines() if "keyed_" in line)
+        above = side.splitlines()[1:side.splitlines().index(scan)]
+        assert "Bucketed: true" in plan and "FullOuter" in plan and not any("Exchange" in x or "Sort " in x for x in above)
+        assert plan.count("Range (") == 1  # the batch is collapsed once
+        keyed.upsert(batch)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    files = [f for f in (tmp_path / "store" / "v=2").iterdir() if f.suffix == ".parquet"]
+    assert len(files) == 4  # one a bucket: written where the buckets were joined
+    assert keyed.read().filter("price = 2").count() == 4000 and keyed.read().count() == 6500
+
+
+def test_bucketed_table_of_another_session(spark, tmp_path):
+    keyed = KeyedTable(spark, str(tmp_path / "seen"), "id", 2)
+    with pytest.raises(FileNotFoundError):
+        keyed.read()
+    keyed.replace(spark.createDataFrame([("a",), ("b",)], "id string"))
+    spark.sql(f"DROP TABLE {keyed._name(1)}")  # as if never registered here
+    (tmp_path / "seen" / "v=2").mkdir()  # a write that died
+    items = spark.createDataFrame([("b", 1), ("c", 2), ("c", 3), ("", 4), (None, 5)], "id string, ingest_seq long")
+    got = keyed.unseen(items).collect()
+    assert sorted((r["id"] or "", r["ingest_seq"]) for r in got) == [("", 4), ("", 5), ("c", 2)]
+    assert keyed.add_keys(items) == 3
+    assert sorted(r["id"] for r in keyed.read().collect()) == ["a", "b", "c"]
