@@ -1,15 +1,17 @@
 """Benchmark decontamination: texts are scanned for the word windows of benchmark items.
 
 The windows of the items (``WINDOW`` words; a shorter item is one window) become a hash set.  Up to
-``BROADCAST_WINDOWS`` windows (their number is counted first) the set goes to every task, which
+``BROADCAST_BYTES`` (the windows' own bytes are counted first) the set goes to every task, which
 looks up all windows of a slice of texts at once; the first place of every hit is compared word by
 word with the item's text before hits of that hash count.  A larger set is not broadcast: the hashes
 of the documents' windows are joined with it instead, with the same result (hits there are confirmed
-by a second, independent hash).
+by a second, independent hash), and the places found return to their texts.
 
-Null or empty texts have no words and no hits.  Items without words have no window.  Repeated rows
-are each judged.  With an empty benchmark nothing is hit; an empty table gives no rows.
-``decontaminate`` carries all other columns along and drops contaminated rows, or cuts the hit words.
+Null or empty texts have no words and no hits.  Very long texts are scanned whole, a text at a time.
+Items without words have no window; an item without id hits and counts as no item.  Repeated rows
+are each judged, so there are no ties to break.  With an empty benchmark nothing is hit; an empty
+table gives no rows.  ``decontaminate`` drops contaminated rows and ``cut_spans`` cuts the hit words;
+both carry all other columns along, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,8 +30,9 @@ from borgata import session
 from borgata.llm import columns, ragged
 
 WINDOW = 13
-#: About 120 bytes each: some 250 MB at most.
-BROADCAST_WINDOWS = 2_000_000
+#: Most bytes of windows that go to every task, each counted with its words, its item's id and ``EACH`` more.
+BROADCAST_BYTES = 128 * 1024 * 1024
+EACH = 64
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -79,32 +83,45 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
     return rows.mapInArrow(run, "item string, size int, one long, two long, words binary")
 
 
+class Windows(NamedTuple):
+    """Distinct windows of one size, by hash; the items of window k are owners[first[k]:first[k + 1]]."""
+
+    keys: np.ndarray
+    words: pa.BinaryArray
+    first: np.ndarray
+    owners: np.ndarray
+
+
 class WindowSet:
-    """Windows by size: sorted hashes, their texts, and the items of each (as positions in ``items``)."""
-
-    def __init__(self, rows: list):
-        self.items = sorted({r["item"] for r in rows if r["item"] is not None})
-        at = {x: i for i, x in enumerate(self.items)}
-        self.sizes: dict[int, tuple[np.ndarray, list[bytes], list[list[int]]]] = {}
-        for size in sorted({r["size"] for r in rows}):
-            by_words: dict[bytes, tuple[int, list[int]]] = {}
-            for r in rows:
-                if r["size"] == size:
-                    owners = by_words.setdefault(bytes(r["words"]), (r["one"] & (1 << 64) - 1, []))[1]
-                    if r["item"] is not None:
-                        owners.append(at[r["item"]])
-            order = sorted(by_words, key=lambda k: by_words[k][0])
-            self.sizes[size] = (np.array([by_words[k][0] for k in order], np.uint64), order,
-                                [sorted(set(by_words[k][1])) for k in order])
+    """Windows by size, kept as arrays; ``owners`` are positions in ``items``."""
+
+    def __init__(self, table: pa.Table):
+        self.items = sorted(pc.unique(table.column("item")).drop_null().to_pylist())
+        self.sizes = {size: self._of(table.filter(pc.equal(table.column("size"), size)))
+                      for size in sorted(pc.unique(table.column("size")).to_pylist())}
+
+    def _of(self, rows: pa.Table) -> Windows:
+        coded = rows.column("words").combine_chunks().dictionary_encode()
+        code = coded.indices.to_numpy()
+        keys = np.zeros(len(coded.dictionary), np.uint64)
+        keys[code] = rows.column("one").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        item = pc.index_in(rows.column("item"), pa.array(self.items, pa.string())).combine_chunks()
+        known = item.is_valid().to_numpy(zero_copy_only=False)
+        pairs = np.unique(np.stack([place[code[known]], item.drop_null().to_numpy().astype(np.int64)], axis=1), axis=0)
+        first = np.searchsorted(pairs[:, 0], np.arange(len(order) + 1))
+        return Windows(keys[order], coded.dictionary.take(pa.array(order)), first, pairs[:, 1])
 
 
 def _find(s: Scan, known: WindowSet):
     """For each size: first words of the hit windows, and which window of the set each is."""
-    for size, (keys, texts, owners) in known.sizes.items():
+    for size, held in known.sizes.items():
         starts = ragged.within(s.words, size)
         h = ragged.windows(s.one, size)[starts]
-        place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        hit = keys[place] == h
+        place = np.minimum(np.searchsorted(held.keys, h), len(held.keys) - 1)
+        hit = held.keys[place] == h
         starts, place = starts[hit], place[hit]
         if not len(starts):
             continue
@@ -112,8 +129,16 @@ def _find(s: Scan, known: WindowSet):
         second = ragged.windows(s.two, size)[starts]
         pairs = np.stack([place.astype(np.uint64), second], axis=1)
         _, first, inverse = np.unique(pairs, axis=0, return_index=True, return_inverse=True)
-        good = np.array([words_text(s, int(starts[i]), size) == texts[place[i]] for i in first])[inverse.ravel()]
-        yield size, starts[good], place[good], owners
+        good = np.array([words_text(s, int(starts[i]), size) == held.words[int(place[i])].as_py() for i in first])[inverse.ravel()]
+        yield size, starts[good], place[good], held
+
+
+def _hit(s: Scan, known: WindowSet) -> np.ndarray:
+    """Which words lie in an occurrence of a window."""
+    hit = np.zeros(len(s.one), bool)
+    for size, starts, _, _ in _find(s, known):
+        hit |= ragged.covered(starts, size, len(hit))
+    return hit
 
 
 def _items_digest(ids) -> str:
@@ -124,16 +149,15 @@ def _judge(s: Scan, known: WindowSet) -> dict[str, np.ndarray | list]:
     rows = len(s.words.first) - 1
     hit = np.zeros(len(s.one), bool)
     found: dict[int, set[int]] = {}
-    for size, starts, place, owners in _find(s, known):
+    for size, starts, place, held in _find(s, known):
         hit |= ragged.covered(starts, size, len(hit))
         pairs = np.unique(np.stack([s.words.row[starts], place], axis=1), axis=0)
         for row, p in pairs.tolist():
-            found.setdefault(row, set()).update(owners[p])
+            found.setdefault(row, set()).update(held.owners[held.first[p]:held.first[p + 1]].tolist())
     n_hit, n_words = ragged.per_row(hit, s.words.first), s.words.count
     items = [[known.items[i] for i in found.get(r, ())] for r in range(rows)]
     return {"n_words": n_words, "n_hit": n_hit, "n_items": np.array([len(x) for x in items], np.int64),
-            "items_sha256": [_items_digest(x) for x in items], "contaminated": (n_hit > 0) & (20 * n_hit >= n_words),
-            "hit": hit}
+            "items_sha256": [_items_digest(x) for x in items], "contaminated": (n_hit > 0) & (20 * n_hit >= n_words)}
 
 
 RESULT = {"n_words": "long", "n_hit": "long", "n_items": "long", "items_sha256": "string", "contaminated": "boolean"}
@@ -145,16 +169,17 @@ def _fields(names: dict[str, str]) -> list[T.StructField]:
 
 
 def window_set(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW,
-               most: int = BROADCAST_WINDOWS) -> tuple[WindowSet | None, DataFrame]:
-    """The set to broadcast, or None where it holds more than ``most`` windows; and its table."""
+               most: int = BROADCAST_BYTES) -> tuple[WindowSet | None, DataFrame]:
+    """The set to broadcast, or None where it takes more than ``most`` bytes; and its table."""
     table = item_windows(benchmark, item, text, window)
-    if table.count() > most:
+    each = F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0)) + EACH
+    if (table.agg(F.sum(each).alias("size")).first()["size"] or 0) > most:
         return None, table
-    return WindowSet(table.collect()), table
+    return WindowSet(table.toArrow()), table
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
-           item_text: str = "text", window: int = WINDOW, most: int = BROADCAST_WINDOWS,
+           item_text: str = "text", window: int = WINDOW, most: int = BROADCAST_BYTES,
            keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """The columns ``keep`` of every row (default all) with its hits, in ``RESULT``'s columns."""
     keep = docs.columns if keep is None else keep
@@ -173,11 +198,16 @@ def marked(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
-def _joined(docs: DataFrame, table: DataFrame, text: str, keep: list[str], prefix: str) -> DataFrame:
-    """The same by a join on window hashes, for a set too large to broadcast."""
-    # Ids only name the rows of this one read; the hits of a row meet in it again.
-    rows = docs.select(*dict.fromkeys([*keep, text])).withColumn("_row", F.expr("uuid()"))
-    sizes = [r["size"] for r in table.select("size").distinct().collect()]  # 13 at most
+def _located(docs: DataFrame, table: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For a set too large to broadcast, by a join on window hashes: the rows with a ``_row`` id beside
+    their columns (which must leave ``_row`` free), the places of windows in each (``_row``, ``_at``
+    and ``_size``, no more than its words times the sizes), and the items of each (``_row``, ``item``)."""
+    spark = docs.sparkSession
+    # Ids only name the rows of this one read, and uuid() is new in every read, so the rows are written once.
+    path = session.scratch_dir(spark, "decontaminate")
+    docs.withColumn("_row", F.expr("uuid()")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    sizes = [r["size"] for r in table.select("size").distinct().collect()]  # one to WINDOW
 
     def places(batches):
         for batch, t in ragged.slices(batches, "_text"):
@@ -191,32 +221,48 @@ def _joined(docs: DataFrame, table: DataFrame, text: str, keep: list[str], prefi
                      pa.array(ragged.windows(s.two, size)[starts].view(np.int64))],
                     names=["_row", "size", "at", "one", "two"])
 
-    def counts(batches):
-        for batch, t in ragged.slices(batches, text):
-            arrays = [*[batch.column(c) for c in names], pa.array(scan(t).words.count.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "_n_words"])
-
-    names = [*keep, "_row"]
-    shape = T.StructType([*[rows.schema[c] for c in names], T.StructField("_n_words", T.LongType())])
-    # uuid() is new in every read, so the rows are written once.
-    path = session.scratch_dir(docs.sparkSession, "decontaminate")
-    rows.write.parquet(path)
-    rows = docs.sparkSession.read.parquet(path)
     found = rows.select("_row", F.col(text).alias("_text")).mapInArrow(
         places, "_row string, size int, at long, one long, two long")
-    found = found.join(table.select("item", "size", "one", "two"), ["size", "one", "two"])
-    covered = found.select("_row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("w")).distinct()
-    hits = covered.groupBy("_row").agg(F.count("*").alias("_n_hit"))
-    items = found.select("_row", "item").distinct().groupBy("_row").agg(
-        F.sort_array(F.collect_set("item")).alias("_items"))
-    out = rows.mapInArrow(counts, shape).join(hits, "_row", "left").join(items, "_row", "left")
-    n_hit = F.coalesce("_n_hit", F.lit(0))
-    ids = F.coalesce("_items", F.array().cast("array<string>"))
-    return out.select(
-        *keep, F.col("_n_words").alias(prefix + "n_words"), n_hit.alias(prefix + "n_hit"),
-        F.size(ids).cast("long").alias(prefix + "n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias(prefix + "items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("_n_words"))).alias(prefix + "contaminated"))
+    window = ["size", "one", "two"]
+    # A window stands once however many items hold it.
+    spots = found.join(table.select(*window).distinct(), window, "left_semi").groupBy("_row").agg(
+        F.collect_list("at").alias("_at"), F.collect_list(F.col("size").cast("long")).alias("_size"))
+    items = found.select("_row", *window).distinct().join(
+        table.select("item", *window).distinct(), window).select("_row", "item").distinct()
+    return rows, spots, items
+
+
+def _spotted(s: Scan, batch: pa.RecordBatch) -> np.ndarray:
+    """Which words lie in a place that the batch's ``_at`` and ``_size`` name."""
+    at, size = batch.column("_at"), batch.column("_size")
+    row = np.repeat(np.arange(len(at)), pc.fill_null(pc.list_value_length(at), 0).to_numpy())
+    starts = s.words.first[row] + at.flatten().to_numpy()
+    return ragged.covered(starts.astype(np.int64), size.flatten().to_numpy(), len(s.one))
+
+
+def _joined(docs: DataFrame, table: DataFrame, text: str, keep: list[str], prefix: str) -> DataFrame:
+    """``marked`` for a set too large to broadcast."""
+    every = list(dict.fromkeys([*keep, text]))
+    plain, _ = columns.numbered(docs.select(*every))
+    name = dict(zip(every, plain.columns, strict=True))
+    rows, spots, items = _located(plain, table, name[text])
+    listed = items.groupBy("_row").agg(F.sort_array(F.collect_set("item")).alias("_items"))
+    kept = [*[name[c] for c in keep], "_row"]
+    counted = ["_n_words", "_n_hit"]
+    shape = T.StructType([*[rows.schema[c] for c in kept], *[T.StructField(c, T.LongType()) for c in counted]])
+
+    def counts(batches):
+        for batch, t in ragged.slices(batches, name[text]):
+            s = scan(t)
+            arrays = [pa.array(s.words.count.astype(np.int64)), pa.array(ragged.per_row(_spotted(s, batch), s.words.first))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *arrays], names=[*kept, *counted])
+
+    out = rows.join(spots, "_row", "left").mapInArrow(counts, shape).join(listed, "_row", "left")
+    n_hit, ids = F.col("_n_hit"), F.coalesce("_items", F.array().cast("array<string>"))
+    result = [F.col("_n_words"), n_hit, F.size(ids).cast("long"), F.sha2(F.array_join(ids, ","), 256),
+              (n_hit > 0) & (20 * n_hit >= F.col("_n_words"))]
+    return out.select(*[F.col(name[c]).alias(c) for c in keep],
+                      *[r.alias(prefix + n) for r, n in zip(result, RESULT, strict=True)])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -225,31 +271,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     return marked(rows, benchmark, *columns.numbers(docs, text)).filter(~F.col("contaminated")).select(*own)
 
 
-def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """Instead of whole documents, the hit words (and what stands between hit neighbours) go."""
-    small, _ = window_set(benchmark)
-    if small is None:
-        raise ValueError("spans are cut for benchmarks within the broadcast bound; drop documents instead")
-    known = docs.sparkSession.sparkContext.broadcast(small)
-    at = docs.columns.index(text)
+def _without(s: Scan, t: ragged.Texts, hit: np.ndarray) -> list[str]:
+    """The texts without their hit words and what stands between hit neighbours."""
+    gone = np.bincount(s.words.start[hit], minlength=len(t.data) + 1)
+    gone -= np.bincount(s.words.end[hit], minlength=len(t.data) + 1)
+    both = np.flatnonzero(hit[1:] & hit[:-1] & (s.words.row[1:] == s.words.row[:-1]))
+    np.add.at(gone, s.words.end[both], 1)
+    np.add.at(gone, s.words.start[both + 1], -1)
+    stay = np.cumsum(gone[:len(t.data)]) == 0
+    return [t.data[a:b][stay[a:b]].tobytes().decode() for a, b in zip(t.offsets[:-1], t.offsets[1:], strict=True)]
+
+
+def cut_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Instead of whole documents, the hit words (and what stands between hit neighbours) go.  Null
+    texts stay null.  Works for a benchmark of any size, by the broadcast set or by the join."""
+    small, table = window_set(benchmark, most=most)
+    rows, own = columns.numbered(docs)
+    body = columns.numbers(docs, text)[0]
+    known = docs.sparkSession.sparkContext.broadcast(small) if small is not None else None
+    names, at = rows.columns, rows.columns.index(body)
+    if known is None:
+        rows, spots, _ = _located(rows, table, body)
+        rows = rows.join(spots, "_row", "left")
 
     def run(batches):
-        for batch, t in ragged.slices(batches, text):
+        for batch, t in ragged.slices(batches, body):
             s = scan(t)
-            hit = _judge(s, known.value)["hit"]
-            gone = np.bincount(s.words.start[hit], minlength=len(t.data) + 1)
-            gone -= np.bincount(s.words.end[hit], minlength=len(t.data) + 1)
-            both = np.flatnonzero(hit[1:] & hit[:-1] & (s.words.row[1:] == s.words.row[:-1]))
-            np.add.at(gone, s.words.end[both], 1)
-            np.add.at(gone, s.words.start[both + 1], -1)
-            stay = np.cumsum(gone[:len(t.data)]) == 0
-            out = [t.data[a:b][stay[a:b]].tobytes().decode() for a, b in zip(t.offsets[:-1], t.offsets[1:], strict=True)]
-            mask = batch.column(text).is_null().to_pylist()
-            arrays = list(batch.columns)
-            arrays[at] = pa.array([None if m else x for m, x in zip(mask, out, strict=True)], arrays[at].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+            left = _without(s, t, _spotted(s, batch) if known is None else _hit(s, known.value))
+            arrays = [batch.column(c) for c in names]
+            mask = arrays[at].is_null().to_pylist()
+            arrays[at] = pa.array([None if m else x for m, x in zip(mask, left, strict=True)], arrays[at].type)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return rows.mapInArrow(run, T.StructType([rows.schema[c] for c in names])).select(*own)
 
 
 def op8_decontaminate(spark: SparkSession, sf: str) -> DataFrame:

@@ -168,10 +168,27 @@ def test_hit_spans_and_large_benchmarks(spark, edges):
     few = decontaminate.marked(docs, items, keep=["doc_id"])
     many = decontaminate.marked(docs, items, keep=["doc_id"], most=0)
     assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
-    cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(docs.filter("doc_id IS NOT NULL"), items).collect()}
+    docs = docs.withColumns({n: F.lit(n) for n in ("_row", "_at", "_size", "_text", "c1", "size", "one")})
+    whole = [sorted(map(repr, decontaminate.cut_spans(docs, items, most=n).collect())) for n in (decontaminate.BROADCAST_BYTES, 0)]
+    assert whole[0] == whole[1]
+    found = decontaminate.marked(docs, items, keep=["doc_id", "_row", "size"], most=0)
+    assert found.columns == ["doc_id", "_row", "size", *decontaminate.RESULT] and found.filter("_row = '_row' AND size = 'size'").count() == docs.count()
+    cut = {r["doc_id"]: r["text"] for r in decontaminate.cut_spans(docs.filter("doc_id IS NOT NULL"), items, most=0).collect()}
     assert cut[1] == "\nThis line is \nshort\nshort" and cut[10] == "" and cut[3] is None and cut[12] == "À b"
 
 
+def test_the_broadcast_is_bounded_by_bytes(spark):
+    items = spark.createDataFrame([(1, " ".join(f"{i:0500d}" for i in range(40))), (2, "a b c")], "item_id long, text string")
+    small, table = decontaminate.window_set(items)
+    assert small.items == ["1", "2"] and [len(w.keys) for w in small.sizes.values()] == [1, 28]
+    room = sum(len(r["words"]) + 1 + decontaminate.EACH for r in table.collect())
+    assert decontaminate.window_set(items, most=room)[0] is not None and decontaminate.window_set(items, most=room - 1)[0] is None
+    for most in (room, 0):  # nothing to hit, and no items at all
+        out = decontaminate.cut_spans(spark.createDataFrame([(1, "a b  c d")], "doc_id long, text string"), items, most=most).first()
+        assert out["text"] == " d"
+        assert decontaminate.cut_spans(spark.createDataFrame([(1, "x a b")], "doc_id long, text string"), items.limit(0), most=most).first()["text"] == "x a b"
+
+
 CUTS = st.text(alphabet=" ''sthe13.,\n\t\x1c\x85éß世界👍<|>endofx", max_size=60)
 
 
