@@ -1,21 +1,26 @@
 """License scan: matching statistics of a generalised suffix automaton, chained into template spans.
 
 The automaton holds every run of words of the license templates.  Streaming a text through it gives,
-at each word, the longest run ending there that some template contains (the matching statistics).
-Runs of at least ``LEAST_MATCH`` words that cannot be extended are chained per template, in order and
-with at most ``MOST_GAP`` words between them; a chain's span carries the share of its template that it
-covers, and from ``COVER`` on the template's label.  The base phrases are templates too: wherever one
-stands in full, the automaton's state says so.
+at each word, the longest run ending there that some template contains (the matching statistics);
+the suffix links name the shorter runs of the other places.  Runs of at least ``LEAST_MATCH`` words
+that cannot be extended are chained per template, in order and with at most ``MOST_GAP`` words
+between them, so that a chain covers as many words of its template as any chain could: a run that
+fits worse is left out, and one that overlaps the run before it is cut.  A chain's span carries the
+share of its template that it covers, and from ``COVER`` on the template's label.  The base phrases
+are templates too: wherever one stands in full, the automaton's state says so.
 
 Only stretches whose every pair of neighbours occurs in some template can hold a run of two words or
 more, so numpy cuts those out first and just they are streamed.
 
-Null or empty text: no words, no labels, score 0.  Repeated rows are each scanned; an empty table
-gives no rows.  The templates are a parameter; they, and with them the automaton, are small by nature.
+Null or empty text: no words, no labels, score 0.  Very long texts are scanned whole.  Repeated rows
+are each scanned; an empty table gives no rows; other columns are carried along.  Of chains that
+cover the same, the one nearer in the text wins; spans of one template never overlap.  The templates
+are a parameter; they, and with them the automaton, are small by nature.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +34,8 @@ LEAST_MATCH = 4
 MOST_GAP = 8
 COVER = 0.6
 
-# Phrases of the contract, and opening or notice lines of well-known licenses.
+# Phrases of the contract; opening or notice lines, the clauses of short licenses (MIT, BSD, ISC)
+# and single clauses of long ones (GPL, Apache).
 BASE = {
     "gnu general public license": "gpl",
     "apache license": "apache",
@@ -53,6 +59,35 @@ TEMPLATES = [
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
+            "of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+            "the software the software is provided as is without warranty of any kind express or implied including but not "
+            "limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event "
+            "shall the authors or copyright holders be liable for any claim damages or other liability whether in an action "
+            "of contract tort or otherwise arising from out of or in connection with the software or the use or other "
+            "dealings in the software"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+            "disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+            "the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties "
+            "including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+            "disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental "
+            "special exemplary or consequential damages"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all "
+            "implied warranties of merchantability and fitness in no event shall the author be liable for any special direct "
+            "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"),
+    ("gpl", "the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu "
+            "general public license is intended to guarantee your freedom to share and change free software"),
+    ("gpl-3", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("apache-2.0", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual "
+                   "worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare "
+                   "derivative works of publicly display publicly perform sublicense and distribute the work and such "
+                   "derivative works in source or object form"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
 
@@ -123,6 +158,50 @@ class Span(NamedTuple):
     share: float
 
 
+class Run(NamedTuple):
+    """Words [first, end) of a text that equal words [begin, stop) of a template."""
+
+    first: int
+    end: int
+    begin: int
+    stop: int
+
+
+def chained(runs: list[Run], gap: int) -> list[tuple[int, int, int]]:
+    """(first, end, words covered) of the best chains of one template's runs, none sharing text.
+
+    ``best[j]`` is the most that a chain ending in run j covers.  Only runs that end at most ``gap``
+    words before j can precede it, so the work grows with the runs and not with their square.
+    """
+    runs = sorted(runs, key=lambda r: (r.end, r.first, r.begin))
+    best, before, gain = [], [], []
+    for j, r in enumerate(runs):
+        size = r.end - r.first
+        most, link, added = size, -1, size
+        for i in range(j - 1, -1, -1):
+            if runs[i].end < r.first - gap:
+                break
+            cut = max(0, runs[i].end - r.first, runs[i].stop - r.begin)
+            if cut < size and r.first + cut - runs[i].end <= gap and best[i] + size - cut > most:
+                most, link, added = best[i] + size - cut, i, size - cut
+        best.append(most)
+        before.append(link)
+        gain.append(added)
+    taken: list[tuple[int, int, int]] = []  # in text order
+
+    def free(first: int, end: int) -> bool:
+        k = bisect_right(taken, (first, end, 0))
+        return not (k and taken[k - 1][1] > first) and not (k < len(taken) and taken[k][0] < end)
+
+    for j in sorted(range(len(runs)), key=lambda j: (-best[j], runs[j].end)):
+        first, covered, i = runs[j].end, 0, j
+        while i >= 0 and free(runs[i].end - gain[i], runs[j].end):
+            first, covered, i = runs[i].end - gain[i], covered + gain[i], before[i]
+        if covered:
+            taken.insert(bisect_right(taken, (first, runs[j].end, covered)), (first, runs[j].end, covered))
+    return taken
+
+
 def words_of(text: str) -> tuple[list[bytes], np.ndarray]:
     t = ragged.texts_of(pa.array([text]))
     data = ragged.LOWER[t.data]
@@ -168,6 +247,14 @@ class Licenses:
         self.phrases: list[tuple[int, ...]] = [()] * len(a.length)
         for v in sorted(range(1, len(a.length)), key=lambda v: a.length[v]):
             self.phrases[v] = (*full.get(v, ()), *self.phrases[a.link[v]])
+        # Places (template, end) of the runs up a state's links that are not places of a longer run.
+        self.shorter: list[tuple[tuple[int, int, int], ...]] = [()] * len(a.length)
+        for v in sorted(range(1, len(a.length)), key=lambda v: a.length[v]):
+            up = a.link[v]
+            if a.length[up] >= least:
+                here = [(k, p, a.length[up]) for k, places in a.ends[up].items() if k >= self.n_base
+                        for p in places if p not in a.ends[v].get(k, ())]
+                self.shorter[v] = (*here, *self.shorter[up])
 
     def stretches(self, w: ragged.Words, h: np.ndarray):
         """First word and words' ids of the stretches worth streaming."""
@@ -186,45 +273,28 @@ class Licenses:
         for a, b in zip(starts[worth].tolist(), ends[worth].tolist(), strict=True):
             yield a, word[a:b].tolist()
 
-    def matches(self, start: int, sequence: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """Full base phrases (phrase, first word); runs that cannot be extended (first word, length, state)."""
+    def matches(self, start: int, sequence: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, Run]]]:
+        """Full base phrases (phrase, first word); runs that cannot be extended (template, run)."""
         phrases, runs = [], []
-        before = (0, 0)
-        for at, (state, length) in enumerate(self.automaton.stream(sequence)):
-            if before[1] >= self.least and length <= before[1]:
-                runs.append((start + at - before[1], before[1], before[0]))
-            phrases += [(k, start + at + 1 - self.lengths[k]) for k in self.phrases[state] if self.lengths[k] <= length]
-            before = (state, length)
-        if before[1] >= self.least:
-            runs.append((start + len(sequence) - before[1], before[1], before[0]))
-        return phrases, runs
-
-    def chains(self, runs: list[tuple[int, int, int]]) -> list[Span]:
+        open_runs: dict[tuple[int, int], int] = {}  # length by (template, place) of the runs that end here
+        for at, (state, length) in enumerate(self.automaton.stream(sequence), start + 1):
+            phrases += [(k, at - self.lengths[k]) for k in self.phrases[state] if self.lengths[k] <= length]
+            now = {}
+            if length >= self.least:
+                now = {(k, p): length for k, places in self.automaton.ends[state].items() if k >= self.n_base for p in places}
+            now.update(((k, p), size) for k, p, size in self.shorter[state])
+            runs += [(k, Run(at - 1 - n, at - 1, p - n, p)) for (k, p), n in open_runs.items() if (k, p + 1) not in now]
+            open_runs = now
+        end = start + len(sequence)
+        return phrases, runs + [(k, Run(end - n, end, p - n, p)) for (k, p), n in open_runs.items()]
+
+    def chains(self, runs: list[tuple[int, Run]]) -> list[Span]:
         """Runs in text order, chained per template."""
-        spans, open_chains = [], {}
-
-        def close(k: int) -> None:
-            first, end, _, covered = open_chains.pop(k)
-            spans.append(Span(self.labels[k], first, end, covered / self.lengths[k]))
-
-        for first, length, state in runs:
-            for k, places in self.automaton.ends[state].items():
-                if k < self.n_base:
-                    continue
-                if k in open_chains:
-                    chain_first, end, upto, covered = open_chains[k]
-                    cut = max(0, end - first)  # words that the chain already holds
-                    later = [p for p in places if p - length + cut >= upto] if length > cut else []
-                    if later and first - end <= self.gap:
-                        open_chains[k] = (chain_first, first + length, later[0], covered + length - cut)
-                        continue
-                    if length <= cut:
-                        continue
-                    close(k)
-                open_chains[k] = (first, first + length, places[0], length)
-        for k in list(open_chains):
-            close(k)
-        return spans
+        by_template: dict[int, list[Run]] = {}
+        for k, run in runs:
+            by_template.setdefault(k, []).append(run)
+        return [Span(self.labels[k], first, end, covered / self.lengths[k])
+                for k, mine in by_template.items() for first, end, covered in chained(mine, self.gap)]
 
     def scan(self, t: ragged.Texts) -> tuple[np.ndarray, dict[int, tuple[list[tuple[int, int]], list[Span]]]]:
         """Words of each text; base phrases and spans of the texts that have any."""

@@ -48,6 +48,58 @@ def test_license_spans(spark):
     assert got[1]["labels"] == "" and got[1]["spans"] == []
 
 
+def test_a_stray_run_does_not_break_a_chain(spark):
+    words = licenses.TEMPLATES[5][1].split()
+    assert licenses.TEMPLATES[5][0] == "mit"
+    stray = " ".join([*words[:17], *words[:4], *words[17:]])
+    body = next(t for k, t in licenses.TEMPLATES if k == "mit" and t.startswith("the above"))
+    texts = [stray, f"x {body} y", " ".join([*words, "and", *words]), " ".join(words) + " and so on " * 20_000 + " ".join(words)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    assert [r["labels"] for _, r in sorted(got.items())] == ["mit"] * 4
+    spans = [(s["first"], s["end"], s["share"]) for s in got[0]["spans"]]
+    assert (0, len(words) + 4, 1.0) in spans and got[0]["score"] == 1.0
+    n = len(words)
+    assert [(s["first"], s["end"]) for s in got[2]["spans"]] == [(0, n), (n + 1, 2 * n + 1)]
+    assert [(s["first"], s["end"]) for s in got[3]["spans"]] == [(0, n), (n + 60_000, 2 * n + 60_000)]
+
+
+SMALL_WORDS = st.lists(st.sampled_from("abc"), min_size=2, max_size=12)
+
+
+@settings(max_examples=150, deadline=None)
+@given(SMALL_WORDS, SMALL_WORDS, st.lists(st.sampled_from("abcx"), max_size=14), st.integers(2, 3), st.integers(0, 5))
+def test_scores_are_the_best_chain_s(one, two, text, least, gap):
+    """All common runs by comparison, and every chain of them tried."""
+    known = licenses.Licenses({}, [("p", " ".join(one)), ("q", " ".join(two))], least, gap, 0.0)
+    _, found = known.scan(ragged.texts_of(pa.array([" ".join(text)])))
+    spans = found[0][1] if found else []
+    for label, template in (("p", one), ("q", two)):
+        runs = []
+        for a in range(len(text)):
+            for b in range(len(template)):
+                n = 0
+                while a + n < len(text) and b + n < len(template) and text[a + n] == template[b + n]:
+                    n += 1
+                if n >= least and not (a and b and text[a - 1] == template[b - 1]):
+                    runs.append((a, b, n))
+
+        def longest(end, stop):
+            """Most words that runs behind (end, stop) can add to a chain."""
+            most = 0
+            for a, b, n in runs:
+                cut = max(0, end - a, stop - b)
+                if cut < n and a + cut - end <= gap:
+                    most = max(most, n - cut + longest(a + n, b + n))
+            return most
+
+        want = max((n + longest(a + n, b + n) for a, b, n in runs), default=0) / len(template)
+        mine = [s for s in spans if s.label == label]
+        assert max((s.share for s in mine), default=0) == want
+        ordered = sorted((s.first, s.end) for s in mine)
+        assert all(x[1] <= y[0] for x, y in zip(ordered, ordered[1:]))
+
+
 def test_automaton_finds_longest_runs():
     rng = random.Random(4)
     words = [[rng.randrange(4) for _ in range(rng.randrange(2, 14))] for _ in range(5)]
