@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from borgata.llm import ragged
 
 MARK = "▁"
-#: Units whose pieces a Python worker keeps between slices, and pairs of pieces: some 150 and 60 MB at most.
-REMEMBERED, REMEMBERED_PAIRS = 600_000, 600_000
+#: Units whose pieces a Python worker keeps between slices, and pairs of pieces: some 50 and 30 MB at most.
+REMEMBERED, REMEMBERED_PAIRS = 200_000, 200_000
 TAIL = 4
 #: Longer units are encoded and not kept.
 LONGEST_KEPT = 64
