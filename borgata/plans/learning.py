@@ -7,7 +7,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import functions as F
 
 from borgata.functions import text
-from borgata.operators import features, regress
+from borgata.operators import encoding, features, regress
 from borgata.plans.base import listings, query, table, with_listings
 
 
@@ -63,6 +63,27 @@ def feature_matrix(spark, sf):
     return wide.select("id", "surface", "rooms", "garage_type", "zone", *[c for c in wide.columns if c.startswith("has_")])
 
 
+_TAGS = "list_filter(list_transform(string_split(coalesce(features, ''), ','), lambda x: trim(x)), lambda x: x <> '')"
+_SCALED = " UNION ALL ".join(
+    f"SELECT id, '{c}' AS name, round((coalesce({c}, m) - avg(coalesce({c}, m)) OVER ()) / stddev_samp(coalesce({c}, m)) OVER (), 6) AS value "
+    f"FROM listings, (SELECT median({c}) AS m FROM listings)" for c in ("rooms", "surface_m2"))
+_LEVELS = " UNION ALL ".join(
+    f"SELECT id, concat('{c}_', v), 1.0 FROM (SELECT id, coalesce({c}, 'Unknown') AS v FROM listings) "
+    f"WHERE v <> (SELECT min(coalesce({c}, 'Unknown')) FROM listings)" for c in ("typology_name", "contract", "city"))
+
+
+@query("encoded_pairs", with_listings(f""", tags AS (SELECT id, unnest(list_distinct({_TAGS})) AS tag FROM listings),
+few AS (SELECT tag FROM tags GROUP BY tag HAVING count(*) >= 100),
+p AS ({_SCALED} UNION ALL {_LEVELS}
+ UNION ALL SELECT id, CASE tag {" ".join(f"WHEN '{f}' THEN '{text.feature_column_name(f)}'" for f in _FEATURES)} END, 1.0 FROM tags SEMI JOIN few USING (tag))
+SELECT id, name, CAST(value AS DOUBLE) AS value FROM p WHERE value <> 0"""))
+def encoded_pairs(spark, sf):
+    """The fitted pipeline's sparse vectors as named entries."""
+    df = listings(spark, sf, "id", "rooms", "surface_m2", "typology_name", "contract", "city", "features")
+    fitted = encoding.fit(df, ["rooms", "surface_m2"], ["typology_name", "contract", "city"], ["features"])
+    return fitted.pairs(df, "id").withColumn("value", F.round("value", 6)).filter("value <> 0")
+
+
 @query("split_counts", """
 SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS part, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY 1""")
 def split_counts(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from borgata.functions import flags, floors, garage, numbers, text, titles
+from borgata.operators import language
 from borgata.plans.base import SQL_BLANK, listings, query, sql_strip, table, with_listings
 
 
@@ -231,3 +232,44 @@ def detect_language(spark, sf):
     return scored.select(
         "doc_id", "lang", titles.detect_language(cols).alias("detected"), F.greatest(*cols.values()).alias("hits")
     )
+
+
+_PROFILED = """
+d AS (SELECT doc_id, lang, doc_id % 5 = 0 AS held_out, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, substr(h, 2 * i + 1, 4) AS pair FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 1)) AS i FROM d)),
+t AS (SELECT doc_id, pair, count(*) AS tf FROM g GROUP BY ALL),
+c AS (SELECT lang, pair, sum(tf) AS c FROM t JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL),
+l AS (SELECT lang, sum(c) AS n FROM c GROUP BY ALL), p AS (SELECT DISTINCT pair FROM c), v AS (SELECT count(*) AS v FROM p),
+w AS (SELECT p.pair, l.lang AS code, CAST(floor(1000 * ln(CAST(coalesce(c, 0) + 1 AS DOUBLE) / (n + v))) AS BIGINT) AS w
+ FROM p CROSS JOIN l CROSS JOIN v LEFT JOIN c ON c.pair = p.pair AND c.lang = l.lang),
+s AS (SELECT doc_id, code, sum(tf * w) AS s FROM t JOIN w USING (pair) GROUP BY ALL),
+b AS (SELECT doc_id, code, s, lead(s) OVER o AS next FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY s DESC, code) QUALIFY row_number() OVER o = 1),
+f AS (SELECT d.doc_id, lang, held_out, code AS detected, CAST(s - next AS BIGINT) AS lead FROM d LEFT JOIN b USING (doc_id))"""
+
+
+def _profiled(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text", (F.col("doc_id") % 5 == 0).alias("held_out"))
+    found = language.detect(docs, docs.filter(~F.col("held_out")), "doc_id")
+    return docs.select("doc_id", "lang", "held_out").join(found, "doc_id")
+
+
+@query("language_profiles", f"WITH {_PROFILED.strip()} SELECT * FROM f")
+def language_profiles(spark, sf):
+    """Language by byte-pair profiles learnt from four of five documents."""
+    return _profiled(spark, sf)
+
+
+@query("language_accuracy", rf"""
+WITH {_PROFILED.strip()},
+u AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\p{{L}}]+') AS w FROM documents),
+x AS (SELECT doc_id, {", ".join(f"{_hits(x)} AS h_{x}" for x in _LANGS)} FROM u),
+y AS (SELECT doc_id, CASE WHEN {_BEST} = 0 THEN NULL {" ".join(f"WHEN h_{x} = {_BEST} THEN '{x}'" for x in _LANGS)} END AS voted FROM x)
+SELECT held_out, count(*) AS n, count(*) FILTER (WHERE detected = lang) AS by_profile, count(*) FILTER (WHERE voted = lang) AS by_stop_words
+FROM f JOIN y USING (doc_id) GROUP BY held_out""")
+def language_accuracy(spark, sf):
+    """Documents whose language the profiles and the stop-word vote find, among those learnt from and the others."""
+    voted = detect_language(spark, sf).select("doc_id", F.col("detected").alias("voted"))
+    both = _profiled(spark, sf).join(voted, "doc_id")
+    return both.groupBy("held_out").agg(
+        F.count("*").alias("n"), F.count_if(F.col("detected") == F.col("lang")).alias("by_profile"),
+        F.count_if(F.col("voted") == F.col("lang")).alias("by_stop_words"))
