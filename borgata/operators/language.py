@@ -14,9 +14,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from borgata.functions.text import let
 from borgata.operators.features import levels
 
 #: With 65,536 pairs of 8 bytes a language, some 50 MB at most are sent round.
@@ -24,23 +23,23 @@ MAX_LANGUAGES = 100
 SCALE = 1000
 
 
-def byte_pairs(text: Column) -> Column:
-    """Array of all pairs of neighbouring bytes; empty for shorter texts and NULL."""
-    last = F.octet_length(text) - 1
-    pairs = let(F.encode(text, "UTF-8"), lambda b: F.transform(
-        F.sequence(F.lit(1), last), lambda i: F.substring(b, i, F.lit(2))))
-    return F.when(last >= 1, pairs)
+def byte_pairs(df: DataFrame, text: str, *columns: str) -> DataFrame:
+    """(columns, pair) of all pairs of neighbouring bytes; one row without a pair for shorter texts and NULL."""
+    rows = df.select(*columns, F.encode(text, "UTF-8").alias("_b"))
+    last = F.octet_length("_b") - 1
+    places = F.when(last >= 1, F.sequence(F.lit(1), last))
+    return rows.select(*columns, "_b", F.explode_outer(places).alias("_i")).select(
+        *columns, F.substring("_b", F.col("_i"), F.lit(2)).alias("pair"))
 
 
 def profiles(labelled: DataFrame, text: str, lang: str, languages: Sequence[str]) -> DataFrame:
     """(pair, w_0, w_1, ...): scaled logarithm of each pair's share in each language, one more than counted."""
-    each = labelled.filter(F.col(lang).isin(list(languages))).select(lang, F.explode(byte_pairs(F.col(text))).alias("pair"))
-    counts = each.groupBy("pair").agg(*[F.count_if(F.col(lang) == x).alias(f"c_{i}") for i, x in enumerate(languages)])
-    sums = [F.sum(f"c_{i}").alias(f"n_{i}") for i in range(len(languages))]
-    totals = counts.agg(F.struct(F.count("*").alias("pairs"), *sums).alias("t")).scalar()
+    each = byte_pairs(labelled.filter(F.col(lang).isin(list(languages))), text, lang)
+    counts = each.filter("pair IS NOT NULL").groupBy("pair").agg(*[F.count_if(F.col(lang) == x).alias(f"c_{i}") for i, x in enumerate(languages)])
+    every = Window.partitionBy()  # all 65,536 rows at most
 
     def weight(i: int) -> Column:
-        share = (F.col(f"c_{i}") + 1).cast("double") / (totals[f"n_{i}"] + totals["pairs"])
+        share = (F.col(f"c_{i}") + 1).cast("double") / (F.sum(f"c_{i}").over(every) + F.count("*").over(every))
         return F.floor(F.lit(SCALE) * F.ln(share)).alias(f"w_{i}")
 
     return counts.select("pair", *[weight(i) for i in range(len(languages))])
@@ -53,9 +52,7 @@ def detect(df: DataFrame, labelled: DataFrame, key: str, text: str = "text", lan
         return df.select(key).distinct().select(
             key, F.lit(None).cast("string").alias("detected"), F.lit(None).cast("bigint").alias("lead"))
     table = F.broadcast(profiles(labelled, text, lang, found))
-    # A text without pairs stays as one row without a pair.
-    each = df.select(key, F.explode_outer(byte_pairs(F.col(text))).alias("pair"))
-    sums = each.join(table, "pair", "left").groupBy(key).agg(*[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(len(found))])
+    sums = byte_pairs(df, text, key).join(table, "pair", "left").groupBy(key).agg(*[F.sum(f"w_{i}").alias(f"s_{i}") for i in range(len(found))])
     # Negated, so that the first in order is the highest score and, on ties, the first code.
     ranked = F.array_sort(F.array(*[F.struct((-F.col(f"s_{i}")).alias("s"), F.lit(x).alias("lang")) for i, x in enumerate(found)]))
     known = F.col("s_0").isNotNull()
