@@ -10,7 +10,7 @@ from borgata import schemas
 from borgata.operators import clean, monitor
 from borgata.plans.base import query, table
 from borgata.session import scratch_dir
-from borgata.sources import readers, writers
+from borgata.sources import documents, readers, writers
 
 
 @query("csv_roundtrip", """
@@ -49,6 +49,28 @@ def json_root_explode(spark, sf):
     return records.select("url", "titolo", "superficie")
 
 
+_SPLIT_TITLE = "concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' }, {\"url\": 0' WHEN 1 THEN ' \"{\" \\' WHEN 2 THEN ' è}' ELSE '' END)"
+
+
+@query("json_documents_split", f"""
+SELECT concat('u', CAST(p_partkey AS STRING)) AS url, {_SPLIT_TITLE} AS title, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS surface FROM part""")
+def json_documents_split(spark, sf):
+    """Parts landed as array documents of a thousand records, with surfaces as numbers and as texts, cut into records again."""
+    k = F.col("p_partkey")
+    ends = F.when(k % 4 == 0, ' }, {"url": 0').when(k % 4 == 1, ' "{" \\').when(k % 4 == 2, " è}").otherwise("")
+    size = F.when(k % 3 != 0, F.col("p_size"))
+    shared = [F.concat(F.lit("u"), k.cast("string")).alias("url"), F.concat("p_name", ends).alias("title"), F.lit(None).alias("none")]
+    record = F.when(k % 2 == 0, F.to_json(F.struct(*shared, F.struct(size.alias("value")).alias("surface")))).otherwise(
+        F.to_json(F.struct(*shared, F.struct(size.cast("string").alias("value")).alias("surface"))))
+    listed = table(spark, sf, "part").groupBy(F.floor(k / 1000).alias("document")).agg(F.collect_list(record).alias("records"))
+    path = scratch_dir(spark, "documents")
+    listed.select(F.concat(F.lit('{"immobili": ['), F.array_join("records", ",\n "), F.lit("]}"))).write.text(path)
+    records = documents.split_records(spark, path, "immobili")
+    field = lambda name, kind: F.try_variant_get("value", f"$.{name}", kind)
+    return records.select(
+        field("url", "string").alias("url"), field("title", "string").alias("title"), field("surface.value", "int").alias("surface"))
+
+
 def _event_pages(spark, sf):
     """Result pages of 100 events."""
     page = F.floor(F.col("event_id") / 100)
