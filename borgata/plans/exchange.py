@@ -210,6 +210,17 @@ def load_totals(spark, sf):
     return writers.load_totals(writers.load_report(rows, "file", "err", "o_orderkey")).withColumn("percent", F.round("percent", 6))
 
 
+@query("load_durations", """
+SELECT event_type AS file, count(*) AS total, count(*) FILTER (WHERE value >= 5) AS successful, count(*) FILTER (WHERE value < 5) AS failed,
+ round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS seconds FROM events GROUP BY event_type""")
+def load_durations(spark, sf):
+    """Load report with the time from each file's first row to its last."""
+    rows = table(spark, sf, "events").select(
+        F.col("event_type").alias("file"), "event_id", "ts", F.when(F.col("value") < 5, "value").alias("err"))
+    report = writers.load_report(rows, "file", "err", "event_id", stamp="ts")
+    return report.select("file", "total", "successful", "failed", F.round("seconds", 3).alias("seconds"))
+
+
 @query("validate_quarantine", """
 SELECT event_id, CASE WHEN event_id % 10 NOT IN (0, 1) THEN CAST(json_extract(props, '$.k') AS INT) END AS k,
  CASE event_id % 10 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'missing k' END AS reason FROM events""")

@@ -171,17 +171,25 @@ def fan_out(df: DataFrame, sinks: Mapping[str, Callable[[DataFrame], None]]) ->
     return outcome
 
 
-def load_report(df: DataFrame, file: str, error: str, order: str, at_most: int = 10) -> DataFrame:
+def load_report(df: DataFrame, file: str, error: str, order: str, at_most: int = 10, stamp: str | None = None) -> DataFrame:
     """Per file: total, successful, failed and the first errors, in one aggregation.
 
-    The counts are exact; the error list is the report's feature of showing the first few.
+    The counts are exact; the error list is the report's feature of showing the first few.  With the
+    time each row was handled, ``stamp``, also ``seconds`` from a file's first row to its last, NULL
+    for a file without any time.
     """
     failed = F.col(error).isNotNull()
+    took = []
+    if stamp:
+        at = F.unix_micros(F.col(stamp).cast("timestamp"))
+        took = [((F.max(at) - F.min(at)) / F.lit(1e6)).alias("seconds")]
     counts = df.groupBy(file).agg(
-        F.count("*").alias("total"), F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed")
+        F.count("*").alias("total"), F.count_if(~failed).alias("successful"), F.count_if(failed).alias("failed"),
+        *took
     )
     return counts.join(first_values(df.filter(failed), file, error, order, at_most, "errors"), file, "left").select(
-        file, "total", "successful", "failed", F.coalesce("errors", F.array().cast("array<string>")).alias("errors")
+        file, "total", "successful", "failed", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"),
+        *(["seconds"] if stamp else [])
     )
 
 

@@ -196,3 +196,13 @@ def test_partitioned_document_upsert(spark, tmp_path):
     got = sorted((r["id"], r["price"], r["city"]) for r in spark.read.parquet(path).collect())
     assert got == [("a", 9.0, "x"), ("b", 2.0, "y"), ("c", 3.0, "x")]
     assert {p.name for p in (tmp_path / "docs/city=y").glob("*.parquet")} == untouched
+
+
+def test_load_report_seconds(table):
+    from borgata.sources import writers
+
+    rows = table([("a", 1, "2024-01-01 00:00:00", None), ("a", 2, "2024-01-01 00:01:00.5", "bad"), ("a", 3, None, None),
+                  ("b", 4, "2024-01-01 00:00:00", None), ("c", 5, None, "worse")], "f string, i int, at string, err string")
+    got = {r["f"]: (r["failed"], r["seconds"]) for r in writers.load_report(rows, "f", "err", "i", stamp="at").collect()}
+    assert got == {"a": (1, 60.5), "b": (0, 0.0), "c": (1, None)}
+    assert "seconds" not in writers.load_report(rows, "f", "err", "i").columns
