@@ -2,22 +2,27 @@
 
 Tokens (lower-cased words, then one end of text) are spelled bit by bit: each byte by its Huffman code
 over the training text, each word closed by a blank.  Four predictors keep how often a bit was 0 and
-1 after the last byte, the last two, the last three, and the whole word so far.  Their logits are mixed by weights that a gate chooses (how often the word so
-far was seen), and an adaptive map, indexed by the mixed logit and by how often the last three bytes
-were seen, refines the result.  The bits of a word add up to its log probability; a text's score is
-the sum over its tokens, and ``bits_per_byte`` the same per byte.
+1 after the last byte, the last two, the last three, and the whole word so far.  A word's first two bytes, where
+these would reach over the blank, have four of their own: after the word so far alone, with the last byte
+of the word before, with its last two, and with that word itself (the ``KNOWN_WORDS`` most frequent are told apart, the
+others are one; a text begins after none).  The logits are mixed by weights that a gate chooses (how often the word so
+far, or the word before with it, was seen), and an adaptive map, indexed by the mixed logit and by how often the last
+bytes were seen, refines the result.  The bits of a word add up to its log probability after the word before; a text's
+score is the sum over its tokens in their order, and ``bits_per_byte`` the same per byte.
 
-A word's bits depend on the word alone, so nothing is done per occurrence:
+The bits after a word's second byte depend on the word alone, those before on a meeting: the two bytes and what is
+known of the word before.  Meetings are few (bounded by the alphabet and ``KNOWN_WORDS``), so neither is done per occurrence:
 
 1. one scan gives the distinct tokens of each block of documents with their training counts;
 2. they add up to one table of all tokens, sorted by word and cut into chunks of one row each;
    counts of four bytes in a row give the code and the tables of the first three predictors, sized by
    the contexts found; counts after a word so far are exact: the words that share it are neighbours,
    so a chunk has them all, but for the beginnings of its first and last word, which are added up;
-3. mixer and map learn online from that table, token by token weighted by count, each occurrence
+3. a second scan counts the training texts' meetings, with the most frequent words of that table told apart;
+4. a mixer and a map for each of the two learn online from those tables, weighted by count, each occurrence
    predicted without itself (one is taken off its own counts); partitions average their weights;
-4. every distinct token is scored once and joined back to the blocks that hold it;
-5. each block's texts meet its tokens' counts and scores.
+5. every distinct token is scored once and joined back to the blocks that hold it;
+6. each block's texts meet its tokens' counts and scores, and its distinct meetings are scored there.
 
 Counts cover all training documents.  Null or empty text: only the end token.  Documents without id
 count as training.  Repeated rows are each counted and scored.  A text of any length is scored as one row,
@@ -30,6 +35,7 @@ is 0 and the predictors are even.  An empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +55,12 @@ STEPS = 33
 HELD_BYTES = 16 << 20
 BLOCK_BYTES = 32 << 20
 BROADCAST_FILES = 500_000
+#: Previous words told apart where a word begins.
+KNOWN_WORDS = 1024
+#: Bytes of a word that are predicted from the word before as well.
+MET = 2
+#: Distinct meetings a task holds before it merges them, and as many again before it passes them on.
+HELD_MEETINGS = 1 << 20
 _END = b"\xff"
 _BLANK = 32
 _SALT = np.array([0x6A09E667F3BCC909, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1], np.uint64)
@@ -108,6 +120,67 @@ def block_tokens(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "block long, h long, word binary, n long")
 
 
+def meetings_of(t: ragged.Texts, data: np.ndarray, w: ragged.Words, h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Where each word of a slice begins, then where each text ends: the word before (its place in ``known``, 0 if not
+    there, 1 at the beginning of a text), its last two bytes, and the two first bytes of the word itself."""
+    shift = [np.uint64(x) for x in (8, 16, 24, 32)]
+    blank = np.uint64(_BLANK)
+    begin = np.uint64(1) << shift[3] | blank << shift[2] | blank << shift[1]
+    begins = np.full(t.rows, begin)
+    end = np.uint64(_END[0]) << shift[0] | blank
+    if not len(h):
+        return begins | end
+    byte, long = data.astype(np.uint64), w.end - w.start > 1
+    place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    word = np.where(known[place] == h, place + 2, 0).astype(np.uint64) if len(known) else np.zeros(len(h), np.uint64)
+    left = word << shift[3] | np.where(long, byte[w.end - 2], blank) << shift[2] | byte[w.end - 1] << shift[1]
+    before = np.concatenate([begins[:1], left[:-1]])
+    some = w.count > 0
+    before[w.first[:-1][some]] = begin
+    begins[some] = left[w.first[1:][some] - 1]
+    first = byte[w.start] << shift[0] | np.where(long, byte[np.minimum(w.start + 1, len(byte) - 1)], blank)
+    return np.concatenate([before | first, begins | end])
+
+
+def known_words(chunks: DataFrame) -> np.ndarray:
+    """Hashes of the words met most often in training, in their order; equal counts by hash."""
+    end = int(_END_HASH.view(np.int64))
+    each = chunks.select(F.inline(F.arrays_zip("h", "n"))).filter((F.col("n") > 0) & (F.col("h") != end))
+    found = each.orderBy(F.desc("n"), "h").limit(KNOWN_WORDS).select("h").toArrow()
+    return np.sort(found.column("h").to_numpy().view(np.uint64))
+
+
+def count_meetings(texts: DataFrame, known: np.ndarray) -> DataFrame:
+    """(m, n): the meetings of some texts and how often they occur, in the order of a hash, which is none."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            m, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            return m, np.bincount(at, np.concatenate([n for _, n in held]), len(m)).astype(np.int64)
+
+        def passed(m: np.ndarray, n: np.ndarray):
+            for i in range(0, len(m), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(a[i:i + (1 << 16)]) for a in (m.view(np.int64), n)], names=["m", "n"])
+
+        for _, t in ragged.slices(batches, "_text"):
+            held.append(np.unique(meetings_of(t, *tokens_of(t), known), return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD_MEETINGS:
+                held[:] = [merged()]
+                size = len(held[0][0])
+            if size > HELD_MEETINGS:
+                yield from passed(*held.pop())
+                size = 0
+        if held:
+            yield from passed(*merged())
+
+    counted = texts.select("_text").mapInArrow(run, "m long, n long").groupBy("m").agg(F.sum("n").alias("n"))
+    return counted.sortWithinPartitions(F.xxhash64("m"))
+
+
 class Code:
     """Huffman code of the 256 bytes: internal nodes and bits on the way to each."""
 
@@ -165,6 +238,17 @@ def _cells(key: np.ndarray, bits: int) -> np.ndarray:
     return ((key * _NODE) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _table(key: np.ndarray, bit: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Times of bit 0 and 1 in the cells of a hashed table, sized by the keys found."""
+    bits = max(1, int(ROOM * len(np.unique(key)) - 1).bit_length())
+    cell = _cells(key, bits)
+    return np.stack([np.bincount(cell, n * (bit == b), 1 << bits) for b in (0, 1)]).astype(np.float32)
+
+
+def _looked_up(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return table[:, _cells(key, table.shape[1].bit_length() - 1)]
+
+
 class Counts:
     """Times of bit 0 and 1: hashed tables after one to three bytes, sized by what was found, and exact
     ones after the beginnings of words that more than one chunk holds."""
@@ -173,25 +257,24 @@ class Counts:
         self.tables = []
         rep, node, bit = code.spelled((grams & np.uint64(255)).astype(np.int64))
         for k in range(ORDERS - 1):
-            key = _key(k, grams >> np.uint64(8))[rep] ^ node
-            bits = max(1, int(ROOM * len(np.unique(key)) - 1).bit_length())
-            cell = _cells(key, bits)
-            self.tables.append(np.stack([np.bincount(cell, n[rep] * (bit == b), 1 << bits) for b in (0, 1)]).astype(np.float32))
+            self.tables.append(_table(_key(k, grams >> np.uint64(8))[rep] ^ node, bit, n[rep]))
         rep, node, bit = code.spelled(byte)
         self.shared, at = np.unique(_key(3, beginning)[rep] ^ node, return_inverse=True)
         self.times = np.stack([np.bincount(at, m[rep] * (bit == b), len(self.shared)) for b in (0, 1)])
 
 
 class Decisions:
-    """All bits of a chunk's words: which word, the bit, and each predictor's counts."""
+    """The bits of a chunk's words after their first ``skip`` bytes: which word, the bit, and each predictor's counts."""
 
-    def __init__(self, words: list[bytes], n: np.ndarray, code: Code, counts: Counts):
+    def __init__(self, words: list[bytes], n: np.ndarray, code: Code, counts: Counts, skip: int = 0):
         s = Spelling(words)
-        rep, node, self.bit = code.spelled(s.data)
+        rest = np.flatnonzero(np.arange(len(s.data)) - s.start >= skip)
+        rep, node, self.bit = code.spelled(s.data[rest])
+        rep = rest[rep]
         self.word = s.word[rep]
         self.times = np.empty((2, ORDERS, len(rep)))
         for k, table in enumerate(counts.tables):
-            self.times[:, k] = table[:, _cells(_key(k, s.three)[rep] ^ node, table.shape[1].bit_length() - 1)]
+            self.times[:, k] = _looked_up(table, _key(k, s.three)[rep] ^ node)
         keys, at = np.unique(_key(3, s.prefix)[rep] ^ node, return_inverse=True)
         own = np.stack([np.bincount(at, n[self.word] * (self.bit == b), len(keys)) for b in (0, 1)])
         if len(counts.shared):
@@ -201,6 +284,29 @@ class Decisions:
         self.times[:, 3] = own[:, at]
 
 
+class Beginnings:
+    """The bits of the first bytes of words, at each meeting: which meeting, the bit, and each predictor's keys."""
+
+    def __init__(self, meetings: np.ndarray, code: Code):
+        part = lambda bits, mask: meetings >> np.uint64(bits) & np.uint64(mask)
+        first, second = part(8, 0xFF), part(0, 0xFF)
+        # What is known of the word before, then the word so far: nothing, or one byte.
+        scopes = [np.zeros_like(first), part(16, 0xFF), part(16, 0xFFFF), part(32, 0xFFFFFFFF)]
+        rep, node, self.bit = code.spelled(np.concatenate([first, second]).astype(np.int64))
+        self.keys = [ragged.mix(np.concatenate([x << np.uint64(9), x << np.uint64(9) | first + np.uint64(1)]) + _SALT[k])[rep] ^ node
+                     for k, x in enumerate(scopes)]
+        self.meeting = rep % max(len(meetings), 1)
+
+    def times(self, tables: list[np.ndarray]) -> np.ndarray:
+        return np.stack([_looked_up(table, key) for table, key in zip(tables, self.keys)], 1).astype(float)
+
+
+def beginning_tables(meetings: np.ndarray, n: np.ndarray, code: Code) -> list[np.ndarray]:
+    """Times of bit 0 and 1 for each predictor of the first bytes."""
+    b = Beginnings(meetings, code)
+    return [_table(key, b.bit, n[b.meeting]) for key in b.keys]
+
+
 def chunks_of(tokens: DataFrame) -> DataFrame:
     """(chunk, total, seen, h, word, n): neighbouring rows of partitions sorted by word, as lists in the order of the hash."""
 
@@ -330,17 +436,16 @@ class Mixer:
         self.seen += mass > 0
 
 
-def learn_mixer(chunks: DataFrame, code: Code, table) -> Mixer:
-    """Each partition learns from its tokens in turn; the driver averages one small model a partition
-    by an aggregation over its numbers."""
+def learn_mixer(rows: DataFrame, decisions: Callable) -> Mixer:
+    """``decisions`` gives (weight, bit, times) of each batch's bits.  Each partition learns from its rows in turn; the
+    driver averages one small model a partition by an aggregation over its numbers."""
 
     def run(batches):
         mixer, total = Mixer(), 0.0
-        for _, _, words, n in _words(batches):
-            d = Decisions(words, n, code, table.value)
-            for start in range(0, len(d.bit), 1 << 14):
+        for n, bits, every in decisions(batches):
+            for start in range(0, len(bits), 1 << 14):
                 part = slice(start, start + (1 << 14))
-                weight, bit, times = n[d.word[part]], d.bit[part], d.times[:, :, part]
+                weight, bit, times = n[part], bits[part], every[:, :, part]
                 used = weight > 0
                 weight, bit, times = weight[used].astype(float), bit[used], times[:, :, used]
                 if len(bit):
@@ -355,27 +460,76 @@ def learn_mixer(chunks: DataFrame, code: Code, table) -> Mixer:
 
     mixer = Mixer()
     numbers = np.concatenate([mixer.weights.ravel(), mixer.map.ravel()])
-    for k, x, w in chunks.mapInArrow(run, "k long, x double, w double").groupBy("k").agg(F.sum("x"), F.sum("w")).collect():
+    for k, x, w in rows.mapInArrow(run, "k long, x double, w double").groupBy("k").agg(F.sum("x"), F.sum("w")).collect():
         numbers[k] = x / w
     mixer.weights = numbers[:mixer.weights.size].reshape(mixer.weights.shape)
     mixer.map = numbers[mixer.weights.size:].reshape(mixer.map.shape)
     return mixer
 
 
+def learn_words(chunks: DataFrame, code: Code, table) -> Mixer:
+    """From the bits after the first bytes of all words."""
+
+    def decisions(batches):
+        for _, _, words, n in _words(batches):
+            d = Decisions(words, n, code, table.value, MET)
+            yield n[d.word], d.bit, d.times
+
+    return learn_mixer(chunks, decisions)
+
+
+def learn_beginnings(meetings: DataFrame, code: Code, tables) -> Mixer:
+    """From the bits of the first bytes, at each meeting."""
+
+    def decisions(batches):
+        for batch in batches:
+            b = Beginnings(batch.column("m").to_numpy().view(np.uint64), code)
+            yield batch.column("n").to_numpy()[b.meeting], b.bit, b.times(tables.value)
+
+    return learn_mixer(meetings, decisions)
+
+
+def _log_p(mixer: Mixer, bit: np.ndarray, times: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """log10 probabilities of the bits, added up."""
+    x, gate, row = Mixer.inputs(*times)
+    p = np.clip(mixer.refined(mixer.mixed(x, gate), row), 1e-6, 1 - 1e-6)
+    return np.bincount(at, np.log10(np.where(bit == 1, p, 1 - p)), minlength=size)
+
+
 def score_tokens(chunks: DataFrame, code: Code, table, mixer: Mixer) -> DataFrame:
-    """(h, n, lp): training count and log10 probability of each distinct token."""
+    """(h, n, lp): training count of each distinct token, and log10 probability of what follows its first bytes."""
 
     def run(batches):
         for _, h, words, n in _words(batches):
-            d = Decisions(words, n, code, table.value)
-            x, gate, row = Mixer.inputs(*d.times)
-            p = np.clip(mixer.refined(mixer.mixed(x, gate), row), 1e-6, 1 - 1e-6)
-            lp = np.bincount(d.word, np.log10(np.where(d.bit == 1, p, 1 - p)), minlength=len(words))
+            d = Decisions(words, n, code, table.value, MET)
+            lp = _log_p(mixer, d.bit, d.times, d.word, len(words))
             yield pa.RecordBatch.from_arrays([h, pa.array(n), pa.array(lp)], names=["h", "n", "lp"])
 
     return chunks.mapInArrow(run, "h long, n long, lp double")
 
 
+class MeetingScores:
+    """log10 probabilities of first bytes; each meeting is scored once."""
+
+    def __init__(self, code: Code, tables: list[np.ndarray], mixer: Mixer):
+        self.code, self.tables, self.mixer = code, tables, mixer
+        self.keys, self.lp = np.zeros(0, np.uint64), np.zeros(0)
+
+    def of(self, meetings: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(meetings, return_inverse=True)
+        place = np.searchsorted(self.keys, distinct)
+        new = np.ones(len(distinct), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(place, len(self.keys) - 1)] != distinct
+        if new.any():
+            lp = []
+            for part in np.array_split(distinct[new], 1 + np.count_nonzero(new) // _BATCH):
+                b = Beginnings(part, self.code)
+                lp.append(_log_p(self.mixer, b.bit, b.times(self.tables), b.meeting, len(part)))
+            self.keys, self.lp = np.insert(self.keys, place[new], distinct[new]), np.insert(self.lp, place[new], np.concatenate(lp))
+        return self.lp[np.searchsorted(self.keys, distinct)][at]
+
+
 def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", train: Column | None = None,
                     block: Column | None = None) -> DataFrame:
     """(doc, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
@@ -401,8 +555,14 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", tr
     code = Code(np.bincount((grams & np.uint64(255)).astype(np.int64), n_grams, 256))
     counts = Counts(code, grams, n_grams, *count_beginnings(chunks))
     table = spark.sparkContext.broadcast(counts)
-    mixer = learn_mixer(chunks, code, table)
-    scored = score_tokens(chunks, code, table, mixer)
+    scored = score_tokens(chunks, code, table, learn_words(chunks, code, table))
+    frequent = known_words(chunks)
+    count_meetings(rows.filter("train"), frequent).write.parquet(f"{folder}/meetings")
+    meetings = spark.read.parquet(f"{folder}/meetings")
+    found = meetings.toArrow()
+    tables = spark.sparkContext.broadcast(
+        beginning_tables(found.column("m").to_numpy().view(np.uint64), found.column("n").to_numpy(), code))
+    beginning = learn_beginnings(meetings, code, tables)
     wanted = blocks.select("block", "h").join(scored, "h").select("block", "h", "n", "lp")
     least = total + distinct + 1
 
@@ -410,9 +570,10 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", tr
         order = np.argsort(known.column("h").to_numpy())
         keys, n, lp = (known.column(c).to_numpy()[order] for c in ("h", "n", "lp"))
         base = np.log10((n + 1) / least)
+        met = MeetingScores(code, tables.value, beginning)
         out = []
         for batch, t in ragged.slices(texts.to_batches(), "_text"):
-            _, w, h = tokens_of(t)
+            data, w, h = tokens_of(t)
             end = np.searchsorted(keys, _END_HASH.view(np.int64))
             at = np.searchsorted(keys, h.view(np.int64))
             count = np.bincount(w.row, minlength=t.rows)
@@ -421,7 +582,8 @@ def score_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", tr
                 return np.bincount(w.row, values[at], minlength=t.rows) + values[end]
 
             n_known = summed((n > 0).astype(np.int64)).astype(np.int64)
-            model = summed(lp)
+            row = np.concatenate([w.row, np.arange(t.rows)])
+            model = summed(lp) + np.bincount(row, met.of(meetings_of(t, data, w, h, frequent)), minlength=t.rows)
             out.append(pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array(count + 1), pa.array(n_known), pa.array(np.full(t.rows, total, np.int64)),
                  pa.array(summed(base)), pa.array(model),
