@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly to as many tasks as a shuffle has, for work that is large beside what is read:
+    a file of a few MB is read by one or two tasks, however many cores there are."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 _K = "o_orderkey"
 _THOUSANDS = (
     "concat(CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) AS STRING), '.', "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from borgata.functions.text import absolute_url
 from borgata.operators import extract
 from borgata.operators.extract import Rule
-from borgata.plans.base import listings, query, sql_strip, table, with_listings
+from borgata.plans.base import listings, query, spread, sql_strip, table, with_listings
 
 RULES = [
     Rule("single", r"(?s)<h1>(.*?)</h1>", "title"),
@@ -89,7 +89,8 @@ def html_card_extract(spark, sf):
             tag("span", "seller-info-text", F.col("p_brand")), link(F.concat(F.lit("/x?"), key)))).otherwise(""),
         F.lit("</ul></html>"),
     )
-    return extract.market_cards(table(spark, sf, "part").select("p_partkey", html.alias("html")))
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
+    return extract.market_cards(spread(parts).select("p_partkey", html.alias("html")))
 
 
 @query("listing_cards", with_listings("""
@@ -97,7 +98,7 @@ SELECT id, trim(regexp_replace(title, '\t', ' ', 'g')) AS title, concat('https:/
  concat_ws('|', CASE WHEN rooms IS NOT NULL THEN concat(CAST(rooms AS STRING), ' locale') END, 'Balcone') AS caratteristiche,
  CASE WHEN rooms IS NOT NULL THEN concat(CAST(rooms AS STRING), ' locale') END AS locali, 'Balcone' AS balcone, NULL::STRING AS cantina FROM listings"""))
 def listing_cards(spark, sf):
-    df = listings(spark, sf, "id", "title", "price_text", "rooms")
+    df = spread(listings(spark, sf, "id", "title", "price_text", "rooms"))
     feature = lambda c: F.concat(F.lit('<div class="in-listingCardFeatureList__item"> <span><span></span>'), c, F.lit("</span></div>"))
     html = F.concat(
         F.lit('<ul><li class="nd-list__item in-searchLayoutListItem"><ol><li>1</li><li>2</li></ol><img class="x" src="a.jpg"><a class="in-listingCardTitle" href="/annunci/'),
@@ -125,7 +126,8 @@ def item_cards(spark, sf):
         (k % 40).cast("string"), F.lit(" </span></button>"))).otherwise("")
     html = F.concat(F.lit('<div class="new-item-box__container x"><div class="new-item-box__image-container"> <a href="/items/'),
                     k.cast("string"), F.lit('" title="'), title, F.lit('">i</a></div>'), likes, F.lit("</div>"))
-    cards = extract.item_cards(table(spark, sf, "orders").select(k.alias("id"), html.alias("html")))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    cards = extract.item_cards(spread(orders).select(k.alias("id"), html.alias("html")))
     named = {"Link": "link", "Titolo": "titolo", "Brand": "brand", "Condizione": "condizione", "Prezzo": "prezzo",
              "Prezzo con spedizione": "spedito", "Preferiti": "preferiti"}
     return cards.select("id", *[F.col(f"`{a}`").alias(b) for a, b in named.items()])
