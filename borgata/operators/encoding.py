@@ -47,7 +47,8 @@ class Encoder(NamedTuple):
             F.size("v.values") > 0, F.sequence(F.lit(0), F.size("v.values") - 1)).otherwise(F.array().cast("array<int>"))
         each = vector.select("_key", F.inline(F.arrays_zip(at.alias("at"), F.col("v.values").alias("value")))).filter("value <> 0")
         names = spark.createDataFrame(list(enumerate(self.names)), "at int, name string")
-        return each.join(names, "at").select(F.col("_key").alias(key), "name", "value")
+        # Few names would leave their entries to a few tasks; they are no more than the model, which goes to every task.
+        return each.join(F.broadcast(names), "at").select(F.col("_key").alias(key), "name", "value")
 
 
 def _q(c: str) -> str:
